@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._common import held_out
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -47,9 +49,61 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.expr("cast(length(ids) / 4 as bigint)").alias("n_tokens"), _sha256("ids").alias("ids_sha256"), _sha256("decoded").alias("decoded_sha256"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), carry=["doc_id"]).select("doc_id", "fingerprint", "component_id")
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify
+
+    docs = _table(spark, sf_dir, "documents")
+    train = docs.where(~held_out(F.col("doc_id")))
+    out = identify(docs, train, tokenizer_path("piece_bpe_32k.model"), carry=["doc_id"])
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact_dedup import exact_dedup
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+OPERATORS = (op3_decontaminate, op4_simhash, op8_byte_bpe, op9_language, op10_exact_dedup)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_decontaminate, op8_byte_bpe)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 #: DuckDB SQL by query; those without an entry are tested against brute force in tests/llm.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_decontaminate": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w
+  FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w
+  FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, array_to_string(w[i : i + least(len(w), 13) - 1], ' ') AS k, least(len(w), 13) AS m
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT m FROM windows),
+places AS (
+  SELECT doc_id, m, i, array_to_string(w[i : i + m - 1], ' ') AS k
+  FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, sizes WHERE len(w) >= m)),
+found AS (SELECT p.doc_id, p.i, p.m, x.item_id FROM places p JOIN windows x ON p.k = x.k AND p.m = x.m),
+hits AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS j FROM (SELECT DISTINCT doc_id, i, m FROM found)) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS varchar) AS item FROM found) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS bigint) AS n_words, CAST(coalesce(n_hit, 0) AS bigint) AS n_hit, CAST(coalesce(n_items, 0) AS bigint) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
+    "op10_exact_dedup": """
+WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER g AS keep_id, CAST(count(*) OVER g AS bigint) AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
+FROM n WINDOW g AS (PARTITION BY t)
+""",
+}
