@@ -25,6 +25,23 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack_documents
+
+    out = pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.select("doc_ids", "offsets", "lengths", "cu_seqlens", "n_ids", _sha256("input_ids").alias("ids_sha256"), _sha256("position_ids").alias("positions_sha256"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score_quality
+
+    labels = _table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
+    out = score_quality(_table(spark, sf_dir, "documents"), labels, carry=["doc_id"])
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import find_contamination
 
@@ -39,6 +56,12 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import removed_units
+
+    return removed_units(_table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -71,7 +94,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-OPERATORS = (op3_decontaminate, op4_simhash, op8_byte_bpe, op9_language, op10_exact_dedup)
+OPERATORS = (op1_packing, op2_quality, op3_decontaminate, op4_simhash, op7_line_dedup, op8_byte_bpe, op9_language, op10_exact_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
