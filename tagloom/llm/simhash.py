@@ -1,9 +1,9 @@
 """SimHash fingerprints and near-duplicate groups by a segment-popcount embedding.
 
-A fingerprint's 64 bits are cut into 16 segments, and the numbers of bits set in them are a point of a grid. The
+A fingerprint's 64 bits are cut into 32 segments, and the numbers of bits set in them are a point of a grid. The
 Manhattan distance of two points is at most the number of differing bits, so fingerprints that differ in two bits
 at most are two steps apart at most, and have a grid point in common that is one step at most from either. Each
-distinct fingerprint is entered at its own point and the 32 beside it; points with one fingerprint only are
+distinct fingerprint is entered at its own point and the 64 at most beside it; points with one fingerprint only are
 dropped, and what is left are candidates. These are verified exactly, in the same way on the bits themselves: two
 fingerprints differ in at most two bits if and only if a word one bit at most from both exists. All fingerprints
 around such a word are linked through their smallest, so the links number in proportion to the candidates and
@@ -28,7 +28,7 @@ from .components import components
 
 SHINGLE = 3
 SEED = 42
-SEGMENTS = 16
+SEGMENTS = 32
 
 _LOWER = bytes(ord(LOWER[UPPER.index(chr(c))]) if chr(c) in UPPER else c for c in range(256))
 
@@ -60,14 +60,15 @@ def fingerprints(df: DataFrame, text_col: str = "text", size: int = SHINGLE, car
 
 
 def _grid_points(fp) -> F.Column:
-    """The fingerprint's grid point and those one step away, each as a number: three bits for a segment's count."""
+    """The fingerprint's grid point and those one step away that exist, each as a number: a digit for a segment's count."""
     width = 64 // SEGMENTS
-    point = F.lit(0).cast("long")
-    for k in range(SEGMENTS):
-        ones = F.bit_count(F.shiftrightunsigned(fp, k * width).bitwiseAND(F.lit((1 << width) - 1)))
-        point = point + F.shiftleft((ones + 1).cast("long"), 3 * k)
-    steps = [0] + [sign << (3 * k) for k in range(SEGMENTS) for sign in (1, -1)]
-    return F.transform(F.array(*[F.lit(s).cast("long") for s in steps]), lambda s: point + s)
+    powers = [(width + 1) ** k for k in range(SEGMENTS)]
+    ones = F.array(*[F.bit_count(F.shiftrightunsigned(fp, k * width).bitwiseAND(F.lit((1 << width) - 1))).cast("long") for k in range(SEGMENTS)])
+    digits = F.zip_with(ones, F.array(*[F.lit(p).cast("long") for p in powers]), lambda n, p: F.struct(n.alias("n"), p.alias("p")))
+    point = F.aggregate(digits, F.lit(0).cast("long"), lambda s, d: s + d["n"] * d["p"])
+    up = F.transform(F.filter(digits, lambda d: d["n"] < width), lambda d: d["p"])
+    down = F.transform(F.filter(digits, lambda d: d["n"] > 0), lambda d: -d["p"])
+    return F.transform(F.concat(F.array(F.lit(0).cast("long")), up, down), lambda step: point + step)
 
 
 def candidates(distinct: DataFrame) -> DataFrame:
