@@ -56,6 +56,14 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import remove_repeats
+
+    out = remove_repeats(_table(spark, sf_dir, "documents"), carry=["doc_id"])
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), _sha256("kept").alias("kept_sha256"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import removed_units
 
@@ -94,7 +102,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-OPERATORS = (op1_packing, op2_quality, op3_decontaminate, op4_simhash, op7_line_dedup, op8_byte_bpe, op9_language, op10_exact_dedup)
+OPERATORS = (op1_packing, op2_quality, op3_decontaminate, op4_simhash, op6_suffix_dedup, op7_line_dedup, op8_byte_bpe, op9_language, op10_exact_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
