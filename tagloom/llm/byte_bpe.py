@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from ._common import map_texts
 
 #: Pre-tokens whose ids a worker remembers; more are forgotten and computed again.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 
 #: A rank file may have this many bytes at most, as it is sent to every executor.
 MAX_RANK_BYTES = 64 << 20
@@ -40,6 +40,7 @@ _NONE = np.iinfo(np.int32).max
 #: Pre-tokens are merged in matrices of these widths; ranks below 2^31 / WIDEST fit.
 WIDTHS = (8, 16, 32)
 WIDEST = WIDTHS[-1]
+_WIDTH_OF = [next(w for w in WIDTHS if n <= w) for n in range(WIDEST + 1)]
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -122,13 +123,12 @@ class Codec:
     def _learn(self, new: list[str]) -> None:
         """Find the ids of new pre-tokens: whole ones by the perfect hash, the rest by merging."""
         table, pieces, rest = self.table.get, self.pieces, {w: ([], []) for w in (*WIDTHS, 0)}
-        for piece in new:
-            data = piece.encode()
+        for piece, data in zip(new, map(str.encode, new)):
             rank = table(data)
             if rank >= 0:
                 pieces[piece] = rank.to_bytes(4, "little")
             else:
-                names, values = rest[next((w for w in WIDTHS if len(data) <= w), 0)]
+                names, values = rest[_WIDTH_OF[len(data)] if len(data) <= WIDEST else 0]
                 names.append(piece)
                 values.append(data)
         for width, (names, values) in rest.items():
