@@ -16,7 +16,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 #: Texts handed to a mapping function at once hold about this many bytes.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def lower_ascii(col):
@@ -58,6 +58,17 @@ def batches(column: pa.Array, limit: int = BATCH_BYTES) -> Iterator[tuple[int, i
         yield start, len(column)
 
 
+_kept: dict = {}
+
+
+def kept(key, make):
+    """This worker's value for `key`, made once; only the last key's is kept, as workers outlive the step they serve."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def map_texts(
     df: DataFrame,
     text_col: str,

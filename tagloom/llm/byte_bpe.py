@@ -26,10 +26,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ._common import map_texts
+from ._common import kept, map_texts
 
-#: Pre-tokens whose ids a worker remembers; more are forgotten and computed again.
-REMEMBERED = 700_000
+#: Pre-tokens whose ids a worker remembers unless told otherwise; more are forgotten and computed again.
+REMEMBERED = 250_000
 
 #: A rank file may have this many bytes at most, as it is sent to every executor.
 MAX_RANK_BYTES = 64 << 20
@@ -97,7 +97,8 @@ class PerfectHash:
 class Codec:
     """Encodes and decodes by ranks, which must hold every single byte that a text can have."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, table: PerfectHash | None = None):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, table: PerfectHash | None = None, remembered: int | None = None):
+        self.remembered = REMEMBERED if remembered is None else remembered
         self.table, self.ranks = table or PerfectHash(ranks), ranks
         self.bytes_of = {r: b for b, r in ranks.items()}
         self.byte_ranks = [ranks.get(bytes([a]), -1) for a in range(256)]
@@ -110,7 +111,7 @@ class Codec:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         found = list(map(self.find, texts))
         new = set().union(*found).difference(self.pieces)
-        if len(self.pieces) + len(new) > REMEMBERED:
+        if len(self.pieces) + len(new) > self.remembered:
             self.pieces = {}
             new = set().union(*found)
         self._learn(list(new))
@@ -247,16 +248,10 @@ class _PairTable:
         return out
 
 
-_codecs: dict[tuple, Codec] = {}
-
-
-def codec_of(shared, pattern: str) -> Codec:
-    """This worker's codec for a broadcast (name, ranks, table); one is kept, with what it remembers."""
+def codec_of(shared, pattern: str, remembered: int = REMEMBERED) -> Codec:
+    """This worker's codec for a broadcast (name, ranks, table), with what it remembers."""
     name, ranks, table = shared.value
-    if (name, pattern) not in _codecs:
-        _codecs.clear()
-        _codecs[name, pattern] = Codec(ranks, pattern, table)
-    return _codecs[name, pattern]
+    return kept((name, pattern, remembered), lambda: Codec(ranks, pattern, table, remembered))
 
 
 def share_ranks(spark, ranks_path: str):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import map_texts
+from ._common import kept, map_texts
 
 UNDETERMINED = "und"
 
@@ -35,7 +35,7 @@ MAX_TRAINING_WORDS = 30_000
 MAX_LANGUAGES = 500
 
 #: Words whose probabilities a worker remembers; more are forgotten and computed again.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 #: Longer runs of letters are scored in pieces of this many; memory stays bounded, cost linear.
 MAX_WORD = 40
@@ -248,9 +248,6 @@ class Scorer:
         return names, scores
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def identify(df: DataFrame, train: DataFrame, vocabulary_path: str, text_col: str = "text", lang_col: str = "lang", carry: list[str] | None = None, max_training_texts: int = MAX_TRAINING_TEXTS) -> DataFrame:
     """`df` with lang_pred and score (the posterior, 0 to 1), by models of `train`.
 
@@ -262,10 +259,7 @@ def identify(df: DataFrame, train: DataFrame, vocabulary_path: str, text_col: st
     key = uuid.uuid4().hex
 
     def make():
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(shared.value)
-        scorer = _scorers[key]
+        scorer = kept(key, lambda: Scorer(shared.value))
 
         def work(texts: pa.Array) -> dict:
             names, scores = scorer.score(texts.to_pylist())

@@ -23,8 +23,11 @@ from .byte_bpe import codec_of, share_ranks
 
 ROW = 2048
 
+#: Pre-tokens whose ids a worker remembers.
+REMEMBERED = 700_000
+
 #: Ids that a task holds before it packs them.
-BLOCK_IDS = 4 << 20
+BLOCK_IDS = 2 << 20
 
 #: The first id that the vocabulary has free.
 PAD = 50_256
@@ -93,7 +96,7 @@ def pack_documents(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "
         schema = schema.add(name, t)
 
     def run(parts):
-        codec = codec_of(shared, pattern)
+        codec = codec_of(shared, pattern, REMEMBERED)
         names: list = []
         ids: list[np.ndarray] = []
 

@@ -58,9 +58,8 @@ def test_the_two_heaps_agree(codec, data):
     assert codec.merge_many([data], 32) == [np.array(codec.merge(data), "<u4").tobytes()]
 
 
-def test_forgetting_changes_nothing(ranks, library, monkeypatch):
-    monkeypatch.setattr(byte_bpe, "REMEMBERED", 3)
-    codec = byte_bpe.Codec(ranks, P.PATTERN)
+def test_forgetting_changes_nothing(ranks, library):
+    codec = byte_bpe.Codec(ranks, P.PATTERN, remembered=3)
     for text in ("one two three four", "five six one", "one two three four"):
         assert codec.encode([text]) == [ids_of(library, text)]
 
