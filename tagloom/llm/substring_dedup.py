@@ -32,7 +32,7 @@ LEAST = 400
 ANCHOR = 48
 
 #: Bytes of stretches sorted at once, unless one anchor has more: its suffix array is then on disk.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _PLACE = np.uint64((1 << 24) - 1)
@@ -97,11 +97,11 @@ def repeated_windows(bodies: list[bytes], offsets: list[int], groups: np.ndarray
     size = np.fromiter(map(len, bodies), np.int64, len(bodies))
     start = np.cumsum(size + 1) - size - 1
     data = np.frombuffer(b"\0".join(bodies) + b"\0", np.uint8)
-    text = data.astype(np.int64) + 2
+    text = np.append(data.astype(np.int16) + 2, np.int16(0))
     text[start + size] = 1  # between stretches
-    order = suffix_array(np.append(text, 0), 258, folder)[1:]
+    order = suffix_array(text, 258, folder)[1:]
     owner = np.repeat(np.arange(len(bodies)), size + 1)
-    place = np.arange(len(text)) - np.repeat(start, size + 1)
+    place = np.arange(len(data)) - np.repeat(start, size + 1)
     order = order[(place <= np.repeat(size - least, size + 1))[order]]
     same = shares(data, order, least)
     inside = np.append(False, same) | np.append(same, False)
