@@ -20,8 +20,7 @@ def base_frequencies(reads: DataFrame) -> DataFrame:
     total = reads.groupBy("file_index").agg(F.count(F.lit(1)).alias("total"))
     bases = reads.select("file_index", F.posexplode(chars("seq")).alias("p", "base"))
     counts = bases.groupBy("file_index", "p").agg(*[F.count_if(F.col("base") == b).alias(b) for b in "ACGTN"])
-    # a row a file
-    return counts.join(F.broadcast(total.limit(10_000)), "file_index").select("file_index", (F.col("p") + 1).alias("position"), *[(F.col(b) / F.col("total")).alias(b) for b in "ACGTN"])
+    return counts.join(total, "file_index").select("file_index", (F.col("p") + 1).alias("position"), *[(F.col(b) / F.col("total")).alias(b) for b in "ACGTN"])
 
 
 def conserved_runs(frequencies: DataFrame, least: float = 0.75, length: int = 10) -> DataFrame:
@@ -51,7 +50,7 @@ def exact_hits(reads: DataFrame, whitelists: DataFrame) -> DataFrame:
 
     Places are of the forward strand, from 1, both ends included. Whitelists may have barcodes of several lengths.
     """
-    lengths = sorted(r.n for r in whitelists.select(F.length("barcode").alias("n")).distinct().limit(1000).collect())
+    lengths = sorted(r.n for r in whitelists.select(F.length("barcode").alias("n")).distinct().collect())
     table = whitelists.select(F.col("whitelist").alias("barcode_whitelist"), "barcode").distinct()
     out = None
     for n in lengths:

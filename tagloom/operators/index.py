@@ -19,7 +19,7 @@ def build_index(whitelist: DataFrame, kind: str = "seed", mismatches: int = 1) -
     barcodes = whitelist.select("barcode").distinct()
     if kind == "neighbourhood":
         return neighbourhood(barcodes, mismatches).withColumn("len", F.length("barcode"))
-    lengths = sorted(r.n for r in barcodes.select(F.length("barcode").alias("n")).distinct().limit(1000).collect())
+    lengths = sorted(r.n for r in barcodes.select(F.length("barcode").alias("n")).distinct().collect())
     if kind == "kmer" and len(lengths) > 1:
         raise ValueError("a k-mer index needs barcodes of one length")
     make = seed_index if kind == "seed" else kmer_index

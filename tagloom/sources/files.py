@@ -76,7 +76,7 @@ def read_frequencies(spark: SparkSession, path: str) -> DataFrame:
 
 def read_places(spark: SparkSession, path: str, reverse: bool = False) -> list[BarcodePlace]:
     """Barcode places (a row a barcode) in the file's order, or in reverse."""
-    rows = spark.read.csv(path, schema=PLACES, header=True).coalesce(1).limit(1000).collect()
+    rows = spark.read.csv(path, schema=PLACES, header=True).coalesce(1).collect()  # a row a barcode of a read
     out = [BarcodePlace(r.file_index, r.start, r.end, r.barcode_whitelist, r.orientation) for r in rows]
     return out[::-1] if reverse else out
 
