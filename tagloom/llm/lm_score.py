@@ -22,6 +22,7 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -123,10 +124,9 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
         grams, counts = count_grams(rows.column(1).to_pylist(), order)
         return pa.table([pa.array(np.full(len(grams), key[0].as_py(), np.int32)), pa.array(grams), pa.array(counts)], names=gram_schema.names)
 
-    # one shuffle by n-gram serves the table and the join
-    exploded = docs.select("__block", "__text").groupBy("__block").applyInArrow(grams_of, gram_schema).repartition("gram")
-    table = exploded.groupBy("gram").agg(F.sum("n").alias("count"))
-    own = exploded.select("__block", "gram").join(table, "gram").select("__block", "gram", "count")
+    # dealt out by n-gram once: each block's row is joined to the sum of all blocks' counts of its n-gram
+    exploded = docs.groupBy("__block").applyInArrow(grams_of, gram_schema)
+    own = exploded.select("__block", "gram", F.sum("n").over(W.partitionBy("gram")).alias("count"))
 
     fields = docs.select(*[F.col(f"`{c}`") for c in carry]).schema.fields
     schema = T.StructType([*fields, *T.StructType().add("n_bytes", "long").add("log_score", "double")])
