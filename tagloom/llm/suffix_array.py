@@ -47,15 +47,23 @@ def _rising(text: np.ndarray) -> np.ndarray:
 
 def _put(queue: np.ndarray, ends: np.ndarray, symbols: np.ndarray, values: np.ndarray, down: bool) -> None:
     """Append each value to its symbol's stretch, upwards or downwards, in the order given."""
-    order = np.argsort(symbols, kind="stable")
+    n = len(symbols)
+    if not n:
+        return
+    # numbers of 16 bits are sorted by radix
+    order = np.argsort(symbols.astype(np.uint16) if len(ends) <= 1 << 16 else symbols, kind="stable")
     symbols, values = symbols[order], values[order]
-    first = np.flatnonzero(np.append(True, symbols[1:] != symbols[:-1]))
-    counts = np.diff(np.append(first, len(symbols)))
-    rank = np.arange(len(symbols)) - np.repeat(first, counts)
-    own = symbols[first]
-    place = np.repeat(ends[own], counts) + (-rank if down else rank)
+    first = np.flatnonzero(symbols[1:] != symbols[:-1]) + 1
+    own = symbols[np.concatenate([[0], first])]
+    edges = np.concatenate([[0], first, [n]])
+    counts = edges[1:] - edges[:-1]
+    if down:
+        place = np.repeat(ends[own] + edges[:-1], counts) - np.arange(n)
+        ends[own] -= counts
+    else:
+        place = np.repeat(ends[own] - edges[:-1], counts) + np.arange(n)
+        ends[own] += counts
     queue[place] = values
-    ends[own] += -counts if down else counts
 
 
 def induce(text: np.ndarray, size: int, seeds: np.ndarray, rising: np.ndarray, folder: str | None = None) -> np.ndarray:
@@ -70,11 +78,12 @@ def induce(text: np.ndarray, size: int, seeds: np.ndarray, rising: np.ndarray, f
     # upwards: falling suffixes go to the front of their symbol's stretch
     heads = starts.copy()
 
+    falling = ~rising
+
     def fall(taken: np.ndarray) -> None:
         before = taken[taken > 0] - 1
-        before = before[~rising[before]]
-        if len(before):
-            _put(queue, heads, text[before], before, False)
+        before = before[falling[before]]
+        _put(queue, heads, text[before], before, False)
 
     c, width = 0, 64
     while c < size:
@@ -86,10 +95,14 @@ def induce(text: np.ndarray, size: int, seeds: np.ndarray, rising: np.ndarray, f
             places[0::2], places[1::2] = starts[c:end], seed_starts[c:end]
             taken = queue[_ranges(places, lengths)]
             before = taken[taken > 0] - 1
-            before = before[~rising[before]]
-            stop = min(end, int(text[before].min())) if len(before) else end
-            if stop > c + 1:
+            before = before[falling[before]]
+            symbols = text[before]
+            stop = min(end, int(symbols.min())) if len(before) else end
+            if stop == end:
+                _put(queue, heads, symbols, before, False)
+            elif stop > c + 1:
                 fall(taken[: int(lengths[: 2 * (stop - c)].sum())])
+            if stop > c + 1:
                 width = min(2 * width, 1 << 16) if stop == end else max(2, (stop - c) * 2)
                 c = stop
                 continue
@@ -109,26 +122,29 @@ def induce(text: np.ndarray, size: int, seeds: np.ndarray, rising: np.ndarray, f
     def rise(taken: np.ndarray) -> None:
         before = taken[taken > 0] - 1
         before = before[rising[before]]
-        if len(before):
-            _put(queue, tails, text[before], before, True)
+        _put(queue, tails, text[before], before, True)
 
     last = starts + counts
     c, width = size, 64
     while c > 0:
         end = max(0, c - width)
         if c - end > 1:
-            symbols = np.arange(c - 1, end - 1, -1)
+            down = slice(c - 1, end - 1 if end else None, -1)
             # from the back: what has arrived, then the falling ones
-            lengths = np.empty(2 * len(symbols), np.int64)
-            lengths[0::2], lengths[1::2] = last[symbols] - 1 - tails[symbols], heads[symbols] - starts[symbols]
+            lengths = np.empty(2 * (c - end), np.int64)
+            lengths[0::2], lengths[1::2] = last[down] - 1 - tails[down], heads[down] - starts[down]
             places = np.empty_like(lengths)
-            places[0::2], places[1::2] = -(last[symbols] - 1), -(heads[symbols] - 1)
+            places[0::2], places[1::2] = 1 - last[down], 1 - heads[down]
             taken = queue[-_ranges(places, lengths)]
             before = taken[taken > 0] - 1
             before = before[rising[before]]
-            stop = max(end, int(text[before].max()) + 1) if len(before) else end
-            if stop < c - 1:
+            symbols = text[before]
+            stop = max(end, int(symbols.max()) + 1) if len(before) else end
+            if stop == end:
+                _put(queue, tails, symbols, before, True)
+            elif stop < c - 1:
                 rise(taken[: int(lengths[: 2 * (c - stop)].sum())])
+            if stop < c - 1:
                 width = min(2 * width, 1 << 16) if stop == end else max(2, (c - stop) * 2)
                 c = stop
                 continue
