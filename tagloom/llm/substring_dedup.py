@@ -4,9 +4,11 @@ Each string of LEAST bytes has an anchor: the place in it whose ANCHOR bytes hav
 equals. Equal strings have equal anchors at one offset, so they can only meet where anchors are equal. The strings
 of a text that share an anchor are one stretch of it, and a stretch that occurs twice is repeated as a whole. Only
 stretches of equal anchors that differ are compared: they are dealt out by anchor, and each shard's stretches are
-one text whose suffix array (induced sorting, on disk when large) brings equal strings together. A string counts
-as repeated if another stretch has it at the same offset from the anchor; as each string belongs to one stretch
-only, no place is compared with itself.
+one text whose suffix array (induced sorting) brings equal strings together. A string counts as repeated if
+another stretch has it at the same offset from the anchor; as each string belongs to one stretch only, no place is
+compared with itself. An anchor with more different stretches than fill a block is not sorted in one task: all
+strings of its stretches are dealt out and counted by a 128-bit hash of their bytes. As every string of a stretch
+has its anchor, the repeated ones cover one run, from the first to the end of the last.
 
 Defined results: null counts as empty; bytes are those of UTF-8; texts of fewer than LEAST bytes have nothing to
 remove; a row that occurs twice is two texts, so all its strings repeat if it is long enough; columns besides id
@@ -31,7 +33,7 @@ from .suffix_array import shares, suffix_array
 LEAST = 400
 ANCHOR = 48
 
-#: Bytes of stretches sorted at once, unless one anchor has more: its suffix array is then on disk.
+#: Bytes of stretches sorted at once, about; an anchor whose stretches may be more has its strings counted by hash.
 BLOCK_BYTES = 4 << 20
 
 _BASE = 0x9E3779B97F4A7C15
@@ -156,8 +158,8 @@ def _anchors(keyed: DataFrame, least: int, anchor: int) -> DataFrame:
 
 
 def _bodies(wanted: DataFrame) -> DataFrame:
-    """The bytes of the stretches asked for (text, want: array of start, size, offset, h, body, lone)."""
-    schema = T.StructType().add("h", "long").add("offset", "integer").add("body", "long").add("lone", "boolean").add("data", "binary")
+    """The bytes of the stretches asked for (text, want: array of start, size, offset, h, body, lone, hot)."""
+    schema = T.StructType().add("h", "long").add("offset", "integer").add("body", "long").add("lone", "boolean").add("data", "binary").add("hot", "boolean")
 
     def run(parts):
         for part in parts:
@@ -165,9 +167,9 @@ def _bodies(wanted: DataFrame) -> DataFrame:
                 rows = []
                 for text, want in zip(part.column(0).slice(lo, hi - lo).to_pylist(), part.column(1).slice(lo, hi - lo).to_pylist()):
                     raw = text.encode()
-                    rows.extend((w["h"], w["offset"], w["body"], w["lone"], raw[w["start"] : w["start"] + w["size"]]) for w in want)
-                columns = list(zip(*rows)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()))], names=schema.names)
+                    rows.extend((w["h"], w["offset"], w["body"], w["lone"], raw[w["start"] : w["start"] + w["size"]], w["hot"]) for w in want)
+                columns = list(zip(*rows)) or [()] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.bool_()))], names=schema.names)
 
     return wanted.select("text", "want").mapInArrow(run, schema)
 
@@ -206,6 +208,27 @@ def _sorted_spans(bodies: DataFrame, least: int, block_bytes: int) -> DataFrame:
     return bodies.mapInArrow(run, schema)
 
 
+def _counted_spans(bodies: DataFrame, least: int) -> DataFrame:
+    """What _sorted_spans gives, by counting the hashes of all strings; no anchor's stretches come together."""
+    schema = T.StructType().add("h", "long").add("body", "long").add("lone", "boolean").add("at", "integer").add("digest", "binary")
+
+    def run(parts):
+        for part in parts:
+            for lo, hi in batches(part.column(4), 1 << 17):
+                h, _, body, lone, data, _ = (c.slice(lo, hi - lo) for c in part.columns)
+                data = data.to_pylist()
+                which = pa.array(np.repeat(np.arange(len(data)), [len(d) - least + 1 for d in data]))
+                at = pa.array([i for d in data for i in range(len(d) - least + 1)], pa.int32())
+                digest = pa.array([xxhash.xxh3_128_digest(d[i : i + least]) for d in data for i in range(len(d) - least + 1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([h.take(which), body.take(which), lone.take(which), at, digest], names=schema.names)
+
+    strings = bodies.mapInArrow(run, schema)
+    # sums precede the shuffle, and the written table lets Spark split the rows of a frequent string
+    repeated = cut(strings.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"))
+    found = strings.where("lone").join(repeated, "digest").groupBy("h", "body").agg(F.min("at").alias("a"), (F.max("at") + least).alias("b"))
+    return found.select("h", "body", F.array(F.struct("a", "b")).alias("spans"))
+
+
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, anchor: int = ANCHOR, block_bytes: int = BLOCK_BYTES, carry: list[str] | None = None) -> DataFrame:
     """`df` with n_bytes, spans (start, end of each removed run, in bytes) and kept (binary, the bytes that stay)."""
     if not 8 <= anchor <= least:
@@ -220,13 +243,18 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # stretches by anchor and bytes; sums precede the shuffle, so that one that all texts have is no burden
     kinds = anchors.groupBy("h", "offset", "body").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "start", "size")).alias("at"))
     groups = kinds.groupBy("h").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("n") == 1).alias("lone")).where("total > 1")
-    shared = cut(kinds.join(groups, "h").select("h", "offset", "body", "n", "at", ((F.col("kinds") > 1) & (F.col("lone") > 0)).alias("differ")))
+    hot = F.col("kinds") > block_bytes // (2 * least)  # a stretch has fewer than 2 * least bytes
+    shared = cut(kinds.join(groups, "h").select("h", "offset", "body", "n", "at", ((F.col("kinds") > 1) & (F.col("lone") > 0)).alias("differ"), hot.alias("hot")))
 
     whole = shared.where("n > 1").select("h", "body", F.array(F.struct(F.lit(0).alias("a"), F.col("at.size").alias("b"))).alias("spans"))
-    asked = shared.where("differ").select("at.k1", "at.k2", F.struct("at.start", "at.size", "offset", "h", "body", (F.col("n") == 1).alias("lone")).alias("w"))
+    asked = shared.where("differ").select("at.k1", "at.k2", F.struct("at.start", "at.size", "offset", "h", "body", (F.col("n") == 1).alias("lone"), "hot").alias("w"))
     wanted = keyed.join(asked.groupBy("k1", "k2").agg(F.collect_list("w").alias("want")), ["k1", "k2"])
-    dealt = _bodies(wanted).repartition("h").sortWithinPartitions("h", "body")
-    marks = cut(whole.unionByName(_sorted_spans(dealt, least, block_bytes)))
+    bodies, spans = _bodies(wanted), whole
+    if shared.where("differ AND hot").head(1):
+        bodies = cut(bodies)
+        spans = spans.unionByName(_counted_spans(bodies.where("hot"), least))
+    dealt = bodies.where("NOT hot").repartition("h").sortWithinPartitions("h", "body")
+    marks = cut(spans.unionByName(_sorted_spans(dealt, least, block_bytes)))
 
     covered = anchors.join(marks, ["h", "body"]).select("k1", "k2", F.transform("spans", lambda s: F.struct((s["a"] + F.col("start")).alias("a"), (s["b"] + F.col("start")).alias("b"))).alias("spans"))
     by_text = covered.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("__spans"))

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tagloom.llm import queries, suffix_array
+from tagloom.llm import queries, substring_dedup, suffix_array
 from tagloom.llm.substring_dedup import remove_repeats, stretches
 
 
@@ -71,6 +71,26 @@ def test_small_texts_against_brute_force(spark, block):
         assert bytes(row.kept) == bytes(b for b, g in zip(raw[row.doc_id], flags) if not g)
 
 
+def test_a_frequent_anchor_is_not_gathered(spark, monkeypatch):
+    r = random.Random(7)
+    noise = lambda n: "".join(r.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    passage = noise(60)
+    texts = [noise(40) + passage + noise(40) for _ in range(80)]
+    texts += [texts[0][:90] + noise(50), noise(40) + texts[1][35:], texts[2]]
+    taken = []
+    sorted_spans = substring_dedup._sorted_spans
+    monkeypatch.setattr(substring_dedup, "_sorted_spans", lambda b, *a: taken.extend(x.h for x in b.select("h").collect()) or sorted_spans(b, *a))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    raw, gone = brute(texts, 32)
+    for row in remove_repeats(df, least=32, anchor=9, block_bytes=640).collect():
+        flags = bytearray(row.n_bytes)
+        for s in row.spans:
+            flags[s.start : s.end] = b"\1" * (s.end - s.start)
+        assert flags == gone[row.doc_id], row.doc_id
+    # 640 bytes are ten stretches of up to 64
+    assert max(Counter(taken).values(), default=0) <= 10
+
+
 def test_query_against_brute_force(spark, sf, documents):
     docs = documents.select("doc_id", "text").collect()
     raw, gone = brute([d.text for d in docs], 400)
