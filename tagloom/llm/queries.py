@@ -76,6 +76,13 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed_units(_table(spark, sf_dir, "documents"))
 
 
+def op7_every_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op7_line_dedup, but of lines of any number of words."""
+    from .line_dedup import removed_units
+
+    return removed_units(_table(spark, sf_dir, "documents"), min_words=1)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -108,7 +115,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-OPERATORS = (op1_packing, op2_quality, op3_decontaminate, op4_simhash, op5_lm_score, op6_suffix_dedup, op7_line_dedup, op8_byte_bpe, op9_language, op10_exact_dedup)
+OPERATORS = (op1_packing, op2_quality, op3_decontaminate, op4_simhash, op5_lm_score, op6_suffix_dedup, op7_line_dedup, op7_every_line, op8_byte_bpe, op9_language, op10_exact_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -35,6 +35,13 @@ def test_query_against_brute_force(spark, sf, documents):
     assert rows_of(queries.op7_line_dedup(spark, sf)) == expected and expected
 
 
+def test_query_of_every_line(spark, sf, documents):
+    docs = [(d.doc_id, d.text) for d in documents.collect()]
+    expected = brute(docs, 1)
+    assert len(expected) > len(brute(docs, 20))
+    assert rows_of(queries.op7_every_line(spark, sf)) == expected
+
+
 def test_small_units(spark):
     docs = [(3, "A b\nc d e\n\nx"), (1, "c D  e\na b\na b"), (2, ""), (4, None), (5, "\ta b \n"), (6, "naïve ü 🙂\nnaïve ü 🙂")]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
