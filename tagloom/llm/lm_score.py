@@ -13,6 +13,9 @@ history less its first byte; without a history, log(count / all bytes).
 Defined results: null and empty texts have no bytes and score 0; texts of any length are scored whole; repeated
 rows count and score as often as they occur; a table without rows gives none. Columns of the input are carried
 along, except those whose names are outputs' names.
+
+score_words does the same with n-grams of words (what ASCII white space separates), whose table grows with the corpus.
+Here an n-gram is dealt out by a hash of 128 bits and goes back to its block as a number with its count.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -146,3 +150,97 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
         return pa.table([*rows.columns[2:], pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())], names=schema.names)
 
     return docs.groupBy("__block").cogroup(own.groupBy("__block")).applyInArrow(score, schema)
+
+
+WORD_ORDER = 3
+
+
+class Grams:
+    """Word n-grams of texts: of each size the keys, the numbers of their histories and of what a backoff leaves, and each word's."""
+
+    def __init__(self, texts: list[str | None], order: int = WORD_ORDER):
+        number: dict[bytes, int] = {}
+        parts, size = [], []
+        for t in texts:
+            words = (t or "").encode().split()
+            parts.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words)))
+            size.append(len(words))
+        self.size = np.array(size, np.int64)
+        self.doc = np.repeat(np.arange(len(texts)), self.size)
+        self.place = np.arange(len(self.doc)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
+        # numbers by the order of the words, so that they don't depend on the order of the texts
+        names = sorted(number)
+        rank = np.empty(len(names), np.int64)
+        rank[[number[w] for w in names]] = np.arange(len(names))
+        ids = rank[np.concatenate([*parts, np.zeros(0, np.int64)])]
+        one = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, names)), np.uint64).reshape(-1, 2)
+        self.keys, self.counts, self.at, self.history, self.rest = [one], [np.bincount(ids, minlength=len(names))], [ids], [None], [None]
+        for n in range(1, order):
+            where = np.flatnonzero(self.place >= n)
+            kinds, first, which, count = np.unique(self.at[-1][where - 1] * len(names) + ids[where], return_index=True, return_inverse=True, return_counts=True)
+            history, last = np.divmod(kinds, max(1, len(names)))
+            x = self.keys[-1][history] * np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64) + one[last] + np.uint64(n)
+            x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+            self.keys.append(x ^ (x >> np.uint64(33)))
+            self.counts.append(count)
+            self.history.append(history)
+            self.rest.append(self.at[-1][where[first]])
+            at = np.full(len(ids), -1, np.int64)
+            at[where] = which
+            self.at.append(at)
+
+    def scores(self, counts: np.ndarray, total: int, least: int = LEAST, backoff: float = BACKOFF) -> np.ndarray:
+        """Each text's score; `counts` are the corpus' counts of all n-grams here, size by size."""
+        below, out, start = None, np.zeros(len(self.doc)), 0
+        for n, keys in enumerate(self.keys):
+            own = counts[start : start + len(keys)]
+            start += len(keys)
+            if n == 0:
+                score = np.log(own / max(1, total))
+            else:
+                good = own >= least
+                score = math.log(backoff) + score[self.rest[n]]
+                score[good] = np.log(own[good] / below[self.history[n][good]])
+            has = self.place >= n
+            out[has] = score[self.at[n][has]]
+            below = own
+        return np.bincount(self.doc, out, len(self.size)).astype(np.float64)
+
+
+def score_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = WORD_ORDER, least: int = LEAST, backoff: float = BACKOFF, block_bytes: int = BLOCK_BYTES, carry: list[str] | None = None) -> DataFrame:
+    """`df` with n_words and log_score, the sum of its words' scores by the n-grams of all of `df`."""
+    if order < 1:
+        raise ValueError("n-grams have a word at least")
+    carry = [c for c in (df.columns if carry is None else carry) if c.lower() not in ("n_words", "log_score")]
+    text = F.col(f"`{text_col}`").cast("string")
+    sizes = df.agg(F.sum(F.octet_length(text)), F.sum(F.regexp_count(text, F.lit(r"[^ \t\n\x0B\f\r]+")))).first()
+    total = sizes[1] or 0
+    blocks = max(1, -(-(sizes[0] or 0) // block_bytes))
+    block = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), text), F.lit(blocks)).cast("int").alias("__block")
+    docs = df.select(block, text.alias("__text"), *[F.col(f"`{c}`") for c in carry]).repartition("__block")
+
+    gram_schema = T.StructType().add("__block", "integer").add("number", "integer").add("k1", "long").add("k2", "long").add("n", "long").add("single", "boolean")
+
+    def grams_of(key, rows):
+        grams = Grams(rows.column(1).to_pylist(), order)
+        keys, counts = np.concatenate(grams.keys).view(np.int64), np.concatenate(grams.counts)
+        number = np.arange(len(keys), dtype=np.int32)
+        columns = [np.full(len(keys), key[0].as_py(), np.int32), number, keys[:, 0].copy(), keys[:, 1].copy(), counts.astype(np.int64), number < len(grams.keys[0])]
+        return pa.table([pa.array(c) for c in columns], names=gram_schema.names)
+
+    exploded = docs.groupBy("__block").applyInArrow(grams_of, gram_schema)
+    summed = exploded.select("__block", "number", F.sum("n").over(W.partitionBy("k1", "k2")).alias("count"), "single")
+    # an n-gram that does not go back is one to back off from
+    own = summed.where((F.col("count") >= least) | F.col("single")).drop("single")
+
+    fields = docs.select(*[F.col(f"`{c}`") for c in carry]).schema.fields
+    schema = T.StructType([*fields, *T.StructType().add("n_words", "long").add("log_score", "double")])
+
+    def score(rows, counted):
+        grams = Grams(rows.column(1).to_pylist(), order)
+        counts = np.zeros(sum(map(len, grams.keys)), np.int64)
+        counts[counted.column(1).to_numpy()] = counted.column(2).to_numpy()
+        return pa.table([*rows.columns[2:], pa.array(grams.size), pa.array(grams.scores(counts, total, least, backoff))], names=schema.names)
+
+    return docs.groupBy("__block").cogroup(own.groupBy("__block")).applyInArrow(score, schema)

@@ -4,7 +4,7 @@ from collections import Counter
 import pytest
 
 from tagloom.llm import queries
-from tagloom.llm.lm_score import score_texts
+from tagloom.llm.lm_score import score_texts, score_words
 
 
 def brute(texts, order=5, least=2, backoff=0.4):
@@ -52,3 +52,35 @@ def test_odd_rows(spark, odd, none):
     assert len(rows) == odd.count()
     same(rows, brute([r.text for r in rows]))
     assert score_texts(none).count() == 0
+
+
+def brute_words(texts, order=3, least=2, backoff=0.4):
+    """(words, score) of each text, a word at a time."""
+    found = [(t or "").encode().split() for t in texts]
+    counts = Counter(tuple(w[i : i + n]) for w in found for n in range(1, order + 1) for i in range(len(w) - n + 1))
+    total = sum(map(len, found))
+
+    def score(gram):
+        if len(gram) == 1:
+            return math.log(counts[gram] / total)
+        return math.log(counts[gram] / counts[gram[:-1]]) if counts[gram] >= least else math.log(backoff) + score(gram[1:])
+
+    return [(len(w), sum(score(tuple(w[max(0, i - order + 1) : i + 1])) for i in range(len(w)))) for w in found]
+
+
+def same_words(rows, expected):
+    assert len(rows) == len(expected)
+    for r, (n, s) in zip(rows, expected):
+        assert r.n_words == n and r.log_score == pytest.approx(s, rel=1e-9, abs=1e-9)
+
+
+def test_query_of_words_against_brute_force(spark, sf, documents):
+    docs = documents.orderBy("doc_id").collect()
+    same_words(sorted(queries.op5_word_score(spark, sf).collect(), key=lambda r: r.doc_id), brute_words([d.text for d in docs]))
+
+
+@pytest.mark.parametrize("order, block", [(1, 40), (3, 40), (5, 1 << 20)])
+def test_words_of_odd_rows(spark, odd, none, order, block):
+    rows = score_words(odd.unionByName(odd), order=order, block_bytes=block).collect()
+    same_words(rows, brute_words([r.text for r in rows], order))
+    assert score_words(none).count() == 0
