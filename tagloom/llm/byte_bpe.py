@@ -2,8 +2,8 @@
 
 Tier one resolves a whole pre-token that is in the vocabulary through a minimal perfect hash (hash and
 displace); tier two merges the bytes of any other pre-token, a linked list of parts with a heap of pair ranks.
-The new pre-tokens of a batch are merged together: each has its own links and its own heap, a tournament over
-its pair ranks kept as a row of a matrix, and all take their next merge at once. Pre-tokens of over
+The new pre-tokens of a batch are merged together: each has its own links and its own row of
+pair ranks in a matrix, whose minimum is its next merge, and all take theirs at once. Pre-tokens of over
 WIDEST bytes have a binary heap each.
 
 Defined results: null and empty texts have no ids; texts of any length are encoded whole (a pre-token of n
