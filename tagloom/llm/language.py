@@ -20,6 +20,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -194,15 +195,15 @@ def training_words(train: DataFrame, text_col: str, lang_col: str, max_texts: in
         for part in parts:
             found: dict[str, Counter] = {}
             for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                found.setdefault(lang, Counter()).update(_words(text))
+                found.setdefault(lang, Counter()).update(w for w in _words(text) if w.isalpha())
             rows = [(k, w, n) for k, c in found.items() for w, n in c.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["lang", "word", "n"])
 
     words = chosen.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     out: dict[str, dict[str, float]] = {lang: {} for lang in sizes}
-    for r in words.orderBy(F.desc("n"), "lang", "word").limit(MAX_TRAINING_WORDS * len(sizes)).toLocalIterator():
-        if len(out[r.lang]) < MAX_TRAINING_WORDS and r.word.isalpha():
-            out[r.lang][r.word] = float(r.n)
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    for r in words.withColumn("rank", rank).where(F.col("rank") <= MAX_TRAINING_WORDS).orderBy("lang", "rank").toLocalIterator():
+        out[r.lang][r.word] = float(r.n)
     return {k: v for k, v in out.items() if v}
 
 

@@ -55,6 +55,16 @@ def test_query_is_right_on_what_it_has_not_seen(spark):
     assert np.mean([r.lang_pred == langs[r.doc_id] for r in rows if r.held_out]) > 0.99
 
 
+def test_each_language_keeps_its_own_words(spark, monkeypatch):
+    monkeypatch.setattr(L, "MAX_TRAINING_WORDS", 3)
+    rows = [("a b c d e f g h a b c", "de"), ("x y z", "fr")]
+    found = L.training_words(spark.createDataFrame(rows * 2 + rows[:1], "text string, lang string"), "text", "lang")
+    assert found == {"de": {"a": 6.0, "b": 6.0, "c": 6.0}, "fr": {"x": 2.0, "y": 2.0, "z": 2.0}}
+    # words seen once, which a limit over all languages fills up in the order of their names
+    rows = [("a b c d e f g h", "de"), ("x y", "fr")]
+    assert L.training_words(spark.createDataFrame(rows, "text string, lang string"), "text", "lang") == {"de": {"a": 1.0, "b": 1.0, "c": 1.0}, "fr": {"x": 1.0, "y": 1.0}}
+
+
 def test_odd_rows(spark, odd, none, documents):
     rows = L.identify(odd.withColumn("Score", F.lit(1)), documents, PATH).collect()
     assert len(rows) == odd.count()
