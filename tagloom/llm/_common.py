@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -46,6 +47,45 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """`df` written as Parquet to the shared folder and read back: as `cut`, for tables that columns make small."""
+    place = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
+def quoted(name: str):
+    """The column of that name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+class Shelf:
+    """Columns that an operator carries along, under the names f0, f1, ... until its results are there.
+
+    No operator uses such a name, so none of the input's names meets one of an operator's own. A column named like
+    an output (letter case aside) gives way to the output.
+    """
+
+    def __init__(self, columns: list[str], outputs: tuple[str, ...] | list[str]):
+        taken = {x.lower() for x in outputs}
+        self.names = [c for c in columns if c.lower() not in taken]
+        self.keys = [f"f{i}" for i in range(len(self.names))]
+        self.put = [quoted(c).alias(k) for c, k in zip(self.names, self.keys)]
+        self.back = [F.col(k).alias(c) for c, k in zip(self.names, self.keys)]
+
+
+def look_up(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of a written table `rows` to `table`, which has each key once.
+
+    A key with over 1/(4 x partitions) of the rows is hot, so at most 4 x partitions are: their entries of `table`
+    are sent to all tasks (the bound on their number is the bound on the broadcast), and all others meet in a join.
+    """
+    n = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+    hot = F.broadcast(cut(counts.where(F.col("__rows") > max(1, rows.count() // n)).select(*keys)))
+    return rows.join(F.broadcast(table.join(hot, keys, "left_semi")), keys).unionByName(rows.join(hot, keys, "left_anti").join(table, keys))
+
+
 def batches(column: pa.Array, limit: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of `column` (strings) with about `limit` bytes each; a longer row is alone in its range."""
     start = size = 0
@@ -81,10 +121,10 @@ def map_texts(
     `make` runs once in each task and returns the function from an Arrow string array to the output columns.
     A carried column whose name (letter case aside) is also an output's gives way to the output.
     """
-    taken = {x.name.lower() for x in outputs}
-    carry = [c for c in carry if c.lower() not in taken]
-    kept = df.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{text_col}`").cast("string").alias("__text"))
-    schema = T.StructType([*kept.select(*[F.col(f"`{c}`") for c in carry]).schema.fields, *outputs.fields])
+    shelf = Shelf(carry, outputs.names)
+    carry = shelf.keys
+    kept = df.select(*shelf.put, quoted(text_col).cast("string").alias("text"))
+    schema = T.StructType([*kept.schema.fields[:-1], *[T.StructField(f"out{i}", f.dataType) for i, f in enumerate(outputs)]])
     types = to_arrow_schema(schema)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,8 +133,8 @@ def map_texts(
             texts = part.column(len(carry))
             for a, b in batches(texts):
                 got = work(texts.slice(a, b - a))
-                own = [x if isinstance(x := got[f.name], pa.Array) else pa.array(x, types.field(f.name).type) for f in outputs]
+                own = [x if isinstance(x := got[f.name], pa.Array) else pa.array(x, types.field(f"out{i}").type) for i, f in enumerate(outputs)]
                 rest = [part.column(i).slice(a, b - a).cast(types.field(i).type) for i in range(len(carry))]
                 yield pa.RecordBatch.from_arrays([*rest, *own], schema=types)
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(run, schema).select(*shelf.back, *[F.col(f"out{i}").alias(f.name) for i, f in enumerate(outputs)])

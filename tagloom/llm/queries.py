@@ -78,16 +78,11 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .line_dedup import removed_units
+    from .line_dedup import document_report
 
-    return removed_units(_table(spark, sf_dir, "documents"))
-
-
-def op7_every_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op7_line_dedup, but of lines of any number of words."""
-    from .line_dedup import removed_units
-
-    return removed_units(_table(spark, sf_dir, "documents"), min_words=1)
+    starts, ends = F.transform("spans", lambda s: s["start"]).alias("starts"), F.transform("spans", lambda s: s["end"]).alias("ends")
+    counts = ("n_units", "n_units_removed", "n_passages", "n_passages_removed", "n_passages_shared", "n_removed")
+    return document_report(_table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), *counts, starts, ends)
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +117,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-OPERATORS = (op1_packing, op2_quality, op3_decontaminate, op4_simhash, op5_lm_score, op5_word_score, op6_suffix_dedup, op7_line_dedup, op7_every_line, op8_byte_bpe, op9_language, op10_exact_dedup)
+OPERATORS = (op1_packing, op2_quality, op3_decontaminate, op4_simhash, op5_lm_score, op5_word_score, op6_suffix_dedup, op7_line_dedup, op8_byte_bpe, op9_language, op10_exact_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
