@@ -113,8 +113,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return exact_dedup(_table(spark, sf_dir, "documents"), carry=["doc_id"]).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 OPERATORS = (op1_packing, op2_quality, op3_decontaminate, op4_simhash, op5_lm_score, op5_word_score, op6_suffix_dedup, op7_line_dedup, op8_byte_bpe, op9_language, op10_exact_dedup)

@@ -38,7 +38,9 @@ def test_one_shuffle_of_the_texts_and_no_python(spark, documents):
 
 
 def test_odd_rows(spark, odd, none):
-    rows = exact_dedup(odd.withColumn("Kept", F.lit(1))).collect()
+    names = ["Hash", "hot", "salt", "begin", "norm", "first", "id", "rows", "f0", "__digest", "runs"]
+    rows = exact_dedup(odd.withColumns({n: F.lit(7) for n in names} | {"Kept": F.lit(1)})).collect()
+    assert all(r[n] == 7 for r in rows for n in names)
     assert len(rows) == odd.count()
     same = [r for r in rows if r.text == "Same text here."]
     assert {(r.keep_id, r.group_size) for r in same} == {(10, 4)} and sum(r.kept for r in same) == 1
