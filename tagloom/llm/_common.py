@@ -74,15 +74,17 @@ class Shelf:
         self.back = [F.col(k).alias(c) for c, k in zip(self.names, self.keys)]
 
 
-def look_up(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join of a written table `rows` to `table`, which has each key once.
+def look_up(rows: DataFrame, table: DataFrame, keys: list[str], count: str | None = None) -> DataFrame:
+    """Inner join of a written table `rows` to a written `table`, which has each key once.
 
     A key with over 1/(4 x partitions) of the rows is hot, so at most 4 x partitions are: their entries of `table`
     are sent to all tasks (the bound on their number is the bound on the broadcast), and all others meet in a join.
+    `count` names the column of `table` that has the number of rows of each key, if there is one.
     """
     n = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
-    hot = F.broadcast(cut(counts.where(F.col("__rows") > max(1, rows.count() // n)).select(*keys)))
+    limit = max(1, rows.count() // n)
+    counts = table.withColumn("__rows", F.col(count)) if count else rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+    hot = F.broadcast(cut(counts.where(F.col("__rows") > limit).select(*keys)))
     return rows.join(F.broadcast(table.join(hot, keys, "left_semi")), keys).unionByName(rows.join(hot, keys, "left_anti").join(table, keys))
 
 

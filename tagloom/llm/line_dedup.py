@@ -116,7 +116,7 @@ def repeated_units(units: DataFrame) -> DataFrame:
     # nulls sort first in a struct, as in the definition; equal rows are one occurrence
     once = real.select("level", "k1", "k2", F.struct("id", "hash", "place").alias("at"))
     groups = once.groupBy("level", "k1", "k2").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count(F.lit(1)).alias("copies"))
-    return look_up(real, stored(groups.where("first <> last")), ["level", "k1", "k2"])
+    return look_up(real, stored(groups.where("first <> last")), ["level", "k1", "k2"], "copies")
 
 
 def _later() -> F.Column:

@@ -1,12 +1,16 @@
 import random
 import re
 
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from tagloom.llm import queries
 from tagloom.llm.components import components
-from tagloom.llm.simhash import candidates, fingerprint, links, near_duplicates
+from tagloom.llm.simhash import fingerprint, grid, links, near_duplicates
+
+
+NAMES = ["fp", "id", "__fp", "root", "node", "least", "nulls", "point", "f0", "out0", "__rows"]
 
 
 def brute_fingerprint(text):
@@ -53,7 +57,8 @@ def test_query_against_brute_force(spark, sf, documents):
     assert len(rows) == len(fps)
 
 
-def test_links_connect_what_all_pairs_connect(spark):
+@pytest.mark.parametrize("crowd", [1, 4, 32])
+def test_links_connect_what_all_pairs_connect(spark, crowd):
     r = random.Random(3)
     base = [r.getrandbits(64) for _ in range(20)] + [0, (1 << 64) - 1, 1 << 63]
     words = set(base)
@@ -64,13 +69,22 @@ def test_links_connect_what_all_pairs_connect(spark):
             words.add(b)
     signed = {w: w - (w >> 63 << 64) for w in words}
     df = spark.createDataFrame([(s,) for s in signed.values()], "fp long")
-    got = components(links(candidates(df))).collect()
+    got = components(links(df, crowd=crowd)).collect()
     close = [(signed[a], signed[b]) for a in words for b in words if a < b and (a ^ b).bit_count() <= 2]
     expected = roots(signed.values(), close)
     linked = {x for p in close for x in p}
     assert {g.node: g.root for g in got} == {n: expected[n] for n in linked}
 
 
+def test_grid_points(spark):
+    word = 0b01_11_00_10
+    rows = grid(spark.createDataFrame([(word,)], "fp long")).collect()
+    digits = [1, 0, 2, 1] + [0] * 28
+    near = [digits] + [digits[:k] + [digits[k] + d] + digits[k + 1 :] for k in range(32) for d in (1, -1) if 0 <= digits[k] + d <= 2]
+    number = lambda p: sum(d * 3**k for k, d in enumerate(p))
+    assert sorted(r.point for r in rows) == sorted(map(number, near)) and {r.fp for r in rows} == {word}
+
+
 def test_long_chain(spark):
     n = 300
     order = list(range(n))
@@ -82,7 +96,8 @@ def test_long_chain(spark):
 
 
 def test_odd_rows(spark, odd, none):
-    rows = near_duplicates(odd.withColumn("Fingerprint", F.lit(1))).collect()
+    rows = near_duplicates(odd.withColumns({n: F.lit(7) for n in NAMES} | {"Fingerprint": F.lit(1)})).collect()
+    assert all(r[n] == 7 for r in rows for n in NAMES)
     assert len(rows) == odd.count()
     fps = [brute_fingerprint(r.text) for r in rows]
     for r, fp in zip(rows, fps):
