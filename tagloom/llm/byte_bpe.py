@@ -2,13 +2,14 @@
 
 Tier one resolves a whole pre-token that is in the vocabulary through a minimal perfect hash (hash and
 displace); tier two merges the bytes of any other pre-token, a linked list of parts with a heap of pair ranks.
-The new pre-tokens of a batch are merged together: each has its own links and its own row of
-pair ranks in a matrix, whose minimum is its next merge, and all take theirs at once. Pre-tokens of over
-WIDEST bytes have a binary heap each.
+The new pre-tokens of a batch are merged together: each has its own links and its own heap, a tree whose nodes
+hold the least of their four children, and all take a merge at once; a merge renews the three leaves that it
+changes and the nodes above them. Pre-tokens of over WIDEST bytes have a binary heap each, by the same order.
 
 Defined results: null and empty texts have no ids; texts of any length are encoded whole (a pre-token of n
-bytes costs n log n); repeated rows are encoded alike. Columns of the input are carried along, except those
-whose names are outputs' names. A table without rows gives no rows.
+bytes costs n log n); repeated rows are encoded alike. Columns of the input are carried along
+whatever their names, except those named like outputs. A table without rows gives no rows. Ranks must
+hold every single byte, or there would be texts without ids.
 """
 
 from __future__ import annotations
@@ -37,8 +38,9 @@ MAX_RANK_BYTES = 64 << 20
 _MASK = (1 << 64) - 1
 _NONE = np.iinfo(np.int32).max
 
-#: Pre-tokens are merged in matrices of these widths; ranks below 2^31 / WIDEST fit.
-WIDTHS = (8, 16, 32)
+#: Leaves of the heaps that are merged together, powers of FAN.
+FAN = 4
+WIDTHS = (4, 16, 64)
 WIDEST = WIDTHS[-1]
 _WIDTH_OF = [next(w for w in WIDTHS if n <= w) for n in range(WIDEST + 1)]
 
@@ -102,6 +104,10 @@ class Codec:
         self.table, self.ranks = table or PerfectHash(ranks), ranks
         self.bytes_of = {r: b for b, r in ranks.items()}
         self.byte_ranks = [ranks.get(bytes([a]), -1) for a in range(256)]
+        if min(self.byte_ranks) < 0:
+            raise ValueError("the ranks lack a single byte")
+        if max(ranks.values()) >= _NONE // WIDEST:
+            raise ValueError(f"ranks are below {_NONE // WIDEST}")
         self.pair_ranks = [ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)]
         self.find = regex.compile(pattern).findall
         self.pieces: dict[str, bytes] = {}
@@ -148,11 +154,12 @@ class Codec:
         after = np.broadcast_to(np.arange(1, width + 2, dtype=np.int8), (count, width + 1)).copy()
         before = np.broadcast_to(np.arange(-1, width, dtype=np.int8), (count, width + 1)).copy()
         first = np.array(self.pair_ranks, np.int32)[(text[:, :-1].astype(np.int64) << 8) | text[:, 1:]]
-        heap = np.full((count, width), _NONE, np.int32)
-        heap[:, :-1] = np.where(inside[:, 1:] & (first >= 0), first * width + np.arange(width - 1), _NONE)
+        heap = _Heaps(count, width)
+        heap.levels[0].reshape(count, width)[:, :-1] = np.where(inside[:, 1:] & (first >= 0), first * width + np.arange(width - 1), _NONE)
+        heap.build()
         rows = np.arange(count)
         while True:
-            root = heap[rows].min(axis=1)  # of each tournament
+            root = heap.least(rows)
             live = root != _NONE
             rows, root = rows[live], root[live]
             if not len(rows):
@@ -161,13 +168,16 @@ class Codec:
             j = after[rows, i]
             stop = after[rows, j]
             ids[rows, i], ids[rows, j] = rank, -1
-            after[rows, i], before[rows, stop], heap[rows, j] = stop, i, _NONE
+            after[rows, i], before[rows, stop] = stop, i
             right = self.pairs.get(rank, ids[rows, stop])
-            heap[rows, i] = np.where(right >= 0, right * width + i, _NONE)
             h = before[rows, i]
-            left = self.pairs.get(np.where(h >= 0, ids[rows, h], -1), rank)
-            own = h >= 0
-            heap[rows[own], h[own]] = np.where(left >= 0, left * width + h, _NONE)[own]
+            own = np.flatnonzero(h >= 0)
+            left = self.pairs.get(ids[rows[own], h[own]], rank[own])
+            heap.renew(
+                np.concatenate([rows, rows, rows[own]]),
+                np.concatenate([i, j, h[own]]).astype(np.int64),
+                np.concatenate([np.where(right >= 0, right * width + i, _NONE), np.full(len(rows), _NONE), np.where(left >= 0, left * width + h[own], _NONE)]),
+            )
         flat = ids[ids >= 0].astype("<u4").tobytes()
         ends = (np.cumsum((ids >= 0).sum(axis=1)) * 4).tolist()
         return [flat[a:b] for a, b in zip([0, *ends], ends)]
@@ -207,6 +217,35 @@ class Codec:
         return out
 
 
+class _Heaps:
+    """Heaps of one size beside each other; a node holds the least of its FAN children, the root the least of all."""
+
+    def __init__(self, count: int, width: int):
+        self.widths, self.levels = [], []
+        while True:
+            self.widths.append(width)
+            self.levels.append(np.full(count * width, _NONE, np.int32))
+            if width == 1:
+                break
+            width //= FAN
+
+    def build(self) -> None:
+        for below, above in zip(self.levels, self.levels[1:]):
+            above[:] = below.reshape(-1, FAN).min(axis=1)
+
+    def least(self, rows: np.ndarray) -> np.ndarray:
+        return self.levels[-1][rows]
+
+    def renew(self, rows: np.ndarray, places: np.ndarray, values: np.ndarray) -> None:
+        """Give leaves new values, and the nodes above them theirs."""
+        at = rows * self.widths[0] + places
+        self.levels[0][at] = values
+        for below, above in zip(self.levels, self.levels[1:]):
+            at = at // FAN
+            child = at * FAN
+            above[at] = np.minimum(np.minimum(below[child], below[child + 1]), np.minimum(below[child + 2], below[child + 3]))
+
+
 class _PairTable:
     """Rank of the string that two tokens make together, by their ranks; -1 if it is none. Open addressing."""
 

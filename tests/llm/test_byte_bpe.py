@@ -40,6 +40,11 @@ def test_perfect_hash_is_minimal(ranks):
     assert table.get(b"no such token, surely") == -1
 
 
+def test_a_byte_without_a_rank_is_refused(ranks):
+    with pytest.raises(ValueError):
+        byte_bpe.Codec({k: v for k, v in ranks.items() if k != b"q"}, P.PATTERN)
+
+
 def test_empty_ranks():
     assert byte_bpe.PerfectHash({}).get(b"a") == -1
 
@@ -53,9 +58,9 @@ def test_encodes_as_the_library(codec, library, text):
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.binary(min_size=1, max_size=32))
+@given(st.binary(min_size=1, max_size=64))
 def test_the_two_heaps_agree(codec, data):
-    assert codec.merge_many([data], 32) == [np.array(codec.merge(data), "<u4").tobytes()]
+    assert codec.merge_many([data], 64) == [np.array(codec.merge(data), "<u4").tobytes()]
 
 
 def test_forgetting_changes_nothing(ranks, library):
