@@ -55,18 +55,68 @@ def test_query_is_right_on_what_it_has_not_seen(spark):
     assert np.mean([r.lang_pred == langs[r.doc_id] for r in rows if r.held_out]) > 0.99
 
 
-def test_each_language_keeps_its_own_words(spark, monkeypatch):
-    monkeypatch.setattr(L, "MAX_TRAINING_WORDS", 3)
-    rows = [("a b c d e f g h a b c", "de"), ("x y z", "fr")]
-    found = L.training_words(spark.createDataFrame(rows * 2 + rows[:1], "text string, lang string"), "text", "lang")
-    assert found == {"de": {"a": 6.0, "b": 6.0, "c": 6.0}, "fr": {"x": 2.0, "y": 2.0, "z": 2.0}}
-    # words seen once, which a limit over all languages fills up in the order of their names
-    rows = [("a b c d e f g h", "de"), ("x y", "fr")]
-    assert L.training_words(spark.createDataFrame(rows, "text string, lang string"), "text", "lang") == {"de": {"a": 1.0, "b": 1.0, "c": 1.0}, "fr": {"x": 1.0, "y": 1.0}}
+def test_words_end_where_letters_end():
+    assert L.words_of("x² H₂O a1b Ünï_É 漢字") == ["x", "h", "o", "a", "b", "ünï", "é", "漢字"]
+
+
+def test_a_long_run_of_letters_is_one_word(model):
+    for length, chunk in ((100, 4096), (1000, 16), (5000, 4096)):
+        word = "abcz" * (length // 4)
+        old, L.CHUNK = L.CHUNK, chunk
+        try:
+            got = model.forward([word, "ab"])[0]
+        finally:
+            L.CHUNK = old
+        # sums in logarithms, place by place
+        text, row = "▁" + word, {p: i for i, p in enumerate(PIECES)}
+        for k in range(2):
+            best = [0.0] + [-math.inf] * len(text)
+            for i in range(len(text)):
+                for n in range(1, 5):
+                    p = model.p[row[text[i : i + n]], k] if text[i : i + n] in row else 1e-7 * (n == 1)
+                    if p and i + n <= len(text):
+                        best[i + n] = np.logaddexp(best[i + n], best[i] + math.log(p))
+            assert got[k] == pytest.approx(best[-1])
+        uses = model.expected([word], np.array([1.0]), 0)
+        assert np.isfinite(uses).all() and 0.5 * length < (uses * [len(p) for p in PIECES]).sum() <= length + 1
+
+
+def test_no_language_is_left_out(spark):
+    # a rare language whose words occur once beside one with many, and hundreds more
+    rows = [("a b c d e f g h a b c", "de")] * 3 + [("x y", "fr")] + [("abc " * 3, f"l{i:04}") for i in range(520)]
+    words = L.training_words(spark.createDataFrame(rows, "text string, lang string"), "text", "lang")
+    found = {}
+    for r in words.collect():
+        found.setdefault(r.lang, {})[r.word] = r.n
+    assert found["fr"] == {"x": 1, "y": 1} and len(found) == 522
+    model = L.fit(words, [*PIECES, "x", "y"])
+    assert model.languages == sorted(found)
+    assert L.Scorer(model).score(["x y x y", None, "²"])[0] == ["fr", "und", "und"]
+
+
+def test_accuracy_against_brute_force(spark, documents):
+    """Posteriors of whole texts by summing every word's segmentations one place at a time."""
+    pieces = L.read_pieces(PATH)
+    model = L.fit(L.training_words(documents, "text", "lang"), pieces)
+    row = {p: i for i, p in enumerate(pieces)}
+    texts = [r.text for r in documents.where("text IS NOT NULL").orderBy("doc_id").limit(15).collect()]
+    names, scores = L.Scorer(model).score(texts)
+    for text, name, score in zip(texts, names, scores):
+        total = np.zeros(model.width)
+        for w in L.words_of(text):
+            w = "▁" + w
+            alpha = np.zeros((len(w) + 1, model.width))
+            alpha[0] = 1
+            for i in range(len(w)):
+                for j in range(i + 1, len(w) + 1):
+                    alpha[j] += alpha[i] * (model.p[row[w[i:j]]] if w[i:j] in row else 1e-7 * (j == i + 1))
+            total += np.log(alpha[-1])
+        assert model.languages[int(total.argmax())] == name
+        assert score == pytest.approx(1 / np.exp(total - total.max()).sum())
 
 
 def test_odd_rows(spark, odd, none, documents):
-    rows = L.identify(odd.withColumn("Score", F.lit(1)), documents, PATH).collect()
+    rows = L.identify(odd.withColumns({"Score": F.lit(1), "f0": F.lit(7), "out0": F.lit(7), "share": F.lit(7)}), documents, PATH).collect()
     assert len(rows) == odd.count()
     for r in rows:
         letters = any(c.isalpha() for c in r.text or "")
