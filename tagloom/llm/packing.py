@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ._common import batches
+from ._common import batches, quoted
 from .byte_bpe import codec_of, share_ranks
 
 ROW = 2048
@@ -29,8 +29,6 @@ REMEMBERED = 700_000
 #: Ids that a task holds before it packs them.
 BLOCK_IDS = 2 << 20
 
-#: The first id that the vocabulary has free.
-PAD = 50_256
 
 
 class Rooms:
@@ -86,10 +84,15 @@ def pack(sizes: list[int], row: int = ROW) -> list[list[tuple[int, int, int]]]:
     return rows
 
 
-def pack_documents(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", row: int = ROW, block_ids: int = BLOCK_IDS, pad: int = PAD) -> DataFrame:
-    """Packed rows: doc_ids, offsets, lengths, cu_seqlens, input_ids and position_ids (both little-endian unsigned 32-bit), n_ids."""
-    kept = df.select(df[id_col].alias("id"), df[text_col].cast("string").alias("text"))
+def pack_documents(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", row: int = ROW, block_ids: int = BLOCK_IDS, pad: int | None = None) -> DataFrame:
+    """Packed rows: doc_ids, offsets, lengths, cu_seqlens, input_ids and position_ids (both little-endian unsigned 32-bit), n_ids.
+
+    Room that is left has the id `pad`, the first that the vocabulary has free if none is named.
+    """
+    kept = df.select(quoted(id_col).alias("id"), quoted(text_col).cast("string").alias("text"))
     shared = share_ranks(df.sparkSession, ranks_path)
+    if pad is None:
+        pad = max(shared.value[1].values(), default=-1) + 1
     kind = kept.schema["id"].dataType
     schema = T.StructType()
     for name, t in (("doc_ids", T.ArrayType(kind)), ("offsets", T.ArrayType(T.LongType())), ("lengths", T.ArrayType(T.IntegerType())), ("cu_seqlens", T.ArrayType(T.IntegerType())), ("input_ids", T.BinaryType()), ("position_ids", T.BinaryType()), ("n_ids", T.IntegerType())):
