@@ -1,21 +1,22 @@
-"""Language-model scores by stupid backoff over the corpus' own n-grams of bytes.
+"""Language-model scores by stupid backoff over the corpus' own n-grams of words.
 
-Texts are dealt into blocks of bounded size by a hash. Each block gives its n-grams of one to ORDER bytes with
-their counts, which are exploded into rows and dealt out by n-gram: there the counts of all blocks are added up to
-the n-gram table, and joined back to the blocks' own rows. Each block then gets its part of the table beside its
-texts, scores its distinct longest n-grams once, and adds the scores up by document. An n-gram is at most one row
-of a block, so no n-gram, however frequent, weighs on one task.
+Texts are dealt into blocks of bounded size by a hash. The n-grams of each block are exploded into rows (block,
+n-gram, count) and dealt out by the n-gram's hash: that is the count table, partitioned by hash, of which each row
+learns its n-gram's count in the whole corpus. Rows whose n-gram occurs in other blocks too go back and are joined to
+the exploded n-grams of their block's documents; there the scores are summed per document. An n-gram is at most one
+row of a block, so the most frequent one has as many rows as there are blocks: fewer than an average partition of
+the table has, as a block has hundreds of thousands of n-grams.
 
-A byte after a history of up to ORDER - 1 bytes of its text scores log(count of both / count of the history) if the
+A word after a history of up to ORDER - 1 words of its text scores log(count of both / count of the history) if the
 two together occur `least` times in the corpus, and otherwise the logarithm of BACKOFF plus the score after the
-history less its first byte; without a history, log(count / all bytes).
-
-Defined results: null and empty texts have no bytes and score 0; texts of any length are scored whole; repeated
-rows count and score as often as they occur; a table without rows gives none. Columns of the input are carried
-along, except those whose names are outputs' names.
-
-score_words does the same with n-grams of words (what ASCII white space separates), whose table grows with the corpus.
-Here an n-gram is dealt out by a hash of 128 bits and goes back to its block as a number with its count.
+history less its first word; without a history, log(count / all words). The n-gram of no words, whose count is that
+of all words, is a row of each block as well. N-grams are told apart by hashes of 64 bits. The table grows with the
+corpus: each word adds an n-gram of each size, and most are new.
+
+Defined results: words are what ASCII white space separates; null, empty and blank texts have none and score 0, their
+mean too; texts of any length are scored whole; repeated rows count and score as often as they occur; a table
+without rows gives none. Columns of the input are carried along whatever their names, except those named like
+outputs.
 """
 
 from __future__ import annotations
@@ -30,159 +31,48 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ORDER = 5
+from ._common import Shelf, quoted
+
+ORDER = 2
 BACKOFF = 0.4
 LEAST = 2
 
-#: Bytes of text in a block, about; and of those looked at together.
+#: Bytes of text in a block, about.
 BLOCK_BYTES = 16 << 20
-PART_BYTES = 1 << 20
-
-_SHIFT = 40  # the length of an n-gram stands above its bytes, five at most
-
-
-def _cut(grams: np.ndarray, n: int) -> np.ndarray:
-    """The last n bytes of each n-gram."""
-    return (grams & ((1 << 8 * n) - 1)) | (n << _SHIFT)
-
-
-def longest(raws: list[bytes], order: int = ORDER) -> np.ndarray:
-    """For each byte of the texts the n-gram that ends with it: of `order` bytes, fewer at a text's beginning."""
-    size = np.fromiter(map(len, raws), np.int64, len(raws))
-    data = np.frombuffer(b"".join(raws), np.uint8).astype(np.int64)
-    place = np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size)
-    out = data.copy()
-    for k in range(1, order):
-        out[k:] |= data[:-k] << (8 * k)
-    have = np.minimum(place + 1, order)
-    return (out & ((1 << 8 * have) - 1)) | (have << _SHIFT)
-
-
-def _parts(texts: list[str | None], limit: int = PART_BYTES):
-    """Texts as bytes, about `limit` at a time."""
-    part, held = [], 0
-    for t in texts:
-        raw = (t or "").encode()
-        part.append(raw)
-        held += len(raw)
-        if held >= limit:
-            yield part
-            part, held = [], 0
-    if part:
-        yield part
-
-
-def _added(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    kinds, which = np.unique(grams, return_inverse=True)
-    return kinds, np.bincount(which, counts, len(kinds)).astype(np.int64)
-
-
-def count_grams(texts: list[str | None], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """N-grams of one to `order` bytes of the texts, and their counts."""
-    grams, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for raws in _parts(texts):
-        k, n = np.unique(longest(raws, order), return_counts=True)
-        grams, counts = _added(np.concatenate([grams, k]), np.concatenate([counts, n]))
-    have = grams >> _SHIFT
-    found = [_added(_cut(grams[have >= n], n), counts[have >= n]) for n in range(1, order + 1)]
-    return np.concatenate([g for g, _ in found]), np.concatenate([c for _, c in found])
-
-
-def score_grams(grams: np.ndarray, table: np.ndarray, counts: np.ndarray, total: int, least: int = LEAST, backoff: float = BACKOFF) -> np.ndarray:
-    """The score of each n-gram's last byte after the others; `table` is sorted and has all that is asked for."""
-
-    def count(g: np.ndarray) -> np.ndarray:
-        return counts[np.searchsorted(table, g)]
-
-    have = grams >> _SHIFT
-    out = np.zeros(len(grams))
-    rest = np.arange(len(grams))
-    for n in range(int(have.max(initial=1)), 0, -1):
-        own = rest[have[rest] >= n]
-        g = _cut(grams[own], n)
-        c = count(g)
-        good = (c >= least) | (n == 1)
-        own, g, c = own[good], g[good], c[good]
-        below = count(((g & ((1 << 8 * n) - 1)) >> 8) | ((n - 1) << _SHIFT)) if n > 1 else total
-        out[own] = np.log(c / below) + (have[own] - n) * math.log(backoff)
-        left = np.ones(len(grams), bool)
-        left[own] = False
-        rest = rest[left[rest]]
-    return out
-
-
-def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, least: int = LEAST, backoff: float = BACKOFF, block_bytes: int = BLOCK_BYTES, carry: list[str] | None = None) -> DataFrame:
-    """`df` with n_bytes and log_score, the sum of its bytes' scores by the n-grams of all of `df`."""
-    if not 1 <= order <= 5:
-        raise ValueError("n-grams have one to five bytes")
-    carry = [c for c in (df.columns if carry is None else carry) if c.lower() not in ("n_bytes", "log_score")]
-    text = F.col(f"`{text_col}`").cast("string")
-    total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    block = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), text), F.lit(blocks)).cast("int").alias("__block")
-    docs = df.select(block, text.alias("__text"), *[F.col(f"`{c}`") for c in carry]).repartition("__block")
-
-    gram_schema = T.StructType().add("__block", "integer").add("gram", "long").add("n", "long")
-
-    def grams_of(key, rows):
-        grams, counts = count_grams(rows.column(1).to_pylist(), order)
-        return pa.table([pa.array(np.full(len(grams), key[0].as_py(), np.int32)), pa.array(grams), pa.array(counts)], names=gram_schema.names)
-
-    # dealt out by n-gram once: each block's row is joined to the sum of all blocks' counts of its n-gram
-    exploded = docs.groupBy("__block").applyInArrow(grams_of, gram_schema)
-    own = exploded.select("__block", "gram", F.sum("n").over(W.partitionBy("gram")).alias("count"))
 
-    fields = docs.select(*[F.col(f"`{c}`") for c in carry]).schema.fields
-    schema = T.StructType([*fields, *T.StructType().add("n_bytes", "long").add("log_score", "double")])
+OUTPUTS = ("n_words", "log_score", "mean_score")
 
-    def score(rows, counted):
-        grams, counts = counted.column(1).to_numpy(), counted.column(2).to_numpy()
-        ranks = np.argsort(grams)
-        grams, counts = grams[ranks], counts[ranks]
-        sizes, sums = [], []
-        for raws in _parts(rows.column(1).to_pylist()):
-            kinds, which = np.unique(longest(raws, order), return_inverse=True)
-            by_byte = score_grams(kinds, grams, counts, total, least, backoff)[which]
-            n = np.fromiter(map(len, raws), np.int64, len(raws))
-            ends = np.cumsum(n)
-            sums += [float(by_byte[e - k : e].sum()) for k, e in zip(n.tolist(), ends.tolist())]
-            sizes += n.tolist()
-        return pa.table([*rows.columns[2:], pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())], names=schema.names)
-
-    return docs.groupBy("__block").cogroup(own.groupBy("__block")).applyInArrow(score, schema)
+#: Key of the n-gram of no words.
+NOTHING = np.uint64(0x5851F42D4C957F2D)
 
 
-WORD_ORDER = 3
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+    return x ^ (x >> np.uint64(33))
 
 
 class Grams:
-    """Word n-grams of texts: of each size the keys, the numbers of their histories and of what a backoff leaves, and each word's."""
+    """Word n-grams of texts: of each size the keys and counts, the numbers of their histories and of what a backoff leaves."""
 
-    def __init__(self, texts: list[str | None], order: int = WORD_ORDER):
+    def __init__(self, texts: list[str | None], order: int = ORDER):
         number: dict[bytes, int] = {}
-        parts, size = [], []
+        parts = []
         for t in texts:
             words = (t or "").encode().split()
-            parts.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words)))
-            size.append(len(words))
-        self.size = np.array(size, np.int64)
-        self.doc = np.repeat(np.arange(len(texts)), self.size)
-        self.place = np.arange(len(self.doc)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
-        # numbers by the order of the words, so that they don't depend on the order of the texts
-        names = sorted(number)
-        rank = np.empty(len(names), np.int64)
-        rank[[number[w] for w in names]] = np.arange(len(names))
-        ids = rank[np.concatenate([*parts, np.zeros(0, np.int64)])]
-        one = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, names)), np.uint64).reshape(-1, 2)
-        self.keys, self.counts, self.at, self.history, self.rest = [one], [np.bincount(ids, minlength=len(names))], [ids], [None], [None]
+            parts.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
+        self.size = np.fromiter(map(len, parts), np.int64, len(parts))
+        self.doc = np.repeat(np.arange(len(texts), dtype=np.int32), self.size)
+        self.place = (np.arange(len(self.doc)) - np.repeat(np.cumsum(self.size) - self.size, self.size)).astype(np.int32)
+        ids = np.concatenate([*parts, np.zeros(0, np.int32)]).astype(np.int64)
+        one = np.fromiter(map(xxhash.xxh3_64_intdigest, number), np.uint64, len(number))
+        self.keys, self.counts, self.at = [one], [np.bincount(ids, minlength=len(number))], [ids]
+        self.history, self.rest = [np.zeros(len(number), np.int64)], [None]
         for n in range(1, order):
             where = np.flatnonzero(self.place >= n)
-            kinds, first, which, count = np.unique(self.at[-1][where - 1] * len(names) + ids[where], return_index=True, return_inverse=True, return_counts=True)
-            history, last = np.divmod(kinds, max(1, len(names)))
-            x = self.keys[-1][history] * np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64) + one[last] + np.uint64(n)
-            x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-            self.keys.append(x ^ (x >> np.uint64(33)))
+            kinds, first, which, count = np.unique(self.at[-1][where - 1] * len(number) + ids[where], return_index=True, return_inverse=True, return_counts=True)
+            history, last = np.divmod(kinds, max(1, len(number)))
+            self.keys.append(_mixed(self.keys[-1][history] * np.uint64(0x9E3779B97F4A7C15) + one[last] + np.uint64(n)))
             self.counts.append(count)
             self.history.append(history)
             self.rest.append(self.at[-1][where[first]])
@@ -190,57 +80,61 @@ class Grams:
             at[where] = which
             self.at.append(at)
 
-    def scores(self, counts: np.ndarray, total: int, least: int = LEAST, backoff: float = BACKOFF) -> np.ndarray:
-        """Each text's score; `counts` are the corpus' counts of all n-grams here, size by size."""
-        below, out, start = None, np.zeros(len(self.doc)), 0
-        for n, keys in enumerate(self.keys):
-            own = counts[start : start + len(keys)]
-            start += len(keys)
-            if n == 0:
-                score = np.log(own / max(1, total))
-            else:
-                good = own >= least
-                score = math.log(backoff) + score[self.rest[n]]
-                score[good] = np.log(own[good] / below[self.history[n][good]])
+    def rows(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and counts of all n-grams, that of no words first, then size by size."""
+        return np.concatenate([[NOTHING], *self.keys]), np.concatenate([[len(self.doc)], *self.counts])
+
+    def learn(self, keys: np.ndarray, counts: np.ndarray) -> int:
+        """Take counts of the whole corpus for these keys, and return that of all words."""
+        own, now = self.rows()
+        order = np.argsort(own)
+        now[order[np.searchsorted(own, keys, sorter=order)]] = counts
+        ends = np.cumsum([1, *map(len, self.counts)])
+        self.counts = [now[a:b] for a, b in zip(ends, ends[1:])]
+        return int(now[0])
+
+    def scores(self, total: int, least: int = LEAST, backoff: float = BACKOFF) -> np.ndarray:
+        """Each text's score by the counts as they are."""
+        below, out = np.array([max(1, total)]), np.zeros(len(self.doc))
+        for n, own in enumerate(self.counts):
+            exact = np.log(own / below[self.history[n]])
+            score = exact if n == 0 else np.where(own >= least, exact, math.log(backoff) + score[self.rest[n]])
             has = self.place >= n
             out[has] = score[self.at[n][has]]
             below = own
         return np.bincount(self.doc, out, len(self.size)).astype(np.float64)
 
 
-def score_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = WORD_ORDER, least: int = LEAST, backoff: float = BACKOFF, block_bytes: int = BLOCK_BYTES, carry: list[str] | None = None) -> DataFrame:
-    """`df` with n_words and log_score, the sum of its words' scores by the n-grams of all of `df`."""
-    if order < 1:
-        raise ValueError("n-grams have a word at least")
-    carry = [c for c in (df.columns if carry is None else carry) if c.lower() not in ("n_words", "log_score")]
-    text = F.col(f"`{text_col}`").cast("string")
-    sizes = df.agg(F.sum(F.octet_length(text)), F.sum(F.regexp_count(text, F.lit(r"[^ \t\n\x0B\f\r]+")))).first()
-    total = sizes[1] or 0
-    blocks = max(1, -(-(sizes[0] or 0) // block_bytes))
-    block = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), text), F.lit(blocks)).cast("int").alias("__block")
-    docs = df.select(block, text.alias("__text"), *[F.col(f"`{c}`") for c in carry]).repartition("__block")
+def exploded_grams(docs: DataFrame, order: int) -> DataFrame:
+    """Rows (block, gram, n) of documents (block, text, ...) dealt out by block."""
+    schema = T.StructType().add("block", "integer").add("gram", "long").add("n", "integer")
 
-    gram_schema = T.StructType().add("__block", "integer").add("number", "integer").add("k1", "long").add("k2", "long").add("n", "long").add("single", "boolean")
+    def explode(key, rows):
+        grams, counts = Grams(rows.column(1).to_pylist(), order).rows()
+        return pa.table([pa.array(np.full(len(grams), key[0].as_py(), np.int32)), pa.array(grams.view(np.int64)), pa.array(counts.astype(np.int32))], names=schema.names)
 
-    def grams_of(key, rows):
-        grams = Grams(rows.column(1).to_pylist(), order)
-        keys, counts = np.concatenate(grams.keys).view(np.int64), np.concatenate(grams.counts)
-        number = np.arange(len(keys), dtype=np.int32)
-        columns = [np.full(len(keys), key[0].as_py(), np.int32), number, keys[:, 0].copy(), keys[:, 1].copy(), counts.astype(np.int64), number < len(grams.keys[0])]
-        return pa.table([pa.array(c) for c in columns], names=gram_schema.names)
+    return docs.groupBy("block").applyInArrow(explode, schema)
 
-    exploded = docs.groupBy("__block").applyInArrow(grams_of, gram_schema)
-    summed = exploded.select("__block", "number", F.sum("n").over(W.partitionBy("k1", "k2")).alias("count"), "single")
-    # an n-gram that does not go back is one to back off from
-    own = summed.where((F.col("count") >= least) | F.col("single")).drop("single")
 
-    fields = docs.select(*[F.col(f"`{c}`") for c in carry]).schema.fields
-    schema = T.StructType([*fields, *T.StructType().add("n_words", "long").add("log_score", "double")])
+def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, least: int = LEAST, backoff: float = BACKOFF, block_bytes: int = BLOCK_BYTES, carry: list[str] | None = None) -> DataFrame:
+    """`df` with n_words, log_score (the sum of its words' scores by the n-grams of all of `df`) and mean_score (per word)."""
+    if order < 1:
+        raise ValueError("n-grams have a word at least")
+    shelf = Shelf(df.columns if carry is None else carry, OUTPUTS)
+    text = quoted(text_col).cast("string")
+    blocks = max(1, -(-(df.agg(F.sum(F.octet_length(text))).first()[0] or 0) // block_bytes))
+    block = F.pmod(F.xxhash64(quoted(id_col), text), F.lit(blocks)).cast("int")
+    docs = df.select(block.alias("block"), text.alias("text"), *shelf.put).repartition("block")
+
+    table = exploded_grams(docs, order).select("block", "gram", "n", F.sum("n").over(W.partitionBy("gram")).alias("count"))
+    # a block knows the count of an n-gram that no other one has
+    shared = table.where("count > n").select("block", "gram", "count")
+    schema = T.StructType([*docs.schema.fields[2:], *T.StructType().add("n_words", "long").add("log_score", "double")])
 
     def score(rows, counted):
         grams = Grams(rows.column(1).to_pylist(), order)
-        counts = np.zeros(sum(map(len, grams.keys)), np.int64)
-        counts[counted.column(1).to_numpy()] = counted.column(2).to_numpy()
-        return pa.table([*rows.columns[2:], pa.array(grams.size), pa.array(grams.scores(counts, total, least, backoff))], names=schema.names)
+        total = grams.learn(counted.column(1).to_numpy().view(np.uint64), counted.column(2).to_numpy())
+        return pa.table([*rows.columns[2:], pa.array(grams.size), pa.array(grams.scores(total, least, backoff))], names=schema.names)
 
-    return docs.groupBy("__block").cogroup(own.groupBy("__block")).applyInArrow(score, schema)
+    scored = docs.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(score, schema)
+    return scored.select(*shelf.back, "n_words", "log_score", (F.col("log_score") / F.greatest("n_words", F.lit(1))).alias("mean_score"))

@@ -59,14 +59,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm_score import score_texts
 
-    return score_texts(_table(spark, sf_dir, "documents"), carry=["doc_id"]).withColumn("mean_score", F.col("log_score") / F.greatest("n_bytes", F.lit(1)))
-
-
-def op5_word_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op5_lm_score, but by n-grams of words."""
-    from .lm_score import score_words
-
-    return score_words(_table(spark, sf_dir, "documents"), carry=["doc_id"]).withColumn("mean_score", F.col("log_score") / F.greatest("n_words", F.lit(1)))
+    return score_texts(_table(spark, sf_dir, "documents"), carry=["doc_id"]).select("doc_id", "n_words", "mean_score")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +109,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"), carry=["doc_id"]).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-OPERATORS = (op1_packing, op2_quality, op3_decontaminate, op4_simhash, op5_lm_score, op5_word_score, op6_suffix_dedup, op7_line_dedup, op8_byte_bpe, op9_language, op10_exact_dedup)
+OPERATORS = (op1_packing, op2_quality, op3_decontaminate, op4_simhash, op5_lm_score, op6_suffix_dedup, op7_line_dedup, op8_byte_bpe, op9_language, op10_exact_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

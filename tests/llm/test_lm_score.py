@@ -2,59 +2,13 @@ import math
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tagloom.llm import queries
-from tagloom.llm.lm_score import score_texts, score_words
+from tagloom.llm.lm_score import ORDER, score_texts
 
 
-def brute(texts, order=5, least=2, backoff=0.4):
-    """(bytes, score) of each text, a byte at a time."""
-    raws = [(t or "").encode() for t in texts]
-    counts = Counter(r[i : i + n] for r in raws for n in range(1, order + 1) for i in range(len(r) - n + 1))
-    total, memo = sum(map(len, raws)), {}
-
-    def score(gram):
-        if gram not in memo:
-            if len(gram) == 1:
-                memo[gram] = math.log(counts[gram] / total)
-            elif counts[gram] >= least:
-                memo[gram] = math.log(counts[gram] / counts[gram[:-1]])
-            else:
-                memo[gram] = math.log(backoff) + score(gram[1:])
-        return memo[gram]
-
-    return [(len(r), sum(score(r[max(0, i - order + 1) : i + 1]) for i in range(len(r)))) for r in raws]
-
-
-def same(rows, expected):
-    assert len(rows) == len(expected)
-    for r, (n, s) in zip(rows, expected):
-        assert r.n_bytes == n and r.log_score == pytest.approx(s, rel=1e-9, abs=1e-9)
-
-
-def test_query_against_brute_force(spark, sf, documents):
-    docs = documents.orderBy("doc_id").collect()
-    same(sorted(queries.op5_lm_score(spark, sf).collect(), key=lambda r: r.doc_id), brute([d.text for d in docs]))
-
-
-@pytest.mark.parametrize("order", [1, 3, 5])
-@pytest.mark.parametrize("block", [1 << 20, 40])
-def test_small_texts(spark, order, block):
-    texts = ["abcabcabc", "a", "", None, "naïve ab", "\x00\x00\x00", "abcabcabc", "zz\x00ab" * 30]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    same(sorted(score_texts(df, order=order, block_bytes=block).collect(), key=lambda r: r.doc_id), brute(texts, order))
-
-
-def test_odd_rows(spark, odd, none):
-    out = score_texts(odd.withColumnRenamed("lang", "Log_Score"))
-    assert out.columns == ["doc_id", "text", "source", "n_chars", "n_bytes", "log_score"]
-    rows = out.collect()
-    assert len(rows) == odd.count()
-    same(rows, brute([r.text for r in rows]))
-    assert score_texts(none).count() == 0
-
-
-def brute_words(texts, order=3, least=2, backoff=0.4):
+def brute(texts, order=ORDER, least=2, backoff=0.4):
     """(words, score) of each text, a word at a time."""
     found = [(t or "").encode().split() for t in texts]
     counts = Counter(tuple(w[i : i + n]) for w in found for n in range(1, order + 1) for i in range(len(w) - n + 1))
@@ -68,19 +22,32 @@ def brute_words(texts, order=3, least=2, backoff=0.4):
     return [(len(w), sum(score(tuple(w[max(0, i - order + 1) : i + 1])) for i in range(len(w)))) for w in found]
 
 
-def same_words(rows, expected):
+def same(rows, expected):
     assert len(rows) == len(expected)
     for r, (n, s) in zip(rows, expected):
-        assert r.n_words == n and r.log_score == pytest.approx(s, rel=1e-9, abs=1e-9)
+        assert r.n_words == n and r.mean_score == pytest.approx(s / max(1, n), rel=1e-9, abs=1e-9)
 
 
-def test_query_of_words_against_brute_force(spark, sf, documents):
+def test_query_against_brute_force(spark, sf, documents):
     docs = documents.orderBy("doc_id").collect()
-    same_words(sorted(queries.op5_word_score(spark, sf).collect(), key=lambda r: r.doc_id), brute_words([d.text for d in docs]))
+    same(sorted(queries.op5_lm_score(spark, sf).collect(), key=lambda r: r.doc_id), brute([d.text for d in docs]))
+
+
+@pytest.mark.parametrize("order, block, least", [(1, 40, 2), (2, 40, 3), (3, 40, 2), (5, 1 << 20, 1)])
+def test_odd_rows(spark, odd, none, order, block, least):
+    names = ["block", "gram", "text_", "count", "f0", "N", "__text", "__block"]
+    rows = score_texts(odd.unionByName(odd).withColumns({n: F.lit(7) for n in names}), order=order, block_bytes=block, least=least).collect()
+    same(rows, brute([r.text for r in rows], order, least))
+    assert all(r[n] == 7 for r in rows for n in names)
+    assert all(r.log_score == r.mean_score == 0 for r in rows if not r.n_words)
+    assert score_texts(none).count() == 0
 
 
-@pytest.mark.parametrize("order, block", [(1, 40), (3, 40), (5, 1 << 20)])
-def test_words_of_odd_rows(spark, odd, none, order, block):
-    rows = score_words(odd.unionByName(odd), order=order, block_bytes=block).collect()
-    same_words(rows, brute_words([r.text for r in rows], order))
-    assert score_words(none).count() == 0
+def test_texts_that_occur_twice_are_told_apart(spark, sf, documents):
+    docs = {d.doc_id: d.text or "" for d in documents.collect()}
+    count = Counter(docs.values())
+    rows = queries.op5_lm_score(spark, sf).collect()
+    long = [r for r in rows if r.n_words >= 50]
+    twice = [r.mean_score for r in long if count[docs[r.doc_id]] > 1]
+    once = sorted(r.mean_score for r in long if count[docs[r.doc_id]] == 1)
+    assert twice and min(twice) > once[len(once) // 2]
