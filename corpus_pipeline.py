@@ -49,16 +49,16 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from tagloom.llm.simhash import near_duplicates
 
     groups = near_duplicates(docs.select("doc_id", "text"), carry=["doc_id"])
-    stays = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stays"))
-    return docs.join(stays, docs["doc_id"].eqNullSafe(F.col("__stays")), "left_semi")
+    stays = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(PREFIX + "stays"))
+    return docs.join(stays, docs["doc_id"].eqNullSafe(F.col(PREFIX + "stays")), "left_semi")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth or more are benchmark passages go."""
+    """Documents with a benchmark passage go, however long the document is."""
     from tagloom.llm.decontaminate import find_contamination
 
     out = find_contamination(_hidden(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), text_col=PREFIX + "text")
-    return _shown(out.where(~F.col("contaminated")), docs.columns)
+    return _shown(out.where(F.col("n_hit") == 0), docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,10 +79,19 @@ STAGES = [("language", language), ("exact dedup", exact), ("simhash near-dedup",
 ORACLE_SQL = None
 
 
+def _drop(spark: SparkSession, place: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages in turn; what a stage read is dropped once its result is written."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES:
         place = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(place)
         docs = spark.read.parquet(place)
+        if last:
+            _drop(spark, last)
+        last = place
     return docs
