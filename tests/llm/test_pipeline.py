@@ -33,7 +33,7 @@ def expected(docs, items):
             for k in range(len(w) - size + 1):
                 if tuple(w[k : k + size]) in windows:
                     hit.update(range(k, k + size))
-        if not hit or 20 * len(hit) < len(w):
+        if not hit:
             stay[i] = t
     return stay
 
