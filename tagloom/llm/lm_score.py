@@ -1,11 +1,11 @@
 """Language-model scores by stupid backoff over the corpus' own n-grams of words.
 
-Texts are dealt into blocks of bounded size by a hash. The n-grams of each block are exploded into rows (block,
-n-gram, count) and dealt out by the n-gram's hash: that is the count table, partitioned by hash, of which each row
-learns its n-gram's count in the whole corpus. Rows whose n-gram occurs in other blocks too go back and are joined to
-the exploded n-grams of their block's documents; there the scores are summed per document. An n-gram is at most one
-row of a block, so the most frequent one has as many rows as there are blocks: fewer than an average partition of
-the table has, as a block has hundreds of thousands of n-grams.
+Texts are dealt into blocks of bounded size by a hash. The n-grams of a block's documents, each once with its count,
+are exploded over the count tables, of which there is one for each part of the hashes' range; a block's n-grams of
+one part travel as one row (sorted hashes, counts). A table adds up the counts of all blocks and gives each block
+its n-grams' counts in the whole corpus, which are joined to the n-grams of the block's documents and summed per
+document. An n-gram is in at most one row of a block, so the most frequent one weighs 8 bytes for each block of 16 MB.
+(Rows for each n-gram of each document would be 42 million for 0.1 GB, about 0.5 GB in one shuffle of several.)
 
 A word after a history of up to ORDER - 1 words of its text scores log(count of both / count of the history) if the
 two together occur `least` times in the corpus, and otherwise the logarithm of BACKOFF plus the score after the
@@ -27,7 +27,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,8 +36,9 @@ ORDER = 2
 BACKOFF = 0.4
 LEAST = 2
 
-#: Bytes of text in a block, about.
+#: Bytes of text in a block, and of hashes in a count table, about.
 BLOCK_BYTES = 16 << 20
+TABLE_BYTES = 32 << 20
 
 OUTPUTS = ("n_words", "log_score", "mean_score")
 
@@ -80,15 +80,17 @@ class Grams:
             at[where] = which
             self.at.append(at)
 
-    def rows(self) -> tuple[np.ndarray, np.ndarray]:
-        """Keys and counts of all n-grams, that of no words first, then size by size."""
-        return np.concatenate([[NOTHING], *self.keys]), np.concatenate([[len(self.doc)], *self.counts])
-
-    def learn(self, keys: np.ndarray, counts: np.ndarray) -> int:
-        """Take counts of the whole corpus for these keys, and return that of all words."""
-        own, now = self.rows()
-        order = np.argsort(own)
-        now[order[np.searchsorted(own, keys, sorter=order)]] = counts
+    def rows(self, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Parts, keys and counts of all n-grams, that of no words among them, in order of part and key."""
+        keys = np.concatenate([[NOTHING], *self.keys])
+        part = (keys >> np.uint64(32)) % np.uint64(parts)
+        self.order = np.lexsort((keys, part))
+        return part[self.order].astype(np.int64), keys[self.order], np.concatenate([[len(self.doc)], *self.counts])[self.order]
+
+    def learn(self, counts: np.ndarray) -> int:
+        """Take counts of the whole corpus, in the order of rows(), and return that of all words."""
+        now = np.empty(len(counts), np.int64)
+        now[self.order] = counts
         ends = np.cumsum([1, *map(len, self.counts)])
         self.counts = [now[a:b] for a, b in zip(ends, ends[1:])]
         return int(now[0])
@@ -105,36 +107,59 @@ class Grams:
         return np.bincount(self.doc, out, len(self.size)).astype(np.float64)
 
 
-def exploded_grams(docs: DataFrame, order: int) -> DataFrame:
-    """Rows (block, gram, n) of documents (block, text, ...) dealt out by block."""
-    schema = T.StructType().add("block", "integer").add("gram", "long").add("n", "integer")
+def exploded_grams(docs: DataFrame, order: int, parts: int) -> DataFrame:
+    """Rows (part, block, grams, counts) of documents (block, text, ...) dealt out by block."""
+    schema = T.StructType().add("part", "integer").add("block", "integer").add("grams", "binary").add("counts", "binary")
 
     def explode(key, rows):
-        grams, counts = Grams(rows.column(1).to_pylist(), order).rows()
-        return pa.table([pa.array(np.full(len(grams), key[0].as_py(), np.int32)), pa.array(grams.view(np.int64)), pa.array(counts.astype(np.int32))], names=schema.names)
+        part, grams, counts = Grams(rows.column(1).to_pylist(), order).rows(parts)
+        own, first = np.unique(part, return_index=True)
+        ends = np.append(first[1:], len(part))
+        columns = [[x[a:b].tobytes() for a, b in zip(first, ends)] for x in (grams, counts.astype("<u4"))]
+        return pa.table([pa.array(own.astype(np.int32)), pa.array(np.full(len(own), key[0].as_py(), np.int32)), *map(pa.array, columns)], names=schema.names)
 
     return docs.groupBy("block").applyInArrow(explode, schema)
 
 
-def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, least: int = LEAST, backoff: float = BACKOFF, block_bytes: int = BLOCK_BYTES, carry: list[str] | None = None) -> DataFrame:
+def corpus_counts(exploded: DataFrame) -> DataFrame:
+    """Rows (block, part, counts): for each row of `exploded` its n-grams' counts in all blocks; a table is one group."""
+    schema = T.StructType().add("block", "integer").add("part", "integer").add("counts", "binary")
+
+    def add(rows: pa.Table) -> pa.Table:
+        grams = [np.frombuffer(x, "<u8") for x in rows.column(2).to_pylist()]
+        counts = np.concatenate([np.frombuffer(x, "<u4") for x in rows.column(3).to_pylist()])
+        kinds, which = np.unique(np.concatenate(grams), return_inverse=True)
+        total = np.bincount(which, counts, len(kinds)).astype("<u8")[which]
+        ends = np.cumsum([0, *map(len, grams)])
+        # most counts are small
+        parts = [x.astype("<u4") if x.max(initial=0) < 1 << 32 else x for x in (total[a:b] for a, b in zip(ends, ends[1:]))]
+        return pa.table([rows.column(1), rows.column(0), pa.array([x.tobytes() for x in parts], pa.binary())], names=schema.names)
+
+    return exploded.groupBy("part").applyInArrow(add, schema)
+
+
+def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, least: int = LEAST, backoff: float = BACKOFF, block_bytes: int = BLOCK_BYTES, table_bytes: int = TABLE_BYTES, carry: list[str] | None = None) -> DataFrame:
     """`df` with n_words, log_score (the sum of its words' scores by the n-grams of all of `df`) and mean_score (per word)."""
     if order < 1:
         raise ValueError("n-grams have a word at least")
     shelf = Shelf(df.columns if carry is None else carry, OUTPUTS)
     text = quoted(text_col).cast("string")
-    blocks = max(1, -(-(df.agg(F.sum(F.octet_length(text))).first()[0] or 0) // block_bytes))
+    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
+    # a word and the space after it are six bytes or so, and each word begins `order` n-grams of eight
+    parts = max(1, -(-size * order * 8 // (6 * table_bytes)))
     block = F.pmod(F.xxhash64(quoted(id_col), text), F.lit(blocks)).cast("int")
     docs = df.select(block.alias("block"), text.alias("text"), *shelf.put).repartition("block")
-
-    table = exploded_grams(docs, order).select("block", "gram", "n", F.sum("n").over(W.partitionBy("gram")).alias("count"))
-    # a block knows the count of an n-gram that no other one has
-    shared = table.where("count > n").select("block", "gram", "count")
+    table = corpus_counts(exploded_grams(docs, order, parts))
     schema = T.StructType([*docs.schema.fields[2:], *T.StructType().add("n_words", "long").add("log_score", "double")])
 
-    def score(rows, counted):
+    def score(rows, table):
         grams = Grams(rows.column(1).to_pylist(), order)
-        total = grams.learn(counted.column(1).to_numpy().view(np.uint64), counted.column(2).to_numpy())
+        part, _, _ = grams.rows(parts)
+        counts = dict(zip(table.column(1).to_pylist(), table.column(2).to_pylist()))
+        found = [(counts[k], n) for k, n in zip(*(x.tolist() for x in np.unique(part, return_counts=True)))]
+        total = grams.learn(np.concatenate([np.frombuffer(x, "<u4" if len(x) == 4 * n else "<u8").astype(np.int64) for x, n in found]))
         return pa.table([*rows.columns[2:], pa.array(grams.size), pa.array(grams.scores(total, least, backoff))], names=schema.names)
 
-    scored = docs.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(score, schema)
+    scored = docs.groupBy("block").cogroup(table.groupBy("block")).applyInArrow(score, schema)
     return scored.select(*shelf.back, "n_words", "log_score", (F.col("log_score") / F.greatest("n_words", F.lit(1))).alias("mean_score"))

@@ -36,7 +36,7 @@ def test_query_against_brute_force(spark, sf, documents):
 @pytest.mark.parametrize("order, block, least", [(1, 40, 2), (2, 40, 3), (3, 40, 2), (5, 1 << 20, 1)])
 def test_odd_rows(spark, odd, none, order, block, least):
     names = ["block", "gram", "text_", "count", "f0", "N", "__text", "__block"]
-    rows = score_texts(odd.unionByName(odd).withColumns({n: F.lit(7) for n in names}), order=order, block_bytes=block, least=least).collect()
+    rows = score_texts(odd.unionByName(odd).withColumns({n: F.lit(7) for n in names}), order=order, block_bytes=block, table_bytes=1000, least=least).collect()
     same(rows, brute([r.text for r in rows], order, least))
     assert all(r[n] == 7 for r in rows for n in names)
     assert all(r.log_score == r.mean_score == 0 for r in rows if not r.n_words)
