@@ -36,48 +36,81 @@ PASSAGE_WORDS = 20
 
 UNIT_ENDS = {"line": re.compile("\n"), "paragraph": re.compile(r"\n[^\S\n]*\n\s*")}
 _SENTENCE_ENDS = re.compile(r"(?<=[.!?])\s+|\n")
-_FOLD = str.maketrans(UPPER, LOWER)
+_FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 TEXT, UNIT, PASSAGE = 0, 1, 2
 
 
-def _pieces(text: str, ends: re.Pattern) -> Iterator[tuple[int, int, int, list[str]]]:
-    """(place, start, end, normalised words) of what `ends` separates, blank pieces left out."""
-    at = 0
-    for place, m in enumerate([*ends.finditer(text), None]):
-        end = m.start() if m else len(text)
-        words = text[at:end].translate(_FOLD).split()
-        if words:
-            yield place, at, end, words
-        at = m.end() if m else end
+class Cut:
+    """The sentences of a text, and its normalised words as one string of bytes in which any run of sentences is a slice."""
+
+    def __init__(self, text: str, ends: re.Pattern = _SENTENCE_ENDS):
+        self.places: list[tuple[int, int, int]] = []  # number, start, end
+        self.words, self.edges, pieces = [0], [0], []
+        at = 0
+        for n, m in enumerate([*ends.finditer(text), None]):
+            end = m.start() if m else len(text)
+            words = text[at:end].split()
+            if words:
+                piece = " ".join(words).encode()
+                pieces.append(piece)
+                self.places.append((n, at, end))
+                self.words.append(self.words[-1] + len(words))
+                self.edges.append(self.edges[-1] + len(piece) + 1)
+            at = m.end() if m else end
+        self.norm = b" ".join(pieces).translate(_FOLD)
+
+    def digest(self, first: int, last: int) -> tuple[int, bytes]:
+        """Number and digest of the words of the sentences first, ..., last - 1."""
+        return self.words[last] - self.words[first], xxhash.xxh3_128_digest(self.norm[self.edges[first] : self.edges[last] - 1])
+
+
+def _whole(cut: Cut, min_words: int) -> list[tuple[int, int, int, int, bytes]]:
+    found = ((p, a, b, *cut.digest(i, i + 1)) for i, (p, a, b) in enumerate(cut.places))
+    return [x for x in found if x[3] >= min_words]
+
+
+def _lines(text: str, cut: Cut, min_words: int) -> list[tuple[int, int, int, int, bytes]]:
+    """As units_of() for lines; no sentence goes over a line's end."""
+    out, i, n, start = [], 0, len(cut.places), 0
+    for place, line in enumerate(text.split("\n")):
+        end, first = start + len(line), i
+        while i < n and cut.places[i][1] <= end:
+            i += 1
+        if i > first and cut.words[i] - cut.words[first] >= min_words:
+            out.append((place, start, end, *cut.digest(first, i)))
+        start = end + 1
+    return out
 
 
-def _digest(words: list[str]) -> bytes:
-    return xxhash.xxh3_128_digest(" ".join(words).encode())
+def _passages(cut: Cut, least: int) -> list[tuple[int, int, int, int, bytes]]:
+    out, last, n = [], 0, len(cut.places)
+    for i, (place, start, _) in enumerate(cut.places):
+        while last < n and cut.words[last] - cut.words[i] < least:
+            last += 1
+        if cut.words[last] - cut.words[i] < least:
+            break
+        out.append((place, start, cut.places[last - 1][2], *cut.digest(i, last)))
+    return out
 
 
 def units_of(text: str | None, unit: str = "line", min_words: int = 1) -> list[tuple[int, int, int, int, bytes]]:
     """(place, start, end, words, digest) of each unit; offsets count characters."""
-    return [(p, a, b, len(w), _digest(w)) for p, a, b, w in _pieces(text or "", UNIT_ENDS[unit]) if len(w) >= min_words]
+    return _whole(Cut(text or "", UNIT_ENDS[unit]), min_words)
 
 
 def passages_of(text: str | None, least: int = PASSAGE_WORDS) -> list[tuple[int, int, int, int, bytes]]:
     """(place, start, end, words, digest) of the passage that begins with each sentence, if enough words follow."""
-    found, words, first = [], [], []
-    for place, a, b, w in _pieces(text or "", _SENTENCE_ENDS):
-        found.append((place, a, b))
-        first.append(len(words))
-        words += w
-    first.append(len(words))
-    out, last = [], 0
-    for i, (place, a, _) in enumerate(found):
-        while last < len(found) and first[last + 1] - first[i] < least:
-            last += 1
-        if last == len(found):
-            break
-        w = words[first[i] : first[last + 1]]
-        out.append((place, a, found[last][2], len(w), _digest(w)))
-    return out
+    return _passages(Cut(text or ""), least)
+
+
+def _both(text: str | None, unit: str, min_words: int, passage_words: int | None) -> tuple[list, list]:
+    if not text:
+        return [], []
+    if not passage_words:
+        return units_of(text, unit, min_words), []
+    cut = Cut(text)
+    return _lines(text, cut, min_words) if unit == "line" else units_of(text, unit, min_words), _passages(cut, passage_words)
 
 
 def explode_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line", min_words: int = 1, passage_words: int | None = PASSAGE_WORDS) -> DataFrame:
@@ -94,8 +127,7 @@ def explode_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for a, b in batches(part.column(2)):
                 which, level, found = [], [], []
                 for i, text in enumerate(part.column(2).slice(a, b - a).to_pylist(), a):
-                    units = units_of(text, unit, min_words)
-                    passages = passages_of(text, passage_words) if passage_words else []
+                    units, passages = _both(text, unit, min_words, passage_words)
                     found.append((0, len(units), len(passages), 0, bytes(16)))
                     found += units
                     found += passages
