@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import argparse
-import json
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from . import sources as X
+from .functions.sequence import STATS_TAGS
 from .operators import counts, discovery, extraction, index, peaks, records
 
 COMMANDS = {}
@@ -55,7 +55,7 @@ def seed(spark, a):
         part = df.withColumn("whitelist", F.lit(name))
         white = part if white is None else white.unionByName(part)
     reads = discovery.sample_reads(X.read_fastq(spark, *a.fastqs), a.sample, a.upper, a.seed)
-    X.write_csv(discovery.exact_hits(reads, white), f"{a.out}/hits", "\t")
+    X.write_csv(discovery.exact_hits(reads, white), f"{a.out}/hits", "\t", ["file_index", "read_name", "orientation", "start", "barcode"])
     frequencies = discovery.base_frequencies(reads)
     shown = frequencies.select(F.concat(F.lit("file"), F.col("file_index").cast("string")).alias("read"), "position", *[F.format_string("%.4f", b).alias(b) for b in "ACGTN"])
     X.write_csv(shown, f"{a.out}/frequencies", "\t", ["read", "position"])
@@ -75,14 +75,21 @@ def harvest(spark, a):
 @command(
     FASTQS, BARCODES, OUT, (["-p", "--positions"], {"required": True}), (["-x", "--extract"], {"required": True, "help": "FILE:a-b, from 1"}), (["-u", "--umi"], {}), (["-j", "--jitter"], {"type": _not_negative, "default": 2}),
     (["-m", "--mismatches"], {"type": _not_negative, "default": 1}), (["-q", "--base_quality"], {"type": int}), (["--format"], {"choices": ["sam", "fastq"], "default": "sam"}), (["-r", "--reverse"], {"action": "store_true"}), (["-z", "--gzip"], {"action": "store_true"}),
-    (["-s", "--sift"], {"action": "store_true"}), (["--preset"], {"choices": sorted(extraction.PRESETS)}),
+    (["-s", "--sift"], {"action": "store_true"}), (["--preset"], {"choices": sorted(extraction.PRESETS)}), (["-i", "--index"], {"nargs": "+", "default": [], "help": "stored indices; made anew for other mismatches"}),
 )
 def reap(spark, a):
     """Match, correct and extract reads; statistics are of all reads, sifted or not."""
     places = X.read_places(spark, a.positions, a.reverse)
     umi = _span(a.umi) if a.umi else None
     reads = X.zip_reads(X.read_fastq(spark, *a.fastqs), len(a.fastqs))
-    out = extraction.extract(reads, places, X.read_whitelists(spark, a.barcodes), _span(a.extract), umi, a.jitter, a.mismatches, a.base_quality, a.preset).persist()
+    lists = X.read_whitelists(spark, a.barcodes)
+    mismatches = extraction.PRESETS[a.preset][1] if a.preset else a.mismatches
+    indices = {}
+    for path in a.index:
+        name = index.load_index(spark, path)[0]
+        _, kind, _, rows = index.load_index(spark, path, lists.get(name), mismatches)
+        indices[name] = (kind, rows)
+    out = extraction.extract(reads, places, lists, _span(a.extract), umi, a.jitter, a.mismatches, a.base_quality, a.preset, indices=indices).persist()
     X.write_csv(extraction.mismatch_counts(out), f"{a.out}_mismatch_stats", order=["mismatches"])
     X.write_csv(extraction.position_counts(out), f"{a.out}_position_stats", order=["position"])
     kept = out.where("kept") if a.sift else out
@@ -91,7 +98,7 @@ def reap(spark, a):
     else:
         X.write_lines(extraction.interleaved(kept), f"{a.out}.fastq", compression="gzip" if a.gzip else None)
         side = extraction.sidecar([p.size for p in places], umi.end - umi.start + 1 if umi else 0, [p.whitelist for p in places])
-        spark.createDataFrame([(json.dumps(side),)], "value string").coalesce(1).write.text(f"{a.out}.json")
+        X.write_sidecar(spark, side, f"{a.out}.json")
     out.unpersist()
 
 
@@ -101,18 +108,36 @@ def _record_lines(df):
     return df.select(F.concat_ws("\t", *[F.col(c).cast("string") for c in df.columns if c != "tags"], F.array_join(tags, "\t")).alias("value"))
 
 
-@command((["-i", "--input"], {"required": True}), OUT)
+def _is_fastq(path: str) -> bool:
+    return path.removesuffix(".gz").endswith((".fastq", ".fq"))
+
+
+def _pair_lines(pairs):
+    """Interleaved pairs (as read) as eight lines each."""
+    mates = [F.concat_ws("\n", f"header{n}", f"r{n}_seq", F.lit("+"), f"r{n}_qual") for n in (1, 2)]
+    return pairs.withColumnRenamed("header", "header1").select("read_idx", F.concat_ws("\n", *mates).alias("value"))
+
+
+@command((["-i", "--input"], {"required": True}), OUT, (["-j", "--json"], {"help": "description of interleaved reads"}))
 def sift(spark, a):
-    """Records without an N in their barcodes."""
+    """Records without an N in their barcodes; or interleaved reads, by the ranges of their description."""
+    if _is_fastq(a.input):
+        if not a.json:
+            raise ValueError("interleaved reads need their description (-j)")
+        side = X.read_sidecar(spark, a.json)
+        X.write_lines(_pair_lines(records.sift_reads(X.read_interleaved(spark, a.input), X.sidecar_ranges(side))), a.out)
+        return
     X.write_lines(_record_lines(records.sift_records(X.read_sam(spark, a.input))), a.out, order=None)
 
 
-@command((["-f", "--fastq"], {"required": True}), (["-x", "--index"], {"type": int, "required": True}), (["-c", "--barcode"], {"required": True}), (["-l", "--length"], {"type": int, "required": True}), (["-i", "--input"], {"required": True}), OUT, (["-m", "--mismatches"], {"type": _not_negative, "default": 1}), (["-j", "--jitter"], {"type": _not_negative, "default": 1}))
+@command((["-f", "--fastq"], {"required": True}), (["-x", "--index"], {"type": int, "nargs": "+", "required": True}), (["-c", "--barcode"], {"nargs": "+", "required": True}), (["-l", "--length"], {"type": int, "nargs": "+", "required": True}), (["-i", "--input"], {"required": True}), OUT, (["-m", "--mismatches"], {"type": _not_negative, "default": 1}), (["-j", "--jitter"], {"type": _not_negative, "default": 1}))
 def weed(spark, a):
-    """Append a barcode of the reads' headers to the records."""
-    (white,) = X.read_whitelists(spark, [a.barcode]).values()
-    headers = X.read_fastq(spark, a.fastq).select("read_name", F.col("comment").alias("description"))
-    out = records.append_header_barcode(X.read_sam(spark, a.input), headers, a.index, white, a.length, a.mismatches, a.jitter)
+    """Append barcodes of the reads' headers to the records, in the order given."""
+    if not len(a.index) == len(a.barcode) == len(a.length):
+        raise ValueError("as many indices as whitelists and lengths")
+    barcodes = [(i, X.read_whitelist(spark, X.whitelist_argument(b)[1]), n) for i, b, n in zip(a.index, a.barcode, a.length)]
+    headers = records.unique_headers(X.read_fastq(spark, a.fastq).select("read_name", F.col("comment").alias("description")))
+    out = records.append_header_barcodes(X.read_sam(spark, a.input), headers, barcodes, a.mismatches, a.jitter)
     X.write_lines(_record_lines(out), a.out, order=None)
 
 
@@ -125,12 +150,30 @@ def rake(spark, a):
     X.write_lines(out.select("read_idx", F.concat_ws("\n", header, "seq", F.lit("+"), "qual").alias("value")), a.out, compression="gzip")
 
 
+def _tagged(spark, path):
+    """The tags that are counted, a column each, of records or interleaved reads."""
+    if _is_fastq(path):
+        return records.header_records(X.read_interleaved(spark, path))
+    return X.read_sam(spark, path).select(*[records.tag(t).alias(t) for t in STATS_TAGS])
+
+
+@command((["-i", "--input"], {"required": True}), OUT)
+def tally(spark, a):
+    """Tables of mismatches, places, barcodes and their combinations."""
+    rows = _tagged(spark, a.input).persist()
+    for suffix, df in counts.tally_tables(rows).items():
+        X.write_csv(df, f"{a.out}.{suffix}.csv", order=df.columns)
+    counts.tally_summary(rows).show()
+    rows.unpersist()
+
+
 @command((["-i", "--input"], {"required": True}), OUT)
 def stats(spark, a):
-    """Counts of the values of CR, CB, XP, XM and UR."""
-    rows = X.read_sam(spark, a.input).select(*[records.tag(t).alias(t) for t in ("CR", "CB", "XP", "XM", "UR")]).persist()
-    for t in ("CR", "CB", "XP", "XM", "UR"):
-        X.write_tag_counts(counts.tag_counts(rows, t), f"{a.out}.{t}")
+    """Counts of the values of CR, CB, XP, XM and UR, of records or of interleaved reads (whose UR is one value)."""
+    fastq = _is_fastq(a.input)
+    rows = _tagged(spark, a.input).persist()
+    for t in STATS_TAGS:
+        X.write_tag_counts(counts.tag_counts(rows, t, split=not (fastq and t == "UR")), f"{a.out}.{t}")
     for t in ("CR", "CB"):
         X.write_tag_counts(counts.value_counts(rows, t), f"{a.out}.{t}_combined")
     rows.unpersist()
@@ -139,7 +182,7 @@ def stats(spark, a):
 @command((["-i", "--input"], {"required": True}), OUT)
 def recast(spark, a):
     """Records to interleaved reads, or (from .fastq) interleaved reads to records."""
-    if a.input.endswith((".fastq", ".fq", ".fastq.gz", ".fq.gz")):
+    if _is_fastq(a.input):
         X.write_lines(_record_lines(records.interleaved_to_records(X.read_interleaved(spark, a.input))), a.out, order=None)
         return
     pairs = records.records_to_interleaved(X.read_sam(spark, a.input))
@@ -148,6 +191,31 @@ def recast(spark, a):
         return F.concat_ws("\n", F.concat_ws(" ", F.concat(F.lit("@"), F.col("read_name")), "tags_text", F.lit(f"/{n}")), f"r{n}_seq", F.lit("+"), f"r{n}_qual")
 
     X.write_lines(pairs.select(F.concat_ws("\n", mate(1), mate(2)).alias("value")), a.out, order=None)
+    _describe(spark, X.read_sam(spark, a.input), f"{a.out}.json")
+
+
+def _describe(spark, sam, path):
+    """The description of the reads that these records make."""
+    rows = sam.select(F.monotonically_increasing_id().alias("line"), records.tag("CB").alias("CB"), records.tag("UR").alias("UR"))
+    X.write_sidecar(spark, extraction.sidecar(*records.sidecar_lengths(rows)), path)
+
+
+@command((["-s", "--sam"], {"required": True}), OUT)
+def sam2fastq(spark, a):
+    """Records to interleaved reads of the older form, with their description."""
+    sam = X.read_sam(spark, a.sam)
+    X.write_lines(records.records_to_plain_interleaved(sam).select("value"), a.out, order=None)
+    _describe(spark, sam, f"{a.out}.json")
+
+
+@command((["-i", "--input"], {"required": True}), OUT)
+def describe(spark, a):
+    """The description (JSON) of interleaved reads, from the tags of the first one; also called `json`."""
+    first = records.header_records(X.read_interleaved(spark, a.input).orderBy("read_idx").limit(1)).withColumnRenamed("read_idx", "line")
+    X.write_sidecar(spark, extraction.sidecar(*records.sidecar_lengths(first)), a.out)
+
+
+COMMANDS["json"] = COMMANDS["describe"]
 
 
 @command((["-b", "--barcode"], {"required": True}), OUT, (["-i", "--index"], {"choices": index.KINDS, "default": "seed"}), (["-m", "--mismatches"], {"type": _not_negative, "default": 1}), (["-f", "--force"], {"action": "store_true"}))
@@ -163,6 +231,7 @@ def inspect(spark, a):
     name, kind, mismatches, rows = index.load_index(spark, a.input)
     print(f"{name}: {kind}, {mismatches} mismatches")
     index.summarise_index(rows).show()
+    index.preview_index(rows).show(truncate=False)
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:

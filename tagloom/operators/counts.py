@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 #: Cells on the query side of the nearest-neighbour search that are compared with all others at a time.
 KNN_BLOCK = 2_000
 
+#: Drawn cells that may be broadcast; more are joined by a shuffle.
+MAX_CELLS = 1_000_000
+
 
 def _counted(df: DataFrame, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("count"))
@@ -46,6 +49,19 @@ def tally_summary(records: DataFrame) -> DataFrame:
     )
 
 
+def tally_tables(records: DataFrame) -> dict[str, DataFrame]:
+    """The four tables of a tally of records (CB, XM, XP), by the suffix of their files; indices count from 1."""
+    shown = lambda df, **names: df.select(*[F.col(c).alias(n) for c, n in names.items()])
+    one = lambda df: df.withColumn("idx", F.col("idx") + 1)
+    whole = records.where("CB IS NOT NULL")
+    return {
+        "mismatches": shown(tally_mismatches(records), mismatches="BarcodeMismatches", count="Count"),
+        "positions": shown(one(tally_positions(records)), idx="Index", position="Position", count="Count"),
+        "barcodes": shown(one(tag_counts(whole, "CB")), idx="Index", value="Barcode", count="Count"),
+        "barcode.combinations": shown(value_counts(whole, "CB"), value="BarcodeCombination", count="Count"),
+    }
+
+
 def barcode_tally(lines: DataFrame) -> DataFrame:
     """Counts of the barcode combinations named `CB=` in header lines (value)."""
     found = F.regexp_extract("value", r"CB=([\w_]+)", 1)
@@ -109,16 +125,16 @@ def common_names(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
 
 def reads_of_cells(records: DataFrame, others: DataFrame, n: int = 100, seed: int = 0) -> DataFrame:
     """Rows of `others` whose read belongs to one of n cells of `records` (qname, CB), chosen by a hash of the barcode."""
-    cells = records.select("CB").where("CB IS NOT NULL").distinct().orderBy(F.xxhash64(F.concat_ws(":", F.lit(str(seed)), "CB")), "CB").limit(n)
-    names = records.join(F.broadcast(cells), "CB", "left_semi").select("qname")
+    cells = records.select("CB").where("CB IS NOT NULL").distinct().orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "CB")), "CB").limit(n)
+    names = records.join(F.broadcast(cells) if n <= MAX_CELLS else cells, "CB", "left_semi").select("qname")
     return others.join(names, "qname", "left_semi")
 
 
 def nearest(points: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
     """The k nearest points (squared Euclidean distance, then id) of each query, itself excepted: (query, neighbour, distance, rank).
 
-    Queries are a stated set: they are sent to all executors in blocks of bounded size, and each task keeps its best k
-    for a query before anything is shuffled.
+    Queries are a stated set: they are sent to all executors in blocks of bounded size. The rank is asked for k at
+    most, so each task passes on its own best k of a query, and no more of the pairs reaches the shuffle.
     """
     found = None
     rows = queries.select(id_col, vector_col).toLocalIterator()
@@ -129,10 +145,8 @@ def nearest(points: DataFrame, queries: DataFrame, k: int, id_col: str = "id", v
         own = F.broadcast(spark.createDataFrame(block, queries.select(F.col(id_col).alias("query"), F.col(vector_col).cast("array<double>").alias("q")).schema))
         pairs = points.select(F.col(id_col).alias("neighbour"), F.col(vector_col).cast("array<double>").alias("v")).join(own, F.col("neighbour") != F.col("query"))
         d = F.aggregate(F.zip_with("v", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-        near = pairs.select("query", F.struct(d.alias("distance"), "neighbour").alias("near"))
-        # the best k of a part, then of all parts
-        part = near.withColumn("__part", F.spark_partition_id()).groupBy("query", "__part").agg(F.slice(F.sort_array(F.collect_list("near")), 1, k).alias("best"))
-        return part.groupBy("query").agg(F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
+        near = pairs.select("query", "neighbour", d.alias("distance"))
+        return near.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("distance", "neighbour"))).where(F.col("rank") <= k)
 
     for row in rows:
         block.append((row[0], [float(x) for x in row[1]]))
@@ -143,7 +157,13 @@ def nearest(points: DataFrame, queries: DataFrame, k: int, id_col: str = "id", v
         found = search(block) if found is None else found.unionByName(search(block))
     if found is None:
         return points.sparkSession.createDataFrame([], "query long, neighbour long, distance double, rank int")
-    return found.select("query", F.posexplode("best").alias("rank", "b")).select("query", "b.neighbour", "b.distance", (F.col("rank") + 1).alias("rank"))
+    return found.select("query", "neighbour", "distance", "rank")
+
+
+def reads_without_barcode(reads: DataFrame, records: DataFrame) -> DataFrame:
+    """`reads` (read_name, ...) whose record (qname, CB) has no CB."""
+    missing = records.where("CB IS NULL").select(F.col("qname").alias("read_name"))
+    return reads.join(missing, "read_name", "left_semi")
 
 
 def first_by_sequence(named: DataFrame) -> DataFrame:

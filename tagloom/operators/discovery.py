@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.sequence import chars, reverse_complement
+from .matching import _side, neighbourhood
 from .windows import all_windows
 
 #: Sampled ordinals are sent to all executors up to this many.
@@ -45,26 +46,41 @@ def conserved_runs(frequencies: DataFrame, least: float = 0.75, length: int = 10
     )
 
 
-def exact_hits(reads: DataFrame, whitelists: DataFrame) -> DataFrame:
+def exact_hits(reads: DataFrame, whitelists: DataFrame, unique_names: bool = True) -> DataFrame:
     """Hits of every whitelist (whitelist, barcode) in every window of both strands of reads (file_index, file, read_name, seq).
 
-    Places are of the forward strand, from 1, both ends included. Whitelists may have barcodes of several lengths.
+    Places are of the forward strand, from 1, both ends included. Whitelists may have barcodes of several lengths. A
+    hit is found once, so nothing is shuffled; if names repeat within a file, `unique_names` False keeps one of equals.
     """
-    lengths = sorted(r.n for r in whitelists.select(F.length("barcode").alias("n")).distinct().collect())
+    counts = {r.n: r.c for r in whitelists.groupBy(F.length("barcode").alias("n")).agg(F.count(F.lit(1)).alias("c")).collect()}
+    lengths = sorted(counts)
     table = whitelists.select(F.col("whitelist").alias("barcode_whitelist"), "barcode").distinct()
     out = None
     for n in lengths:
         strands = F.array(F.struct(F.lit("forward").alias("orientation"), F.col("seq").alias("s")), F.struct(F.lit("reverse").alias("orientation"), reverse_complement("seq").alias("s")))
         both = reads.select("file_index", "file", "read_name", F.length("seq").alias("seqlen"), F.explode(strands).alias("o"))
         windows = both.select("file_index", "file", "read_name", "seqlen", "o.orientation", F.explode(all_windows(F.col("o.s"), n)).alias("w"))
-        own = table.where(F.length("barcode") == n)
+        own = _side(table.where(F.length("barcode") == n), counts[n], n)
         hits = windows.join(own, F.col("w.cand") == F.col("barcode"))
         start = F.when(F.col("orientation") == "forward", F.col("w.pos")).otherwise(F.col("seqlen") - F.col("w.pos") - n + 2)
         part = hits.select("file_index", "file", "read_name", "seqlen", "barcode_whitelist", "barcode", "orientation", start.alias("start"), (start + n - 1).alias("end"), F.lit(0).alias("mismatches"))
         out = part if out is None else out.unionByName(part)
     if out is None:
         raise ValueError("the whitelists are empty")
-    return out.dropDuplicates(["file_index", "read_name", "barcode_whitelist", "orientation", "start", "barcode"])
+    return out if unique_names else out.dropDuplicates(["file_index", "read_name", "barcode_whitelist", "orientation", "start", "barcode"])
+
+
+def hit_order(hits: DataFrame) -> DataFrame:
+    """`hits` with `place`, from 1: their order by start within a read's strand, then by whitelist and barcode."""
+    along = W.partitionBy("file_index", "read_name", "orientation").orderBy("start", "barcode_whitelist", "barcode")
+    return hits.withColumn("place", F.row_number().over(along))
+
+
+def first_lookup(whitelists: DataFrame) -> DataFrame:
+    """Rows (variant, barcode, n): strings at one mismatch at most, each with the first barcode (order, barcode) that has it; exact ones win."""
+    near = neighbourhood(whitelists.select("barcode"), 1)
+    ranked = near.join(whitelists, "barcode").groupBy("variant").agg(F.min_by(F.struct("barcode", "n"), F.struct(F.least("n", F.lit(1)), "order")).alias("f"))
+    return ranked.select("variant", "f.barcode", "f.n")
 
 
 def sample_ordinals(n: int, upper: int, seed: int = 1234) -> list[int]:

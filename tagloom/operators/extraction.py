@@ -67,11 +67,13 @@ def match_barcodes(
     base_quality: int | None = None,
     strategy: str | None = None,
     tie: str = "set",
+    indices: dict[str, tuple[str, DataFrame]] | None = None,
 ) -> DataFrame:
     """`reads` with `matched`, an array of (barcode, n, pos) by place; repartitioned by read_idx.
 
     A reverse place is searched on the reverse complement of the whole read, at the coordinates as they stand.
-    A whitelist that is not given leaves its places without a match.
+    A whitelist that is not given leaves its places without a match; one with a stored index (kind, rows) is matched
+    through that.
     """
     reads = reads.repartition("read_idx")
     masked = F.col("seqs") if base_quality is None else F.transform(F.arrays_zip("seqs", "quals"), lambda p: mask_low_quality(p["seqs"], p["quals"], base_quality))
@@ -83,7 +85,7 @@ def match_barcodes(
         own = [(i, p) for i, p in enumerate(places) if (p.whitelist, p.size) == (name, size)]
         parts = [_place_windows(i, p, jitter) for i, p in own]
         windows = source.select("read_idx", F.explode(F.concat(*parts)).alias("w")).select("read_idx", "w.*")
-        found = approximate_matches(windows, whitelists[name], size, mismatches, strategy)
+        found = approximate_matches(windows, whitelists[name], size, mismatches, strategy, index=(indices or {}).get(name))
         found = found.select("read_idx", "bc_idx", F.struct("n", distance(F.col("pos"), F.col("start"), F.col("n")).alias("dist"), "barcode", "pos").alias("hit"))
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
@@ -158,6 +160,7 @@ def extract(
     sift: bool = False,
     strategy: str | None = None,
     tie: str = "set",
+    indices: dict[str, tuple[str, DataFrame]] | None = None,
 ) -> DataFrame:
     """Match, correct and extract in one plan; `sift` keeps only reads whose barcodes all matched."""
     if preset is not None:
@@ -166,7 +169,7 @@ def extract(
         jitter, mismatches = PRESETS[preset]
     if min(jitter, mismatches) < 0:
         raise ValueError("jitter and mismatches must not be negative")
-    matched = match_barcodes(reads, places, whitelists, jitter, mismatches, base_quality, strategy, tie)
+    matched = match_barcodes(reads, places, whitelists, jitter, mismatches, base_quality, strategy, tie, indices)
     out = extract_records(matched, places, span, umi, base_quality)
     return out.where("kept") if sift else out
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .matching import kmer_index, neighbourhood, seed_index
@@ -63,6 +64,17 @@ def load_index(spark: SparkSession, path: str, whitelist: DataFrame | None = Non
     return found.whitelist, found.kind, found.mismatches, spark.read.parquet(f"{path}/rows")
 
 
+def preview_index(rows: DataFrame, examples: int = 3) -> DataFrame:
+    """Of each barcode length the first barcodes and the first keys (seeds, k-mers or variants), as arrays."""
+    key = next(c for c in ("seed", "kmer", "variant") if c in rows.columns)
+    first = None
+    for name in ("barcode", key):
+        ranked = rows.select("len", F.col(name).alias("x")).distinct().withColumn("r", F.row_number().over(W.partitionBy("len").orderBy("x"))).where(F.col("r") <= examples)
+        part = ranked.groupBy("len").agg(F.sort_array(F.collect_list("x")).alias("barcodes" if name == "barcode" else "keys"))
+        first = part if first is None else first.join(part, "len")
+    return first
+
+
 def summarise_index(rows: DataFrame) -> DataFrame:
     """Barcodes and index rows by barcode length."""
     return rows.groupBy("len").agg(F.count_distinct("barcode").alias("barcodes"), F.count(F.lit(1)).alias("rows"))

@@ -12,14 +12,21 @@ from math import comb
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequence import BASES, hamming
+from ..functions.sequence import BASES, hamming, packed_bases, packed_distance
 
-#: Rows of a whitelist side that may be broadcast; a larger one is joined by a shuffle.
-MAX_BROADCAST_ROWS = 2_000_000
+#: Bytes of a whitelist side that may be broadcast; a larger one is joined by a shuffle.
+MAX_BROADCAST_BYTES = 64 << 20
 
+#: Bytes of a row besides its strings, about, as Spark keeps it in a hash table.
+ROW_BYTES = 64
 
-def _side(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df
+
+def _fits(rows: int, length: int) -> bool:
+    return rows * (ROW_BYTES + 2 * max(8, length)) <= MAX_BROADCAST_BYTES
+
+
+def _side(df: DataFrame, rows: int, length: int) -> DataFrame:
+    return F.broadcast(df) if _fits(rows, length) else df
 
 
 def neighbourhood(whitelist: DataFrame, mismatches: int) -> DataFrame:
@@ -39,7 +46,7 @@ def neighbourhood_size(barcodes: int, length: int, mismatches: int) -> int:
 
 def choose_strategy(barcodes: int, length: int, mismatches: int) -> str:
     """Neighbourhood while its table is small, seeds beyond."""
-    return "neighbourhood" if mismatches == 0 or neighbourhood_size(barcodes, length, mismatches) <= MAX_BROADCAST_ROWS else "seed"
+    return "neighbourhood" if mismatches == 0 or _fits(neighbourhood_size(barcodes, length, mismatches), length) else "seed"
 
 
 def _seed_spans(length: int, mismatches: int) -> list[tuple[int, int]]:
@@ -65,30 +72,60 @@ def kmer_index(whitelist: DataFrame, length: int, mismatches: int) -> DataFrame:
     return whitelist.where(F.length("barcode") == length).select("barcode", F.explode(F.array_distinct(F.expr(f"transform(sequence(1, {length - k + 1}), i -> substring(barcode, i, {k}))"))).alias("kmer"))
 
 
-def approximate_matches(windows: DataFrame, whitelist: DataFrame, length: int, mismatches: int, strategy: str | None = None, barcodes: int | None = None) -> DataFrame:
+def _earlier_seed_fits(length: int, mismatches: int) -> Column:
+    """True if a seed before `seed_id` agrees as well, so that this pair has been found by that one."""
+    spans = _seed_spans(length, mismatches)
+    same = [F.substring("cand", a, n) == F.substring("barcode", a, n) for a, n in spans[:-1]]
+    out = F.lit(False)
+    for i, one in enumerate(same):
+        out = out | ((F.col("seed_id") > i) & one)
+    return out
+
+
+def approximate_matches(
+    windows: DataFrame,
+    whitelist: DataFrame,
+    length: int,
+    mismatches: int,
+    strategy: str | None = None,
+    barcodes: int | None = None,
+    index: tuple[str, DataFrame] | None = None,
+) -> DataFrame:
     """`windows` (with `cand`) joined to `barcode` and `n`, the mismatches, at most `mismatches`.
 
-    `barcodes` is the whitelist's number of rows, counted here if it is not given.
+    `barcodes` is the whitelist's number of rows, counted here if it is not given. `index` is a stored index, its kind
+    and its rows (see index.py), which then takes the whitelist's place. A pair that several seeds or k-mers find is
+    kept where its first one is found, so pairs need no shuffle to be made distinct.
     """
     count = whitelist.count() if barcodes is None else barcodes
+    if index is not None:
+        strategy, stored = index[0], index[1].where(F.col("len") == length)
     strategy = strategy or choose_strategy(count, length, mismatches)
     whitelist = whitelist.select("barcode").where(F.length("barcode") == length).distinct()
     full = windows.where(F.length("cand") == length)
+    own = [F.col(c) for c in full.columns]
     if strategy == "neighbourhood":
-        table = _side(neighbourhood(whitelist, mismatches), neighbourhood_size(count, length, mismatches))
+        rows = neighbourhood(whitelist, mismatches) if index is None else stored.where(F.col("n") <= mismatches).drop("len")
+        table = _side(rows, neighbourhood_size(count, length, mismatches), length)
         return full.join(table, full["cand"] == table["variant"]).drop("variant")
     if strategy == "seed":
-        table = _side(seed_index(whitelist, length, mismatches), count * (mismatches + 1))
+        rows = seed_index(whitelist, length, mismatches) if index is None else stored
+        table = _side(rows.drop("len").withColumn("y", packed_bases("barcode")), count * (mismatches + 1), length)
         parts = F.array(*[F.struct(F.lit(i).alias("seed_id"), F.substring("cand", a, n).alias("seed")) for i, (a, n) in enumerate(_seed_spans(length, mismatches))])
-        near = full.select("*", F.explode(parts).alias("s")).select(*full.columns, "s.seed_id", "s.seed").join(table.drop("len"), ["seed_id", "seed"]).drop("seed_id", "seed")
+        near = full.select(*own, packed_bases("cand").alias("x"), F.explode(parts).alias("s")).select(*own, "x", "s.seed_id", "s.seed").join(table, ["seed_id", "seed"])
+        near = near.where(~_earlier_seed_fits(length, mismatches))
     elif strategy == "kmer":
         k = kmer_size(length, mismatches)
-        table = _side(kmer_index(whitelist, length, mismatches), count * length)
-        own = F.array_distinct(F.expr(f"transform(sequence(1, {length - k + 1}), i -> substring(cand, i, {k}))"))
-        near = full.select("*", F.explode(own).alias("kmer")).join(table, "kmer").drop("kmer")
+        rows = kmer_index(whitelist, length, mismatches) if index is None else stored.drop("len")
+        table = _side(rows.withColumn("y", packed_bases("barcode")), count * length, length)
+        kmers = F.array_distinct(F.expr(f"transform(sequence(1, {length - k + 1}), i -> substring(cand, i, {k}))"))
+        near = full.select(*own, packed_bases("cand").alias("x"), kmers.alias("kmers")).select("*", F.posexplode("kmers").alias("at", "kmer")).join(table, "kmer")
+        # few pairs are near enough; of these the one found by the first k-mer that both have stays
+        near = near.where(packed_distance("x", "y", "cand", "barcode") <= mismatches)
+        near = near.where(~F.exists(F.slice("kmers", F.lit(1), F.col("at")), lambda x: F.contains(F.col("barcode"), x)))
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
-    return near.withColumn("n", hamming("cand", "barcode")).where(F.col("n") <= mismatches).distinct()
+    return near.select(*own, "barcode", packed_distance("x", "y", "cand", "barcode").alias("n")).where(F.col("n") <= mismatches)
 
 
 def distance(pos, start: int, n) -> Column:

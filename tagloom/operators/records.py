@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.sequence import header_barcode, header_tags, repeat_char
+from ..functions.sequence import STATS_TAGS, header_barcode, header_tags, repeat_char
 from .matching import approximate_matches, distance, resolve
 from .windows import jitter_windows
 
@@ -31,6 +31,21 @@ def set_tag(tags, name: str, value) -> Column:
     return F.when(there, F.transform(tags, lambda t: F.when(t["tag"] == name, own).otherwise(t))).otherwise(F.concat(tags, F.array(own)))
 
 
+def set_tags(tags, values: dict[str, Column]) -> Column:
+    """As set_tag() for several tags (name: value) in one pass over `tags`; `values` in the order in which new ones are added."""
+    tags = F.col(tags) if isinstance(tags, str) else tags
+    new = F.array(*[F.struct(F.lit(n).alias("tag"), F.lit("Z").alias("type"), v.alias("value")) for n, v in values.items()])
+
+    def put(new):
+        there = F.transform(tags, lambda t: t["tag"])
+        own = F.map_from_entries(F.transform(new, lambda t: F.struct(t["tag"], t["value"])))
+        old = F.transform(tags, lambda t: F.when(F.array_contains(F.array(*map(F.lit, values)), t["tag"]), F.struct(t["tag"].alias("tag"), F.lit("Z").alias("type"), F.element_at(own, t["tag"]).alias("value"))).otherwise(t))
+        return F.concat(old, F.filter(new, lambda t: ~F.array_contains(there, t["tag"])))
+
+    # a lambda's variable, so that the new values are worked out once
+    return F.get(F.transform(F.array(new), put), F.lit(0))
+
+
 def sift_records(records: DataFrame) -> DataFrame:
     """Records whose CB has no N; records without a CB stay."""
     return records.where(~F.contains(F.coalesce(tag("CB"), F.lit("")), F.lit("N")))
@@ -72,12 +87,25 @@ def append_header_barcode(records: DataFrame, headers: DataFrame, index: int, wh
     quality = repeat_char("!", F.length(value))
     barcode = F.when(F.col("raw").isNull(), F.lit("NN")).otherwise(F.coalesce("m.barcode", F.lit("N" * size)))
     number = F.when(F.col("raw").isNull(), F.lit("")).otherwise(F.coalesce("m.n", F.lit(-1)).cast("string"))
-    tags = F.col("tags")
-    for name, more in (("CR", value), ("CY", quality), ("XQ", quality), ("CB", barcode), ("XM", number), ("XP", F.lit("0"))):
-        tags = set_tag(tags, name, F.concat(F.coalesce(tag(name), F.lit("")), F.lit("_"), more))
+    more = {"CR": value, "CY": quality, "XQ": quality, "CB": barcode, "XM": number, "XP": F.lit("0")}
+    tags = set_tags("tags", {n: F.concat(F.coalesce(tag(n), F.lit("")), F.lit("_"), v) for n, v in more.items()})
     return out.withColumn("tags", F.when(F.col("__there"), tags).otherwise(F.col("tags"))).drop("raw", "__raw", "m", "__there")
 
 
+def append_header_barcodes(records: DataFrame, headers: DataFrame, barcodes: list[tuple[int, DataFrame, int]], mismatches: int = 1, jitter: int = 1) -> DataFrame:
+    """append_header_barcode() for several (index, whitelist, size) in turn."""
+    for index, whitelist, size in barcodes:
+        records = append_header_barcode(records, headers, index, whitelist, size, mismatches, jitter)
+    return records
+
+
+def unique_headers(headers: DataFrame) -> DataFrame:
+    """`headers`, or an error if a read's name occurs twice: a record would be multiplied."""
+    if not headers.groupBy("read_name").count().where("count > 1").isEmpty():
+        raise ValueError("a read's name occurs twice")
+    return headers
+
+
 def inject_barcodes(reads: DataFrame, records: DataFrame, place: int = 1, size: int = 16) -> DataFrame:
     """Reads (read_name, seq, ...) with the CB of the last record of that name written over place..place+size-1.
 
@@ -103,6 +131,28 @@ def records_to_interleaved(records: DataFrame) -> DataFrame:
     return records.select(F.col("qname").alias("read_name"), names.alias("tags_text"), F.concat(cb, ur).alias("r1_seq"), F.concat(cq, uq).alias("r1_qual"), F.col("seq").alias("r2_seq"), F.col("qual").alias("r2_qual"))
 
 
+def records_to_plain_interleaved(records: DataFrame) -> DataFrame:
+    """Rows (value) of the older form: headers `@name/1` and `@name/2` without tags, qualities of CY, parts of CB joined by commas."""
+    bare = lambda t: F.replace(tag(t), F.lit(","), F.lit(""))
+    cb, ur = F.coalesce(bare("CB"), F.lit("")), F.coalesce(tag("UR"), F.lit(""))
+    cq = F.coalesce(bare("CY"), repeat_char("F", F.length(cb)))
+    uq = F.when(ur == "", F.lit("")).otherwise(F.coalesce(bare("UY"), repeat_char("F", F.length(ur))))
+    mate = lambda n, seq, qual: F.concat_ws("\n", F.concat(F.lit("@"), F.col("qname"), F.lit(f"/{n}")), seq, F.lit("+"), qual)
+    return records.select("qname", F.concat_ws("\n", mate(1, F.concat(cb, ur), F.concat(cq, uq)), mate(2, F.col("seq"), F.col("qual"))).alias("value"))
+
+
+def sidecar_lengths(records: DataFrame) -> tuple[list[int], int]:
+    """Lengths of the parts (at `_`) of the first record's CB that has one, and of the first UR; 0 without any. `records` is (line, CB, UR)."""
+    row = records.agg(F.min_by("CB", F.when(F.coalesce("CB", F.lit("")) != "", F.col("line"))).alias("cb"), F.min_by("UR", F.when(F.coalesce("UR", F.lit("")) != "", F.col("line"))).alias("ur")).first()
+    return [len(x) for x in (row.cb or "").split("_") if x], len(row.ur or "")
+
+
+def header_records(pairs: DataFrame, names=STATS_TAGS) -> DataFrame:
+    """The known tags of interleaved pairs' first headers, a column each; values as they stand."""
+    found = header_tags("header", names, strip_suffix=False)
+    return pairs.select("read_idx", *[found[n].alias(n) for n in names])
+
+
 def interleaved_to_records(pairs: DataFrame) -> DataFrame:
     """Unmapped records of interleaved pairs (header, r2_seq, r2_qual): the header's known tags become the record's."""
     found = header_tags("header")

@@ -1,7 +1,8 @@
 """FASTQ as a Spark data source, with the ordinal of each read.
 
-A plain file is read in byte ranges: a first pass counts the lines before each range, so that ordinals are exact
-and a quality line that begins with `@` is never taken for a header. A gzip file is one range, as it can't be cut.
+A plain file is read in byte ranges: a first job counts the lines of each range in the executors, and their sums give
+the lines before it, so that ordinals are exact and a quality line that begins with `@` is never taken for a header.
+A gzip file is one range, as it can't be cut.
 Paths must be readable by all executors (a shared file system).
 """
 
@@ -11,6 +12,7 @@ import gzip
 import os
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -35,23 +37,52 @@ def _lines_between(path: str, start: int, end: int) -> int:
     return count
 
 
+def byte_ranges(paths: list[str], size: int = RANGE_BYTES) -> list[tuple[str, int, int, int]]:
+    """(path, number, start, end) of the ranges of each file; a gzip file is one, with the end -1."""
+    out = []
+    for index, path in enumerate(paths):
+        if path.endswith(".gz"):
+            out.append((path, index, 0, -1))
+        else:
+            whole = os.path.getsize(path)
+            out += [(path, index, a, min(a + size, whole)) for a in range(0, max(whole, 1), size)]
+    return out
+
+
+def count_lines(spark: SparkSession, ranges: list[tuple[str, int, int, int]]) -> list[int]:
+    """Line ends in each range, counted by the executors; a number a range comes back."""
+    if len(ranges) < 2:
+        return [0] * len(ranges)
+    table = spark.createDataFrame([(i, p, a, b) for i, (p, _, a, b) in enumerate(ranges)], "i long, path string, a long, b long")
+
+    def count(parts):
+        for part in parts:
+            rows = zip(*(c.to_pylist() for c in part.columns))
+            found = [(i, _lines_between(p, a, b)) for i, p, a, b in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["i", "n"])
+
+    parts = min(len(ranges), max(2, spark.sparkContext.defaultParallelism * 4))
+    got = {r.i: r.n for r in table.repartition(parts, "i").mapInArrow(count, "i long, n long").collect()}
+    return [got[i] for i in range(len(ranges))]
+
+
 class FastqReader(DataSourceReader):
     def __init__(self, options: dict):
         self.paths = [p for p in options["paths"].split("\x1f") if p] if "paths" in options else [options["path"]]
         self.last = int(options.get("last", -1))
         self.bytes = int(options.get("rangebytes", RANGE_BYTES))
 
+        self.counts = [int(n) for n in options["linecounts"].split(",") if n] if "linecounts" in options else None
+
     def partitions(self) -> list[_Range]:
-        out = []
-        for index, path in enumerate(self.paths):
-            if path.endswith(".gz"):
-                out.append(_Range(path, index, 0, -1, 0))
-                continue
-            size, line = os.path.getsize(path), 0
-            for start in range(0, max(size, 1), self.bytes):
-                end = min(start + self.bytes, size)
-                out.append(_Range(path, index, start, end, line))
-                line += _lines_between(path, start, end) if end < size else 0
+        out, line = [], 0
+        ranges = byte_ranges(self.paths, self.bytes)
+        # counted by read_fastq in the executors; here only for who loads the format directly
+        counts = self.counts if self.counts is not None else [_lines_between(p, a, b) for p, _, a, b in ranges]
+        for (path, index, start, end), n in zip(ranges, counts, strict=True):
+            line = 0 if start == 0 else line
+            out.append(_Range(path, index, start, end, line))
+            line += n
         return out
 
     def _records(self, part: _Range) -> Iterator[tuple[int, bytes, bytes, bytes]]:
@@ -112,7 +143,8 @@ class FastqSource(DataSource):
 def read_fastq(spark: SparkSession, *paths: str, last: int = -1, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Reads of plain or gzip files, one row a read and file."""
     spark.dataSource.register(FastqSource)
-    return spark.read.format("fastq").option("paths", "\x1f".join(paths)).option("last", last).option("rangebytes", range_bytes).load()
+    counts = ",".join(map(str, count_lines(spark, byte_ranges(list(paths), range_bytes))))
+    return spark.read.format("fastq").option("paths", "\x1f".join(paths)).option("last", last).option("rangebytes", range_bytes).option("linecounts", counts).load()
 
 
 def zip_reads(reads: DataFrame, files: int) -> DataFrame:
@@ -123,8 +155,9 @@ def zip_reads(reads: DataFrame, files: int) -> DataFrame:
 
 
 def read_interleaved(spark: SparkSession, path: str) -> DataFrame:
-    """Pairs of an interleaved file: (read_idx, header, r1_seq, r1_qual, r2_seq, r2_qual)."""
+    """Pairs of an interleaved file: (read_idx, header, r1_seq, r1_qual, header2, r2_seq, r2_qual)."""
     rows = read_fastq(spark, path)
     pairs = rows.groupBy(F.expr("read_idx div 2").alias("read_idx")).agg(F.sort_array(F.collect_list(F.struct("read_idx", "read_name", "comment", "seq", "qual"))).alias("r")).where(F.size("r") == 2)
     one, two = F.get("r", F.lit(0)), F.get("r", F.lit(1))
-    return pairs.select("read_idx", F.concat_ws(" ", F.concat(F.lit("@"), one["read_name"]), one["comment"]).alias("header"), one["seq"].alias("r1_seq"), one["qual"].alias("r1_qual"), two["seq"].alias("r2_seq"), two["qual"].alias("r2_qual"))
+    header = lambda r: F.concat_ws(" ", F.concat(F.lit("@"), r["read_name"]), F.when(r["comment"] != "", r["comment"]))
+    return pairs.select("read_idx", header(one).alias("header"), one["seq"].alias("r1_seq"), one["qual"].alias("r1_qual"), header(two).alias("header2"), two["seq"].alias("r2_seq"), two["qual"].alias("r2_qual"))

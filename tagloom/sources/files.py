@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.sequence import parse_file_range
 from ..operators.extraction import BarcodePlace
 
 HITS = "file_index int, file string, read_name string, seqlen int, barcode_whitelist string, barcode string, orientation string, start int, end int, mismatches int"
@@ -106,6 +108,20 @@ def write_csv(df: DataFrame, path: str, sep: str = ",", order: list | None = Non
     (df.orderBy(*order) if order else df).write.mode("errorifexists").csv(path, header=True, sep=sep)
 
 
+def read_sidecar(spark: SparkSession, path: str) -> dict:
+    """The description of interleaved reads, a small JSON file."""
+    return json.loads("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect()))
+
+
+def sidecar_ranges(side: dict) -> list[tuple[int, int]]:
+    """Barcode ranges of a description: places from 1, both ends included."""
+    return [(start + 1, end) for _, start, end in (parse_file_range(b["range"]) for b in side["barcodes"])]
+
+
+def write_sidecar(spark: SparkSession, side: dict, path: str) -> None:
+    spark.createDataFrame([(json.dumps(side),)], "value string").coalesce(1).write.mode("errorifexists").text(path)
+
+
 def write_tag_counts(counts: DataFrame, path: str) -> None:
     """Lines `Index i<tab>value<tab>count`, or `value<tab>count` for counts without an index."""
     keys = ["idx", "value"] if "idx" in counts.columns else ["value"]
@@ -115,6 +131,16 @@ def write_tag_counts(counts: DataFrame, path: str) -> None:
 
 def write_matrix_market(coo: DataFrame, rows: int, columns: int, path: str) -> None:
     spark = coo.sparkSession
-    head = spark.createDataFrame([(0, "%%MatrixMarket matrix coordinate integer general"), (1, f"{rows} {columns} {coo.count()}")], "o long, value string")
-    body = coo.select(F.lit(2).cast("long").alias("o"), F.concat_ws(" ", F.col("row").cast("string"), F.col("col").cast("string"), F.col("val").cast("string")).alias("value"))
-    head.unionByName(body).orderBy("o").select("value").write.mode("errorifexists").text(path)
+    head = spark.createDataFrame([(-2, 0, "%%MatrixMarket matrix coordinate integer general"), (-1, 0, f"{rows} {columns} {coo.count()}")], "row long, col long, value string")
+    entry = F.concat_ws(" ", F.col("row").cast("string"), F.col("col").cast("string"), F.col("val").cast("string"))
+    body = coo.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), entry.alias("value"))
+    # dealt out by row and column, so that the files have the entries in order and no task has all
+    head.unionByName(body).orderBy("row", "col").select("value").write.mode("errorifexists").text(path)
+
+
+def read_matrix_market(spark: SparkSession, path: str) -> DataFrame:
+    """Entries (row, col, val); the line of sizes is the first of the first file that is no comment, and is left out."""
+    lines = spark.read.text(path).where(~F.startswith("value", F.lit("%"))).select(F.split("value", " ").alias("f"), F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
+    size = lines.agg(F.min_by("at", F.struct("file", "at")).alias("size"))
+    rows = lines.join(F.broadcast(size), F.col("at") != F.col("size"))  # one row
+    return rows.select(*[F.get("f", F.lit(i)).cast("long").alias(n) for i, n in enumerate(("row", "col", "val"))])
