@@ -13,10 +13,13 @@ from ..functions import sequence as S
 from ..operators import counts as C
 from ..operators import discovery as D
 from ..operators import extraction as E
+from ..operators import index as I
 from ..operators import matching as M
 from ..operators import peaks as P
 from ..operators import records as R
 from ..operators import windows as V
+from .. import sources as Z
+from ..sources.scratch import part_files, scratch
 from . import fixtures as X
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -259,9 +262,28 @@ def peaks_masked(spark, sf_dir):
     return P.find_peaks(_hits(spark, sf_dir), conserved_runs(spark, sf_dir))
 
 
-@query(f'{BASE}, {_PEAKS} SELECT {_G}, "start", "end", read_count, read_fraction FROM peaks ORDER BY read_count DESC, "start", file_index, file, barcode_whitelist, orientation LIMIT 1')
+#: Three whitelists that share barcodes, so that their peaks overlap.
+_LISTS = {"BC:v1": "id >= 0", "BC:v2": "id < 48", "BC:v3": "id % 3 = 0"}
+_LISTS_SQL = "lists AS (" + " UNION ALL ".join(f"SELECT bc, '{n}' AS label FROM wl WHERE {c}" for n, c in _LISTS.items()) + ")"
+_GREEDY = f"""ordered AS (SELECT *, row_number() OVER (ORDER BY read_count DESC, "start", {_G}) AS k FROM peaks),
+greedy AS (SELECT cast(0 AS bigint) AS k, cast([] AS STRUCT(k bigint, w varchar, f int, a int, b int)[]) AS taken UNION ALL
+  SELECT g.k + 1, CASE WHEN len(list_filter(g.taken, lambda t: t.w = p.barcode_whitelist OR (t.f = p.file_index AND t.a <= p."end" AND t.b >= p."start"))) > 0 THEN g.taken
+    ELSE list_append(g.taken, {{'k': p.k, 'w': p.barcode_whitelist, 'f': p.file_index, 'a': p."start", 'b': p."end"}}) END FROM greedy g JOIN ordered p ON p.k = g.k + 1)"""
+
+
+@query(f'{BASE}, {_LISTS_SQL}, {_PEAKS}, {_GREEDY} SELECT {_G}, "start", "end", read_count, read_fraction FROM ordered WHERE k IN (SELECT unnest(list_transform(taken, lambda t: t.k)) FROM (SELECT taken FROM greedy ORDER BY k DESC LIMIT 1))'.replace("WITH", "WITH RECURSIVE", 1).replace("'BC:v1' AS barcode_whitelist", "label AS barcode_whitelist").replace("JOIN wl ON substr(seq, p, 8) = bc", "JOIN lists ON substr(seq, p, 8) = bc"))
 def greedy_positions(spark, sf_dir):
-    return P.select_places(P.find_peaks(_hits(spark, sf_dir)))
+    reads = X.flat_reads(spark, sf_dir).select(F.lit(0).alias("file_index"), F.lit("R1").alias("file"), "read_name", "seq")
+    lists = None
+    for name, condition in _LISTS.items():
+        part = X.whitelist(spark, sf_dir).where(condition).select(F.col("bc").alias("barcode"), F.lit(name).alias("whitelist"))
+        lists = part if lists is None else lists.unionByName(part)
+    return P.select_places(P.find_peaks(D.exact_hits(reads, lists)))
+
+
+@query(f'{BASE}, {_HITS} SELECT *, cast(row_number() OVER (PARTITION BY file_index, read_name, orientation ORDER BY "start", barcode_whitelist, barcode) AS int) AS place FROM hits')
+def hit_order(spark, sf_dir):
+    return D.hit_order(_hits(spark, sf_dir))
 
 
 @query(f'{BASE}, {_HITS} SELECT {_G}, floor("start" / 0.5) * 0.5 AS bin, cast(count(*) AS bigint) AS count FROM hits GROUP BY ALL')
@@ -383,7 +405,7 @@ def sift_ranges(spark, sf_dir):
 
 _WEED = f"""{REC}, wl AS (SELECT substr({X.dna("concat('w', cast(p_partkey AS varchar(20)))")}, 1, 8) AS bc FROM part WHERE p_partkey BETWEEN 1 AND 96),
 hd AS (SELECT concat('r', cast(i AS varchar)) AS read_name, CASE WHEN i % 4 = 0 THEN NULL WHEN i % 3 = 0 THEN {RC.format('bc')} WHEN i % 10 = 1 THEN concat(substr(bc, 1, 7), 'N') ELSE bc END AS raw
-  FROM (SELECT unnest(range(0, 900)) AS i) JOIN (SELECT p_partkey - 1 AS id, substr({X.dna("concat('w', cast(p_partkey AS varchar(20)))")}, 1, 8) AS bc FROM part WHERE p_partkey BETWEEN 1 AND 96) ON i % 96 = id),
+  FROM (SELECT o_orderkey AS i FROM orders) JOIN (SELECT p_partkey - 1 AS id, substr({X.dna("concat('w', cast(p_partkey AS varchar(20)))")}, 1, 8) AS bc FROM part WHERE p_partkey BETWEEN 1 AND 96) ON i % 96 = id),
 kinds AS (SELECT DISTINCT raw FROM hd WHERE raw IS NOT NULL),
 reads AS (SELECT raw AS read_idx, raw AS seq FROM kinds), {{one}}, rv AS (SELECT raw AS read_idx, {RC.format('raw')} AS seq FROM kinds), {{two}},
 m AS (SELECT read_idx AS raw, CASE WHEN a.barcode LIKE '%NN%' THEN b.barcode ELSE a.barcode END AS barcode, CASE WHEN a.barcode LIKE '%NN%' THEN b.n ELSE a.n END AS n FROM resolved a JOIN resolved2 b USING (read_idx))
@@ -402,7 +424,7 @@ def _weed_sql() -> str:
 def weed_append(spark, sf_dir):
     wl = X.whitelist(spark, sf_dir)
     raw = F.when(F.col("i") % 4 == 0, None).when(F.col("i") % 3 == 0, S.reverse_complement("bc")).when(F.col("i") % 10 == 1, F.concat(F.substring("bc", 1, 7), F.lit("N"))).otherwise(F.col("bc"))
-    headers = spark.range(900).withColumnRenamed("id", "i").join(F.broadcast(wl), F.col("i") % 96 == F.col("id"))
+    headers = X.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("i")).join(F.broadcast(wl), F.col("i") % 96 == F.col("id"))  # 96 rows
     described = F.when(raw.isNull(), F.lit("1:N:0:1")).otherwise(F.concat(F.lit("1:N:0:GG+"), raw))
     headers = headers.select(F.concat(F.lit("r"), F.col("i").cast("string")).alias("read_name"), described.alias("description"))
     out = R.append_header_barcode(X.tagged(X.records(spark, sf_dir)), headers, 2, X.barcodes(spark, sf_dir), 8)
@@ -410,13 +432,14 @@ def weed_append(spark, sf_dir):
 
 
 _RAKE = f"""{REC}, v AS (SELECT qname, max_by(CB, line) AS cb FROM rec WHERE length(CB) = 17 AND replace(CB, 'N', '') <> '' GROUP BY qname),
-q AS (SELECT concat('r', cast(i AS varchar)) AS read_name, substr({X.dna("concat('f', cast(i AS varchar(20)))")}, 1, cast(10 + i % 20 AS int)) AS seq FROM (SELECT unnest(range(0, 1200)) AS i))
+q AS (SELECT concat('r', cast(i AS varchar)) AS read_name, substr({X.dna("concat('f', cast(i AS varchar(20)))")}, 1, cast(10 + i % 20 AS int)) AS seq FROM (SELECT o_orderkey AS i FROM orders))
 SELECT read_name, CASE WHEN cb IS NOT NULL AND length(seq) >= 19 THEN concat(substr(seq, 1, 2), cb, substr(seq, 20)) ELSE seq END AS seq FROM q LEFT JOIN v ON read_name = qname"""
 
 
 @query(_RAKE)
 def rake_inject(spark, sf_dir):
-    reads = spark.range(1200).select(F.expr("concat('r', cast(id AS string))").alias("read_name"), F.expr(f"substr({X.dna(X._key('f', 'id'))}, 1, cast(10 + id % 20 AS int))").alias("seq"))
+    orders = X.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    reads = orders.select(F.expr("concat('r', cast(id AS string))").alias("read_name"), F.expr(f"substr({X.dna(X._key('f', 'id'))}, 1, cast(10 + id % 20 AS int))").alias("seq"))
     return R.inject_barcodes(reads, X.records(spark, sf_dir).select("line", "qname", F.col("CB").alias("cb")), 3, 17).select("read_name", "seq")
 
 
@@ -485,11 +508,10 @@ def last_record(spark, sf_dir):
 # ---- what comes after ------------------------------------------------------------------------------------------
 
 
-@query(f"{REC}, cells AS (SELECT DISTINCT CB FROM rec WHERE CB LIKE 'TCC%') SELECT line, qname FROM rec WHERE qname IN (SELECT qname FROM rec WHERE CB IN (SELECT CB FROM cells))")
+@query(f"{REC}, cells AS (SELECT CB FROM (SELECT DISTINCT CB FROM rec WHERE CB IS NOT NULL) ORDER BY md5(concat('0:', CB)), CB LIMIT 100) SELECT line, qname FROM rec WHERE qname IN (SELECT qname FROM rec WHERE CB IN (SELECT CB FROM cells))")
 def read_reassignment(spark, sf_dir):
     rec = X.records(spark, sf_dir)
-    chosen = rec.where("CB LIKE 'TCC%'")
-    return C.reads_of_cells(chosen.select("qname", "CB"), rec.select("line", "qname"), n=1_000_000)
+    return C.reads_of_cells(rec.select("qname", "CB"), rec.select("line", "qname"), n=100)
 
 
 _COUNTS = "u AS (SELECT concat('c', cast(l_suppkey % 40 AS varchar)) AS cell, concat('g', cast(l_partkey % 60 AS varchar)) AS gene, concat(cast(l_orderkey % 50 AS varchar), l_returnflag) AS umi FROM lineitem), cnt AS (SELECT cell, gene, cast(count(DISTINCT umi) AS bigint) AS count FROM u GROUP BY ALL)"
@@ -504,9 +526,9 @@ def umi_counts(spark, sf_dir):
     return _counts(spark, sf_dir)
 
 
-@query(f"WITH {_COUNTS} SELECT gene, " + ", ".join(f"coalesce(sum(count) FILTER (cell = 'c{i}'), 0)::bigint AS c{i}" for i in range(4)) + " FROM cnt GROUP BY gene HAVING count(*) > 0")
+@query(f"WITH {_COUNTS} SELECT gene, " + ", ".join(f"coalesce(sum(count) FILTER (cell = 'c{i}'), 0)::bigint AS c{i}" for i in range(40)) + " FROM cnt GROUP BY gene HAVING count(*) > 0")
 def umi_matrix(spark, sf_dir):
-    return C.wide_counts(_counts(spark, sf_dir), [f"c{i}" for i in range(4)])
+    return C.wide_counts(_counts(spark, sf_dir), [f"c{i}" for i in range(40)])
 
 
 @query(f"WITH {_COUNTS}, a AS (SELECT cell, row_number() OVER (ORDER BY cell) AS i FROM (SELECT DISTINCT cell FROM cnt)), b AS (SELECT gene, row_number() OVER (ORDER BY gene) AS j FROM (SELECT DISTINCT gene FROM cnt)) SELECT i AS \"row\", j AS col, count AS val FROM cnt JOIN a USING (cell) JOIN b USING (gene)")
@@ -555,3 +577,182 @@ def index_summary(spark, sf_dir):
     seeds, kmers = M.seed_index(wl, 8, 1).agg(F.count(F.lit(1)).alias("seeds")), M.kmer_index(wl, 8, 1).agg(F.count(F.lit(1)).alias("kmers"))
     one = wl.agg(F.count(F.lit(1)).alias("barcodes"), F.max(F.length("barcode")).alias("length"))
     return one.join(F.broadcast(seeds)).join(F.broadcast(kmers))  # one row each
+
+
+# ---- files: written, read back, compared with the tables they come from ------------------------------------------
+
+
+def _fastq_lines(reads: DataFrame, seq: str, qual: str) -> DataFrame:
+    return reads.select("read_idx", F.concat_ws("\n", F.concat_ws(" ", F.concat(F.lit("@"), F.col("read_name")), "comment"), seq, F.lit("+"), qual).alias("value"))
+
+
+@query(f"{BASE} SELECT read_name, comment, seq, qual FROM reads")
+def fastq_files(spark, sf_dir):
+    """FASTQ text in several files, read in ranges smaller than a file."""
+    path = scratch(spark, "fastq")
+    Z.write_lines(_fastq_lines(X.flat_reads(spark, sf_dir), "seq", "qual"), path)
+    return Z.read_fastq(spark, *part_files(path), range_bytes=1 << 20).select("read_name", "comment", "seq", "qual")
+
+
+@query(f"{BASE} SELECT cast(row_number() OVER (ORDER BY read_idx) - 1 AS bigint) AS ordinal, read_name, seq, seq2 FROM reads")
+def fastq_pairs(spark, sf_dir):
+    """Two mates' files, one of them gzip, zipped by ordinal; a mate's file is one by its nature."""
+    one, two = scratch(spark, "mate1"), scratch(spark, "mate2")
+    reads = X.flat_reads(spark, sf_dir).coalesce(1).sortWithinPartitions("read_idx")
+    Z.write_lines(_fastq_lines(reads, "seq", "qual"), one, order=None)
+    Z.write_lines(_fastq_lines(reads, "seq2", "qual2"), two, order=None, compression="gzip")
+    pairs = Z.zip_reads(Z.read_fastq(spark, *part_files(one), *part_files(two), range_bytes=1 << 20), 2)
+    return pairs.select(F.col("read_idx").alias("ordinal"), "read_name", F.get("seqs", F.lit(0)).alias("seq"), F.get("seqs", F.lit(1)).alias("seq2"))
+
+
+@query(f"{_EXT} SELECT read_name, concat(replace(CB, '_', ''), UR) AS r1_seq, seq AS r2_seq, qual AS r2_qual, CB, XM FROM ext")
+def interleaved_file(spark, sf_dir):
+    path = scratch(spark, "interleaved")
+    Z.write_lines(E.interleaved(_records(spark, sf_dir)), path)
+    out = None
+    for file in part_files(path):
+        part = Z.read_interleaved(spark, file)
+        out = part if out is None else out.unionByName(part)
+    tags = S.header_tags("header")
+    return out.select(F.expr("substring(split(header, ' ')[0], 2)").alias("read_name"), "r1_seq", "r2_seq", "r2_qual", tags["CB"].alias("CB"), tags["XM"].alias("XM"))
+
+
+@query(f"{_EXT} SELECT read_name AS qname, seq, qual, {', '.join(_ORDER)} FROM ext")
+def sam_file(spark, sf_dir):
+    path = scratch(spark, "sam")
+    Z.write_sam(E.sam_lines(_records(spark, sf_dir)), path, "reap")
+    return Z.read_sam(spark, path).select("qname", "seq", "qual", *[R.tag(t).alias(t) for t in _ORDER])
+
+
+@query(f"{BASE} SELECT bc AS barcode FROM wl GROUP BY bc")
+def whitelist_file(spark, sf_dir):
+    """A file with each barcode twice, blanks around them, and blank lines."""
+    path = scratch(spark, "whitelist")
+    lines = X.barcodes(spark, sf_dir).select(F.explode(F.array("barcode", F.concat(F.lit(" "), F.col("barcode"), F.lit(" ")), F.lit(""))).alias("value"))
+    Z.write_lines(lines, path, order=None)
+    return Z.read_whitelists(spark, [f"BC:v1:{path}"])["BC:v1"]
+
+
+@query(f"{BASE}, {_HITS} SELECT * FROM hits")
+def hits_file(spark, sf_dir):
+    path = scratch(spark, "hits")
+    Z.write_csv(_hits(spark, sf_dir), path, "\t")
+    return Z.read_hits(spark, path)
+
+
+@query(f"{BASE}, {_FREQ}{_RUNS} SELECT * FROM conserved")
+def conserved_file(spark, sf_dir):
+    path = scratch(spark, "conserved")
+    Z.write_csv(conserved_runs(spark, sf_dir), path, "\t", ["file_index", "start"])
+    return Z.read_conserved(spark, path)
+
+
+@query(f"{BASE}, {_FREQ} SELECT 'file0' AS read, position, A, C, G, T, N FROM freq")
+def frequencies_file(spark, sf_dir):
+    path = scratch(spark, "frequencies")
+    shown = base_frequencies(spark, sf_dir).select(F.concat(F.lit("file"), F.col("file_index").cast("string")).alias("read"), "position", *"ACGTN")
+    Z.write_csv(shown, path, "\t", ["read", "position"])
+    return Z.read_frequencies(spark, path)
+
+
+@query(SQL["greedy_positions"].replace(f'SELECT {_G}, "start", "end", read_count, read_fraction FROM ordered', 'SELECT file_index AS file, "start", "end", barcode_whitelist AS whitelist, orientation FROM ordered'))
+def places_file(spark, sf_dir):
+    path = scratch(spark, "places")
+    columns = ["barcode_whitelist", "file_index", "file", "orientation", "start", "end", "read_count", "read_fraction"]
+    Z.write_csv(greedy_positions(spark, sf_dir).select(*columns), path, order=[F.desc("read_count"), "start"])
+    places = [(p.file, p.start, p.end, p.whitelist, p.orientation) for p in Z.read_places(spark, path)]
+    return spark.createDataFrame(places, "file int, start int, end int, whitelist string, orientation string")
+
+
+@query("SELECT min_by(p_name, p_partkey) AS name, p_brand AS seq FROM part GROUP BY p_brand")
+def fasta_file(spark, sf_dir):
+    """The names of distinct sequences of a FASTA file, the first of each."""
+    path = scratch(spark, "fasta")
+    part = X.table(spark, sf_dir, "part").coalesce(1).sortWithinPartitions("p_partkey")  # read whole, as such files are
+    Z.write_lines(part.select(F.concat_ws("\n", F.concat(F.lit(">"), F.col("p_name")), "p_brand").alias("value")), path, order=None)
+    return C.first_by_sequence(Z.read_fasta(spark, path)).select("name", "seq")
+
+
+@query(SQL["counts_to_coo"])
+def matrix_market_file(spark, sf_dir):
+    path = scratch(spark, "matrix")
+    coo = counts_to_coo(spark, sf_dir)
+    size = coo.agg(F.max("row").alias("r"), F.max("col").alias("c")).first()
+    Z.write_matrix_market(coo, size.r, size.c, path)
+    return Z.read_matrix_market(spark, path)
+
+
+@query(f"SELECT concat('Index ', cast(idx AS varchar), chr(9), value, chr(9), cast(count AS varchar)) AS value FROM ({_parts_sql('CB')})")
+def tag_count_file(spark, sf_dir):
+    path = scratch(spark, "counts")
+    Z.write_tag_counts(C.tag_counts(X.records(spark, sf_dir), "CB"), path)
+    return spark.read.text(path)
+
+
+@query(f"{REC}, p AS (SELECT cast(i AS int) AS i, string_split(CB, '_')[i] AS b FROM (SELECT CB, unnest([1, 2]) AS i FROM rec WHERE CB IS NOT NULL)) SELECT 'barcodes' AS kind, i AS \"Index\", b AS value, cast(count(*) AS bigint) AS \"Count\" FROM p GROUP BY ALL UNION ALL SELECT 'combinations', 0, CB, cast(count(*) AS bigint) FROM rec WHERE CB IS NOT NULL GROUP BY ALL")
+def tally_files(spark, sf_dir):
+    tables = C.tally_tables(X.records(spark, sf_dir))
+    found = {}
+    for suffix in ("barcodes", "barcode.combinations"):
+        path = scratch(spark, suffix)
+        Z.write_csv(tables[suffix], path, order=tables[suffix].columns)
+        found[suffix] = spark.read.schema(tables[suffix].schema).csv(path, header=True)
+    one = found["barcodes"].select(F.lit("barcodes").alias("kind"), "Index", F.col("Barcode").alias("value"), "Count")
+    return one.unionByName(found["barcode.combinations"].select(F.lit("combinations").alias("kind"), F.lit(0).alias("Index"), F.col("BarcodeCombination").alias("value"), "Count"))
+
+
+@query(_APPROX)
+def index_match(spark, sf_dir):
+    """Windows matched through a stored index of seeds."""
+    path = scratch(spark, "index")
+    I.save_index(X.barcodes(spark, sf_dir), "BC:v1", path, "seed", 1)
+    _, kind, mismatches, rows = I.load_index(spark, path)
+    windows = X.flat_reads(spark, sf_dir).select("read_idx", F.explode(V.jitter_windows("seq", 11, 18, 2)).alias("w")).select("read_idx", "w.*")
+    return M.approximate_matches(windows, X.barcodes(spark, sf_dir), 8, mismatches, index=(kind, rows)).select("read_idx", "cand", "pos", "barcode", "n")
+
+
+@query(f"{BASE}, k AS (SELECT DISTINCT substr(bc, i, 4) AS k FROM wl, (SELECT cast(unnest(range(1, 6)) AS int) AS i)) SELECT 8 AS len, (SELECT string_agg(bc, ' ' ORDER BY bc) FROM (SELECT bc FROM wl ORDER BY bc LIMIT 3)) AS barcodes, (SELECT string_agg(k, ' ' ORDER BY k) FROM (SELECT k FROM k ORDER BY k LIMIT 3)) AS keys")
+def index_preview(spark, sf_dir):
+    out = I.preview_index(I.build_index(X.barcodes(spark, sf_dir), "kmer", 1))
+    return out.select("len", *[F.array_join(c, " ").alias(c) for c in ("barcodes", "keys")])
+
+
+@query(SQL["sift_ranges"])
+def sift_by_sidecar(spark, sf_dir):
+    """Reads sifted by the ranges of a description that was written and read back."""
+    path = scratch(spark, "sidecar")
+    Z.write_sidecar(spark, E.sidecar([8, 8], 3), path)
+    pairs = X.records(spark, sf_dir).select("line", F.regexp_replace(F.coalesce("CB", "CR"), "_", "").alias("r1_seq"))
+    return R.sift_reads(pairs, Z.sidecar_ranges(Z.read_sidecar(spark, path)))
+
+
+@query(f"{REC} SELECT qname, concat_ws(chr(10), concat('@', qname, '/1'), concat(coalesce(CB, ''), UR), '+', concat(repeat('F', length(coalesce(CB, ''))), repeat('F', length(UR))), concat('@', qname, '/2'), seq, '+', qual) AS value FROM rec")
+def sam_to_fastq(spark, sf_dir):
+    return R.records_to_plain_interleaved(X.tagged(X.records(spark, sf_dir)))
+
+
+@query(f"{REC}, c AS (SELECT string_split(min_by(CB, line), '_') AS p FROM rec WHERE CB IS NOT NULL) SELECT concat('0,0,', cast(len(p[1]) AS varchar), ',0,', cast(len(p[1]) AS varchar), ',', cast(len(p[1]) + len(p[2]) AS varchar), ':0,', cast(len(p[1]) + len(p[2]) AS varchar), ',', cast(len(p[1]) + len(p[2]) + (SELECT length(min_by(UR, line)) FROM rec) AS varchar), ':1,0,0') AS x FROM c")
+def sidecar_of_records(spark, sf_dir):
+    """The description that the first record with a barcode leads to, written and read back."""
+    path = scratch(spark, "description")
+    Z.write_sidecar(spark, E.sidecar(*R.sidecar_lengths(X.records(spark, sf_dir))), path)
+    return C.kb_option(spark.read.text(path, wholetext=True))
+
+
+@query(f"{REC} SELECT line AS read_idx, CR, CB, XM, concat(XP, '/1') AS XP, UR FROM rec")
+def header_stats_tags(spark, sf_dir):
+    rec = X.records(spark, sf_dir)
+    names = ("CR", "CB", "XM", "XP", "UR")
+    header = F.concat_ws(" ", F.lit("@x"), *[F.concat(F.lit(f"{n}="), F.col(n), F.lit("/1" if n == "XP" else "")) for n in names], F.lit("ZZ=1 /1"))
+    return R.header_records(rec.select(F.col("line").alias("read_idx"), header.alias("header")), names)
+
+
+@query("WITH " + X.BASE + "," + X.RECORDS + " SELECT read_idx FROM reads WHERE read_name IN (SELECT qname FROM rec WHERE CB IS NULL)")
+def reads_without_barcode(spark, sf_dir):
+    reads = X.flat_reads(spark, sf_dir).select("read_idx", "read_name")
+    return C.reads_without_barcode(reads, X.records(spark, sf_dir).select("qname", "CB")).select("read_idx")
+
+
+@query(f"{BASE}, {_NEAR} SELECT variant, barcode, n FROM (SELECT *, row_number() OVER (PARTITION BY variant ORDER BY n, id) AS k FROM near JOIN wl ON barcode = bc) WHERE k = 1")
+def first_lookup(spark, sf_dir):
+    return D.first_lookup(X.whitelist(spark, sf_dir).select(F.col("bc").alias("barcode"), F.col("id").alias("order")))
