@@ -7,11 +7,12 @@ ends a window selects the windows to try, and a direct comparison confirms each
 Defined results: a null or empty text has no words, no hits and is not contaminated; null or word-less items
 have no windows; equal windows of several items count for all of them; an item id of null is left out of the
 list of items, though its windows hit; without benchmark rows nothing is hit. Columns of the input are carried
-along, except those whose names are outputs' names.
+along whatever their names, except those named like outputs.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import LOWER, UPPER, cut, map_texts
+from ._common import LOWER, UPPER, Shelf, cut, kept, map_texts, quoted
 
 WINDOW = 13
 
@@ -118,16 +119,17 @@ def find_contamination(
     A map over partitions. Windows are sent in blocks of `max_block_chars` at most; each block after the first
     is a further pass over what the one before has written to the shared folder.
     """
-    carry = [c for c in (df.columns if carry is None else carry) if c.lower() not in ("n_words", "n_hit", "hits", "items", "contaminated")]
-    carry = [*dict.fromkeys([*carry, text_col])]
+    shelf = Shelf(df.columns if carry is None else carry, ("n_words", "n_hit", "hits", "items", "contaminated"))
+    df = df.select(*shelf.put, quoted(text_col).alias("text"))
+    text_col, carry = "text", [*shelf.keys, "text"]
     spark = df.sparkSession
     outputs = T.StructType().add("n_words", T.LongType()).add("hits", T.BinaryType()).add("items", T.ArrayType(T.StringType()))
 
     def one_pass(docs: DataFrame, block: list, first: bool) -> DataFrame:
-        shared = spark.sparkContext.broadcast(block)
+        shared, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
         def make():
-            finders = searchers(shared.value)
+            finders = kept(key, lambda: searchers(shared.value))
 
             def work(texts: pa.Array) -> dict:
                 out: dict[str, list] = {"n_words": [], "hits": [], "items": []}
@@ -158,4 +160,5 @@ def find_contamination(
     if out is None:
         out = one_pass(df, [], True)
     n_hit = F.length(F.regexp_replace(F.hex("hits"), "0", "")).cast("long")
-    return out.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(share) * F.col("n_hit") >= F.col("n_words")))
+    out = out.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(share) * F.col("n_hit") >= F.col("n_words")))
+    return out.select(*shelf.back, "n_words", "n_hit", "hits", "items", "contaminated")

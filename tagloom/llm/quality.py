@@ -7,7 +7,7 @@ which all rows of a batch descend a level at a time.
 Defined results: a null text counts as the empty one, whose statistics are zero, and has a score like any other;
 rows without a label, or with a null one, are not learned from; of several labels of one id each is learned; with
 no labels at all, or only one kind, every score is the share of ones (one half without any). Columns of the input
-are carried along, except those whose names are outputs' names.
+are carried along whatever their names, except those named like outputs.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import cut, map_texts
+from ._common import Shelf, cut, map_texts, quoted
 
 #: The trees are fitted on about this many labelled rows, taken by a hash of their id.
 MAX_LABELLED = 20_000
@@ -145,12 +145,14 @@ def score_quality(df: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
 
     The texts are read once: their statistics are written to the shared folder, learned from, then scored.
     """
-    carry = [c for c in (df.columns if carry is None else carry) if c.lower() not in ("x", "score", "predicted")]
+    shelf = Shelf(df.columns if carry is None else carry, ("score", "predicted"))
+    carry = shelf.keys
+    rows = df.select(*shelf.put, quoted(id_col).alias("id"), quoted(text_col).alias("text"))
     outputs = T.StructType().add("x", T.ArrayType(T.DoubleType()))
-    features = cut(map_texts(df, text_col, lambda: lambda texts: {"x": statistics(texts).tolist()}, outputs, [*dict.fromkeys([*carry, id_col])]))
-    model = learn(features.select(id_col, "x"), train, id_col, label_col)
+    features = cut(map_texts(rows, "text", lambda: lambda texts: {"x": statistics(texts).tolist()}, outputs, [*carry, "id"]))
+    model = learn(features.select("id", "x"), train.select(quoted(id_col).alias("id"), quoted(label_col).alias("label")), "id", "label")
     shared = df.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*features.select(*[f"`{c}`" for c in carry]).schema, *T.StructType().add("score", "double").add("predicted", "integer")])
+    schema = T.StructType([*features.select(*carry).schema, *T.StructType().add("score", "double").add("predicted", "integer")])
 
     def run(parts):
         for part in parts:
@@ -158,4 +160,4 @@ def score_quality(df: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
             score = shared.value.score(x)
             yield pa.RecordBatch.from_arrays([*part.columns[: len(carry)], pa.array(score), pa.array((score >= limit).astype(np.int32))], names=schema.names)
 
-    return features.select(*[f"`{c}`" for c in carry], "x").mapInArrow(run, schema)
+    return features.select(*carry, "x").mapInArrow(run, schema).select(*shelf.back, "score", "predicted")

@@ -12,7 +12,7 @@ has its anchor, the repeated ones cover one run, from the first to the end of th
 
 Defined results: null counts as empty; bytes are those of UTF-8; texts of fewer than LEAST bytes have nothing to
 remove; a row that occurs twice is two texts, so all its strings repeat if it is long enough; columns besides id
-and text are carried along, except those whose names are outputs' names.
+and text are carried along whatever their names, except those named like outputs.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import batches, cut
+from ._common import Shelf, batches, cut, quoted
 from .suffix_array import shares, suffix_array
 
 LEAST = 400
@@ -233,11 +233,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """`df` with n_bytes, spans (start, end of each removed run, in bytes) and kept (binary, the bytes that stay)."""
     if not 8 <= anchor <= least:
         raise ValueError("an anchor has 8 bytes at least, and no more than a string")
-    own = ("n_bytes", "spans", "kept")
-    carry = [c for c in (df.columns if carry is None else carry) if c.lower() not in own]
-    text = F.col(f"`{text_col}`").cast("string")
-    k1, k2 = F.xxhash64(F.col(f"`{id_col}`"), text).alias("k1"), F.hash(text, F.col(f"`{id_col}`")).alias("k2")
-    keyed = df.select(k1, k2, text.alias("text")).where(F.octet_length("text") >= least)
+    shelf = Shelf(df.columns if carry is None else carry, ("n_bytes", "spans", "kept"))
+    carry = shelf.keys
+    text = quoted(text_col).cast("string")
+    k1, k2 = F.xxhash64(quoted(id_col), text), F.hash(text, quoted(id_col))
+    keyed = df.select(k1.alias("k1"), k2.alias("k2"), text.alias("text")).where(F.octet_length("text") >= least)
     anchors = _anchors(keyed, least, anchor)
 
     # stretches by anchor and bytes; sums precede the shuffle, so that one that all texts have is no burden
@@ -257,9 +257,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     marks = cut(spans.unionByName(_sorted_spans(dealt, least, block_bytes)))
 
     covered = anchors.join(marks, ["h", "body"]).select("k1", "k2", F.transform("spans", lambda s: F.struct((s["a"] + F.col("start")).alias("a"), (s["b"] + F.col("start")).alias("b"))).alias("spans"))
-    by_text = covered.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("__spans"))
-    rows = df.select(*[F.col(f"`{c}`") for c in carry], text.alias("__text"), k1.alias("__k1"), k2.alias("__k2"))
-    joined = rows.join(by_text, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")), "left").select(*[F.col(f"`{c}`") for c in carry], "__text", "__spans")
+    by_text = covered.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    rows = df.select(*shelf.put, text.alias("text"), k1.alias("k1"), k2.alias("k2"))
+    joined = rows.join(by_text, ["k1", "k2"], "left").select(*carry, "text", "spans")
     schema = T.StructType([*joined.schema.fields[: len(carry)], *T.StructType().add("n_bytes", "long").add("spans", T.ArrayType(T.StructType().add("start", "integer").add("end", "integer"))).add("kept", "binary")])
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
@@ -276,4 +276,4 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])))
                 yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in part.columns[: len(carry)]], pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], names=schema.names)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(run, schema).select(*shelf.back, "n_bytes", "spans", "kept")
