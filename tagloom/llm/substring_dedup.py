@@ -2,13 +2,15 @@
 
 Each string of LEAST bytes has an anchor: the place in it whose ANCHOR bytes have the smallest hash, the first of
 equals. Equal strings have equal anchors at one offset, so they can only meet where anchors are equal. The strings
-of a text that share an anchor are one stretch of it, and a stretch that occurs twice is repeated as a whole. Only
-stretches of equal anchors that differ are compared: they are dealt out by anchor, and each shard's stretches are
-one text whose suffix array (induced sorting) brings equal strings together. A string counts as repeated if
-another stretch has it at the same offset from the anchor; as each string belongs to one stretch only, no place is
-compared with itself. An anchor with more different stretches than fill a block is not sorted in one task: all
-strings of its stretches are dealt out and counted by a 128-bit hash of their bytes. As every string of a stretch
-has its anchor, the repeated ones cover one run, from the first to the end of the last.
+of a text that share an anchor are one stretch of it, and a stretch that occurs twice is repeated as a whole. Of
+stretches of equal anchors that differ, each string has half of its other bytes, or more, on one side of the anchor:
+so two can only share a string if they share that half beside the anchor, on the left or on the right. Those that do
+are dealt out by anchor, side and half, and each shard's stretches are one text whose suffix array (external induced
+sorting, which carries common prefixes) brings equal strings together. A string counts as repeated if another
+stretch has it at the same offset from the anchor; as each string belongs to one stretch only, no place is compared
+with itself. A half that more different stretches share than fill a block is not sorted in one task: all strings of
+its stretches are dealt out and counted by a 128-bit hash of their bytes. As every string of a stretch has its
+anchor, the repeated ones cover one run, from the first to the end of the last.
 
 Defined results: null counts as empty; bytes are those of UTF-8; texts of fewer than LEAST bytes have nothing to
 remove; a row that occurs twice is two texts, so all its strings repeat if it is long enough; columns besides id
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._common import Shelf, batches, cut, quoted
-from .suffix_array import shares, suffix_array
+from .suffix_array import suffix_array
 
 LEAST = 400
 ANCHOR = 48
@@ -101,11 +103,16 @@ def repeated_windows(bodies: list[bytes], offsets: list[int], groups: np.ndarray
     data = np.frombuffer(b"\0".join(bodies) + b"\0", np.uint8)
     text = np.append(data.astype(np.int16) + 2, np.int16(0))
     text[start + size] = 1  # between stretches
-    order = suffix_array(text, 258, folder)[1:]
+    order, common = (x[1:] for x in suffix_array(text, 258, least, folder))
     owner = np.repeat(np.arange(len(bodies)), size + 1)
     place = np.arange(len(data)) - np.repeat(start, size + 1)
-    order = order[(place <= np.repeat(size - least, size + 1))[order]]
-    same = shares(data, order, least)
+    # places from which a whole string fits; what two neighbours share is the least along the way
+    fits = np.flatnonzero((place <= np.repeat(size - least, size + 1))[order])
+    same = np.minimum.reduceat(common, fits[:-1] + 1)[: len(fits) - 1] >= least if len(fits) > 1 else np.zeros(0, bool)
+    if len(fits) > 1:
+        # the last stretch of reduceat goes on to the end
+        same[-1] = common[fits[-2] + 1 : fits[-1] + 1].min() >= least
+    order = order[fits]
     inside = np.append(False, same) | np.append(same, False)
     run = np.cumsum(np.append(0, ~same))[inside]
     order = order[inside]
@@ -157,9 +164,13 @@ def _anchors(keyed: DataFrame, least: int, anchor: int) -> DataFrame:
     return keyed.mapInArrow(run, _ANCHORS)
 
 
-def _bodies(wanted: DataFrame) -> DataFrame:
-    """The bytes of the stretches asked for (text, want: array of start, size, offset, h, body, lone, hot)."""
-    schema = T.StructType().add("h", "long").add("offset", "integer").add("body", "long").add("lone", "boolean").add("data", "binary").add("hot", "boolean")
+def _bodies(wanted: DataFrame, least: int, anchor: int) -> DataFrame:
+    """The stretches asked for (text, want: array of start, size, offset, h, body, lone): their bytes, and hashes of what is left and right of the anchor."""
+    schema = T.StructType().add("h", "long").add("offset", "integer").add("body", "long").add("lone", "boolean").add("data", "binary").add("left", "long").add("right", "long")
+    half = (least - anchor + 1) // 2
+
+    def beside(data: bytes, at: int) -> int | None:
+        return xxhash.xxh3_64_intdigest(data[at : at + half]) - (1 << 63) if 0 <= at <= len(data) - half else None
 
     def run(parts):
         for part in parts:
@@ -167,9 +178,11 @@ def _bodies(wanted: DataFrame) -> DataFrame:
                 rows = []
                 for text, want in zip(part.column(0).slice(lo, hi - lo).to_pylist(), part.column(1).slice(lo, hi - lo).to_pylist()):
                     raw = text.encode()
-                    rows.extend((w["h"], w["offset"], w["body"], w["lone"], raw[w["start"] : w["start"] + w["size"]], w["hot"]) for w in want)
-                columns = list(zip(*rows)) or [()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.bool_()))], names=schema.names)
+                    for w in want:
+                        data = raw[w["start"] : w["start"] + w["size"]]
+                        rows.append((w["h"], w["offset"], w["body"], w["lone"], data, beside(data, w["offset"] - half), beside(data, w["offset"] + anchor)))
+                columns = list(zip(*rows)) or [()] * 7
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64()))], names=schema.names)
 
     return wanted.select("text", "want").mapInArrow(run, schema)
 
@@ -179,7 +192,7 @@ _ARROW_SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 
 def _sorted_spans(bodies: DataFrame, least: int, block_bytes: int) -> DataFrame:
-    """Repeated parts of the stretches that occur once: (h, body, spans). Rows of one anchor come together."""
+    """Repeated parts of the stretches that occur once: (h, body, spans). Rows (h, side, beside, ...) of one group come together."""
     schema = T.StructType().add("h", "long").add("body", "long").add("spans", _SPANS)
 
     def run(parts):
@@ -187,25 +200,25 @@ def _sorted_spans(bodies: DataFrame, least: int, block_bytes: int) -> DataFrame:
         held = 0
 
         def done():
-            groups = np.unique(np.array([r[0] for r in block], np.int64), return_inverse=True)[1]
+            new = [a[:3] != b[:3] for a, b in zip(block, block[1:])]
             with tempfile.TemporaryDirectory() as folder:
-                found = repeated_windows([r[4] for r in block], [r[1] for r in block], groups, least, folder)
-            rows = [(r[0], r[2], s) for r, s in zip(block, found) if r[3] and s]
+                found = repeated_windows([r[6] for r in block], [r[3] for r in block], np.cumsum([0, *new]), least, folder)
+            rows = [(r[0], r[4], s) for r, s in zip(block, found) if r[5] and s]
             columns = list(zip(*rows)) or [()] * 3
             spans = [[{"a": a, "b": b} for a, b in s] for s in columns[2]]
             return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(spans, _ARROW_SPANS)], names=schema.names)
 
         for part in parts:
             for row in zip(*(c.to_pylist() for c in part.columns)):
-                if held >= block_bytes and row[0] != block[-1][0]:
+                if held >= block_bytes and row[:3] != block[-1][:3]:
                     yield done()
                     block, held = [], 0
                 block.append(row)
-                held += len(row[4])
+                held += len(row[6])
         if block:
             yield done()
 
-    return bodies.mapInArrow(run, schema)
+    return bodies.select("h", "side", "beside", "offset", "body", "lone", "data").mapInArrow(run, schema)
 
 
 def _counted_spans(bodies: DataFrame, least: int) -> DataFrame:
@@ -214,15 +227,15 @@ def _counted_spans(bodies: DataFrame, least: int) -> DataFrame:
 
     def run(parts):
         for part in parts:
-            for lo, hi in batches(part.column(4), 1 << 17):
-                h, _, body, lone, data, _ = (c.slice(lo, hi - lo) for c in part.columns)
+            for lo, hi in batches(part.column(3), 1 << 17):
+                h, body, lone, data = (c.slice(lo, hi - lo) for c in part.columns)
                 data = data.to_pylist()
                 which = pa.array(np.repeat(np.arange(len(data)), [len(d) - least + 1 for d in data]))
                 at = pa.array([i for d in data for i in range(len(d) - least + 1)], pa.int32())
                 digest = pa.array([xxhash.xxh3_128_digest(d[i : i + least]) for d in data for i in range(len(d) - least + 1)], pa.binary())
                 yield pa.RecordBatch.from_arrays([h.take(which), body.take(which), lone.take(which), at, digest], names=schema.names)
 
-    strings = bodies.mapInArrow(run, schema)
+    strings = bodies.select("h", "body", "lone", "data").mapInArrow(run, schema)
     # sums precede the shuffle, and the written table lets Spark split the rows of a frequent string
     repeated = cut(strings.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"))
     found = strings.where("lone").join(repeated, "digest").groupBy("h", "body").agg(F.min("at").alias("a"), (F.max("at") + least).alias("b"))
@@ -243,17 +256,22 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # stretches by anchor and bytes; sums precede the shuffle, so that one that all texts have is no burden
     kinds = anchors.groupBy("h", "offset", "body").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "start", "size")).alias("at"))
     groups = kinds.groupBy("h").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("n") == 1).alias("lone")).where("total > 1")
-    hot = F.col("kinds") > block_bytes // (2 * least)  # a stretch has fewer than 2 * least bytes
-    shared = cut(kinds.join(groups, "h").select("h", "offset", "body", "n", "at", ((F.col("kinds") > 1) & (F.col("lone") > 0)).alias("differ"), hot.alias("hot")))
+    shared = cut(kinds.join(groups, "h").select("h", "offset", "body", "n", "at", ((F.col("kinds") > 1) & (F.col("lone") > 0)).alias("differ")))
 
     whole = shared.where("n > 1").select("h", "body", F.array(F.struct(F.lit(0).alias("a"), F.col("at.size").alias("b"))).alias("spans"))
-    asked = shared.where("differ").select("at.k1", "at.k2", F.struct("at.start", "at.size", "offset", "h", "body", (F.col("n") == 1).alias("lone"), "hot").alias("w"))
+    asked = shared.where("differ").select("at.k1", "at.k2", F.struct("at.start", "at.size", "offset", "h", "body", (F.col("n") == 1).alias("lone")).alias("w"))
     wanted = keyed.join(asked.groupBy("k1", "k2").agg(F.collect_list("w").alias("want")), ["k1", "k2"])
-    bodies, spans = _bodies(wanted), whole
-    if shared.where("differ AND hot").head(1):
-        bodies = cut(bodies)
-        spans = spans.unionByName(_counted_spans(bodies.where("hot"), least))
-    dealt = bodies.where("NOT hot").repartition("h").sortWithinPartitions("h", "body")
+    bodies = cut(_bodies(wanted, least, anchor))
+    sides = F.array(*[F.struct(F.lit(i).alias("side"), F.col(c).alias("beside")) for i, c in enumerate(("left", "right"))])
+    members = bodies.select("h", "offset", "body", "lone", F.explode(sides).alias("s")).select("h", "offset", "body", "lone", "s.side", "s.beside").where("beside IS NOT NULL")
+    key = ["h", "side", "beside"]
+    hot = F.col("kinds") > block_bytes // (2 * least)  # a stretch has fewer than 2 * least bytes
+    met = members.groupBy(*key).agg(F.count(F.lit(1)).alias("kinds"), F.count_if("lone").alias("alone")).where("kinds > 1 AND alone > 0").select(*key, hot.alias("hot"))
+    found = cut(members.drop("lone").join(met, key))
+    spans = whole
+    if found.where("hot").head(1):
+        spans = spans.unionByName(_counted_spans(bodies.join(found.where("hot").select("h", "offset", "body").distinct(), ["h", "offset", "body"]), least))
+    dealt = bodies.join(found.where("NOT hot"), ["h", "offset", "body"]).repartition(*key).sortWithinPartitions(*key, "body")
     marks = cut(spans.unionByName(_sorted_spans(dealt, least, block_bytes)))
 
     covered = anchors.join(marks, ["h", "body"]).select("k1", "k2", F.transform("spans", lambda s: F.struct((s["a"] + F.col("start")).alias("a"), (s["b"] + F.col("start")).alias("b"))).alias("spans"))

@@ -1,10 +1,18 @@
-"""Suffix arrays by induced sorting, with the arrays on disk when a text is large.
+"""Suffix arrays with common prefixes by external induced sorting.
 
-Suffixes that begin where the text turns from falling to rising are sorted first, by recursion over the names of
-the pieces between them; all others are induced from these in two scans. A scan is a priority queue by first
-symbol: each symbol has its own stretch of a file-backed array, filled in order of arrival, and the scan takes
-out the suffixes of as many symbols at once as do not put anything before what it has still to take. Whether two
-neighbours share `least` symbols is found from the text, eight bytes at a time.
+Suffixes that begin where the text turns from falling to rising are sorted first, by recursion over the names of the
+pieces between them; all others are induced from these in two scans. A scan takes suffixes out of a priority queue
+in the order of (first symbol, arrival) and puts their predecessors in. The queue holds tuples (symbol, place, common
+prefix) in sorted runs; what is over `room` tuples is in files, from which a scan reads on where it has stopped.
+
+Each tuple carries the length, in symbols of the first text and up to `cap`, that its suffix has in common with the
+one before it under its symbol. That is a symbol's weight more than the least such length among the suffixes that
+the scan has passed between the two inductions; as lengths have cap + 1 values, the last place of each value is all
+that is kept of what has been passed. A name weighs what its piece has of the first text, so the recursion counts
+in that as well; the text itself is compared only where a scan goes on from one name to another, and where a
+symbol's induced suffixes meet the given ones.
+
+Arrays of more than `room` numbers are files too; numpy reads the parts of them that a scan is at.
 """
 
 from __future__ import annotations
@@ -13,31 +21,251 @@ import tempfile
 
 import numpy as np
 
-#: Arrays of more numbers than this are files in a folder that goes with the call.
-IN_MEMORY = 64 << 20
+#: Numbers that an array or the queue may hold in memory; beyond it they are files.
+ROOM = 4 << 20
+
+#: Runs of the queue; more are merged, neighbours with neighbours.
+RUNS = 16
+
+
+class Disk:
+    """Arrays in memory while they are small, and in files of a folder beyond `room` numbers."""
+
+    def __init__(self, folder: str | None, room: int = ROOM):
+        self.folder, self.room = folder, room
+
+    def empty(self, n: int, kind) -> np.ndarray:
+        if self.folder is None or n <= self.room:
+            return np.empty(n, kind)
+        with tempfile.NamedTemporaryFile(dir=self.folder) as f:
+            return np.memmap(f, kind, "w+", shape=(n,))
+
+    def full(self, n: int, fill: int, kind) -> np.ndarray:
+        out = self.empty(n, kind)
+        out[:] = fill
+        return out
+
+
+class Queue:
+    """A priority queue of tuples (key, place, common prefix); of equal keys the first that came goes first."""
+
+    def __init__(self, disk: Disk):
+        self.disk = disk
+        self.runs: list[list] = []  # [keys, places, lengths, where to read on, where below() ended], by arrival
+
+    def _run(self, parts: list[tuple]) -> list:
+        """A sorted run of the parts, which are in order of arrival."""
+        keys = np.concatenate([p[0] for p in parts])
+        order = np.argsort(keys, kind="stable")
+        out = []
+        for column in range(3):
+            x = self.disk.empty(len(keys), parts[0][column].dtype)
+            x[:] = (keys if column == 0 else np.concatenate([p[column] for p in parts]))[order]
+            out.append(x)
+        return [*out, 0, 0]
+
+    def push(self, keys: np.ndarray, places: np.ndarray, lengths: np.ndarray) -> None:
+        """Add tuples that are sorted by key, equal keys in order of arrival."""
+        if not len(keys):
+            return
+        self.runs.append([keys, places, lengths, 0, 0])
+        if len(self.runs) > RUNS:
+            # the last runs become one, and with them each run before that is no longer than they are together
+            total, first = 0, len(self.runs)
+            while first and (first > len(self.runs) - RUNS // 2 or len(self.runs[first - 1][0]) - self.runs[first - 1][3] <= total):
+                first -= 1
+                total += len(self.runs[first][0]) - self.runs[first][3]
+            self.runs[first:] = [self._run([tuple(c[r[3] :] for c in r[:3]) for r in self.runs[first:]])]
 
+    def below(self, key: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All tuples under `key`, in order, which stay."""
+        parts = []
+        for run in self.runs:
+            keys, places, lengths, at, _ = run
+            # most runs have nothing yet
+            run[4] = end = at if keys[at] >= key else at + int(keys[at:].searchsorted(key))
+            if end > at:
+                parts.append((keys[at:end], places[at:end], lengths[at:end]))
+        if not parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int16)
+        if len(parts) == 1:
+            return tuple(np.asarray(x) for x in parts[0])
+        keys, places, lengths = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(keys, kind="stable")
+        return keys[order], places[order], lengths[order]
 
-def _array(n: int, folder: str | None, fill: int = -1) -> np.ndarray:
-    if folder is None or n <= IN_MEMORY:
-        return np.full(n, fill, np.int64)
-    out = np.memmap(tempfile.NamedTemporaryFile(dir=folder), np.int64, "w+", shape=(n,))
-    out[:] = fill
+    def drop(self, key: int) -> None:
+        """Take out all tuples under `key`, which is at most what below() was last asked for."""
+        gone = False
+        for run in self.runs:
+            if run[4] > run[3]:
+                run[3] += int(run[0][run[3] : run[4]].searchsorted(key))
+                gone = gone or run[3] == len(run[0])
+        if gone:
+            self.runs = [r for r in self.runs if r[3] < len(r[0])]
+
+
+class Words:
+    """The first text, for comparisons of several symbols at a time."""
+
+    def __init__(self, text: np.ndarray, cap: int):
+        self.cap, self.n = cap, len(text)
+        self.text = np.concatenate([text.astype(np.uint16), np.zeros(8, np.uint16)])
+        self.four = np.ndarray((self.n + 4,), "<u8", self.text, strides=(2,))
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """What the suffixes at a and b have in common, up to `cap`."""
+        out = np.zeros(len(a), np.int64)
+        rows = np.arange(len(a))
+        k = 0
+        while len(rows) and k < self.cap:
+            x, y = self.four[a[rows] + k], self.four[b[rows] + k]
+            differ = x ^ y
+            same = differ == 0
+            left = rows[~same]
+            d = differ[~same]
+            out[left] = k + (d & np.uint64(0xFFFF) == 0) * (1 + (d & np.uint64(0xFFFFFFFF) == 0) * (1 + (d & np.uint64(0xFFFFFFFFFFFF) == 0)).astype(np.int64))
+            rows = rows[same]
+            k += 4
+            # a suffix that ends has ended in a symbol that no other has
+        out[rows] = self.cap
+        return np.minimum(out, self.cap)
+
+
+def _least_between(x: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The least of x[first..last], first <= last, for each pair."""
+    width = last - first + 1
+    out = np.array(x[last])
+    wide = np.flatnonzero(width > 1)
+    if len(wide):
+        top = int(width[wide].max()).bit_length()
+        levels = [x]
+        for k in range(1, top):
+            half = 1 << (k - 1)
+            levels.append(np.minimum(levels[-1][:-half], levels[-1][half:]) if len(levels[-1]) > half else levels[-1][:0])
+        bits = np.frexp(width[wide].astype(float))[1] - 1
+        for k in np.unique(bits).tolist():
+            own = wide[bits == k]
+            out[own] = np.minimum(levels[k][first[own]], levels[k][last[own] - (1 << k) + 1])
     return out
 
 
-def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The numbers of all ranges, one range after the other."""
-    total = int(lengths.sum())
-    if not total:
-        return np.zeros(0, np.int64)
-    before = np.cumsum(lengths) - lengths
-    return np.repeat(starts - before, lengths) + np.arange(total)
+class Scan:
+    """One scan of induced sorting over keys in order; `given` suffixes follow the induced ones of their key."""
+
+    def __init__(self, text, size: int, down: bool, member, disk: Disk, words: Words | None, weight=None, origin=None):
+        self.text, self.size, self.down, self.member, self.disk, self.words = text, size, down, member, disk, words
+        self.weight, self.origin = weight, origin
+        self.queue, self.passed = Queue(disk), 0
+        if words is not None:
+            self.last = disk.full(size, -1, np.int64)  # when a symbol was last put in
+            self.latest = np.full(words.cap + 1, -1, np.int64)  # when a length of at most so much was last passed
+        self.before = None  # key, kind and place of the last suffix passed
+
+    def _lengths(self, keys, kinds, places, own) -> np.ndarray:
+        """What each suffix has in common with the one before it in the scan."""
+        out = own.astype(np.int64)
+        old = self.before or (keys[0], kinds[0], places[0])
+        k0, d0, p0 = (np.append(x, y[:-1]) for x, y in zip(old, (keys, kinds, places)))
+        first = self.origin is None
+        if first:
+            out[k0 != keys] = 0
+        # names in order may share a beginning, up to where a run of one symbol ends in either
+        seam = np.flatnonzero(((k0 == keys) | (not first)) & ((k0 != keys) | (d0 != kinds)))
+        if len(seam):
+            a, b = p0[seam], places[seam]
+            out[seam] = self.words.common(*((a, b) if first else (self.origin[a], self.origin[b])))
+        if self.before is None:
+            out[0] = 0
+        self.before = keys[-1], kinds[-1], places[-1]
+        return out
+
+    def process(self, keys, kinds, places, own) -> np.ndarray | None:
+        """Pass these suffixes, put in what they induce, and return their lengths."""
+        if not len(keys):
+            return np.zeros(0, np.int64)
+        lengths = None if self.words is None else self._lengths(keys, kinds, places, own)
+        at = np.flatnonzero(places > 0)
+        pred = places[at] - 1
+        chosen = self.member[pred] == self.down
+        at, pred = at[chosen], pred[chosen]
+        symbols = np.asarray(self.text[pred]).astype(np.int64)
+        order = np.argsort(symbols.astype(np.uint16) if self.size <= 1 << 16 else symbols, kind="stable")
+        if self.down:
+            # larger symbols first, equal ones still in order of arrival
+            order = order[np.argsort(-symbols[order], kind="stable")]
+        at, pred, symbols = at[order], pred[order], symbols[order]
+        found = np.zeros(len(at), np.int16)
+        if lengths is not None and len(at):
+            fresh = np.append(True, symbols[1:] != symbols[:-1])
+            again = np.flatnonzero(~fresh)
+            least = np.zeros(len(at), np.int64)
+            least[again] = _least_between(lengths, at[again - 1] + 1, at[again])
+            first = np.flatnonzero(fresh)
+            since = self.last[symbols[first]]
+            least[first] = np.minimum(np.minimum.accumulate(lengths)[at[first]], np.searchsorted(self.latest, since, side="right"))
+            found = np.minimum(least + (1 if self.weight is None else self.weight[symbols]), self.words.cap).astype(np.int16)
+            ends = np.append(first[1:], len(at)) - 1
+            self.last[symbols[first]] = self.passed + at[ends]
+        if lengths is not None:
+            seen = np.full(self.words.cap + 1, -1, np.int64)
+            seen[lengths] = self.passed + np.arange(len(lengths))
+            self.latest = np.maximum(self.latest, np.maximum.accumulate(seen))
+        self.passed += len(keys)
+        self.queue.push(-symbols if self.down else symbols, pred, found)
+        return lengths
+
+    def run(self, given_keys, given_places, given_lengths):
+        """Batches (kinds, places, own lengths, lengths) of all suffixes in order; kind 0 is induced, 1 given."""
+        key, top, at = (1 - self.size, 1, 0) if self.down else (0, self.size, 0)
+        width = 64
+        while key < top:
+            end = min(top, key + width)
+            keys, places, own = self.queue.below(end)
+            stop_at = at + int(given_keys[at:].searchsorted(end))
+            if end - key > 1:
+                all_keys = np.concatenate([keys, given_keys[at:stop_at]])
+                kinds = np.repeat(np.array([0, 1], np.int8), [len(keys), stop_at - at])
+                order = np.argsort(2 * all_keys + kinds, kind="stable")
+                all_places = np.concatenate([keys * 0 + places, given_places[at:stop_at]])[order]
+                pred = all_places[all_places > 0] - 1
+                pred = pred[self.member[pred] == self.down]
+                stop = end
+                if len(pred):
+                    symbols = np.asarray(self.text[pred]).astype(np.int64)
+                    stop = min(end, int(-symbols.max() if self.down else symbols.min()))
+                if stop > key + 1 or stop == end:
+                    all_keys = all_keys[order]
+                    n = int(np.searchsorted(all_keys, stop))
+                    all_own = np.concatenate([own, given_lengths[at:stop_at]])[order][:n]
+                    self.queue.drop(stop)
+                    at += int(np.searchsorted(given_keys[at:stop_at], stop))
+                    lengths = self.process(all_keys[:n], kinds[order][:n], all_places[:n], all_own)
+                    yield kinds[order][:n], all_places[:n], all_own, lengths
+                    width = min(2 * width, 1 << 16) if stop == end else max(2, (stop - key) * 2)
+                    key = stop
+                    continue
+                width = 2
+            while True:
+                keys, places, own = self.queue.below(key + 1)
+                if not len(keys):
+                    break
+                self.queue.drop(key + 1)
+                kinds = np.zeros(len(keys), np.int8)
+                yield kinds, places, own, self.process(keys, kinds, places, own)
+            stop_at = at + int(np.searchsorted(given_keys[at:], key + 1))
+            if stop_at > at:
+                kinds = np.ones(stop_at - at, np.int8)
+                places, own = np.asarray(given_places[at:stop_at]), np.asarray(given_lengths[at:stop_at])
+                yield kinds, places, own, self.process(np.asarray(given_keys[at:stop_at]), kinds, places, own)
+                at = stop_at
+            key += 1
 
 
 def _rising(text: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the next one (the last counts as such)."""
     n = len(text)
-    step = np.sign(np.diff(text))
+    step = np.sign(np.diff(text.astype(np.int64)))
     at = np.where(step != 0, np.arange(n - 1), n)
     at = np.minimum.accumulate(at[::-1])[::-1]
     out = np.ones(n, bool)
@@ -45,127 +273,44 @@ def _rising(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def _put(queue: np.ndarray, ends: np.ndarray, symbols: np.ndarray, values: np.ndarray, down: bool) -> None:
-    """Append each value to its symbol's stretch, upwards or downwards, in the order given."""
-    n = len(symbols)
-    if not n:
-        return
-    # numbers of 16 bits are sorted by radix
-    order = np.argsort(symbols.astype(np.uint16) if len(ends) <= 1 << 16 else symbols, kind="stable")
-    symbols, values = symbols[order], values[order]
-    first = np.flatnonzero(symbols[1:] != symbols[:-1]) + 1
-    own = symbols[np.concatenate([[0], first])]
-    edges = np.concatenate([[0], first, [n]])
-    counts = edges[1:] - edges[:-1]
-    if down:
-        place = np.repeat(ends[own] + edges[:-1], counts) - np.arange(n)
-        ends[own] -= counts
-    else:
-        place = np.repeat(ends[own] - edges[:-1], counts) + np.arange(n)
-        ends[own] += counts
-    queue[place] = values
-
-
-def induce(text: np.ndarray, size: int, seeds: np.ndarray, rising: np.ndarray, folder: str | None = None) -> np.ndarray:
-    """All suffixes in order, from the sorted `seeds` (turning points)."""
+def induce(text, size: int, seeds, seed_lengths, rising, disk: Disk, words: Words | None = None, **more) -> tuple[np.ndarray, np.ndarray]:
+    """All suffixes in order with their common prefixes, from the sorted `seeds` (turning points)."""
     n = len(text)
-    counts = np.bincount(text, minlength=size)
-    starts = np.cumsum(counts) - counts
-    queue = _array(n + len(seeds), folder)
-    queue[n:] = seeds
-    seed_counts = np.bincount(text[seeds], minlength=size)
-    seed_starts = n + np.cumsum(seed_counts) - seed_counts
-    # upwards: falling suffixes go to the front of their symbol's stretch
-    heads = starts.copy()
-
-    falling = ~rising
-
-    def fall(taken: np.ndarray) -> None:
-        before = taken[taken > 0] - 1
-        before = before[falling[before]]
-        _put(queue, heads, text[before], before, False)
-
-    c, width = 0, 64
-    while c < size:
-        end = min(size, c + width)
-        lengths = np.empty(2 * (end - c), np.int64)
-        lengths[0::2], lengths[1::2] = heads[c:end] - starts[c:end], seed_counts[c:end]
-        if end - c > 1:
-            places = np.empty_like(lengths)
-            places[0::2], places[1::2] = starts[c:end], seed_starts[c:end]
-            taken = queue[_ranges(places, lengths)]
-            before = taken[taken > 0] - 1
-            before = before[falling[before]]
-            symbols = text[before]
-            stop = min(end, int(symbols.min())) if len(before) else end
-            if stop == end:
-                _put(queue, heads, symbols, before, False)
-            elif stop > c + 1:
-                fall(taken[: int(lengths[: 2 * (stop - c)].sum())])
-            if stop > c + 1:
-                width = min(2 * width, 1 << 16) if stop == end else max(2, (stop - c) * 2)
-                c = stop
-                continue
-            width = 2
-        done = starts[c]
-        while done < heads[c]:
-            upto = heads[c]
-            fall(queue[done:upto])
-            done = upto
-        fall(queue[seed_starts[c] : seed_starts[c] + seed_counts[c]])
-        c += 1
-    # downwards: rising suffixes go to the back
-    tails = starts + counts - 1
-    queue[tails[text[n - 1]]] = n - 1
-    tails[text[n - 1]] -= 1
-
-    def rise(taken: np.ndarray) -> None:
-        before = taken[taken > 0] - 1
-        before = before[rising[before]]
-        _put(queue, tails, text[before], before, True)
-
-    last = starts + counts
-    c, width = size, 64
-    while c > 0:
-        end = max(0, c - width)
-        if c - end > 1:
-            down = slice(c - 1, end - 1 if end else None, -1)
-            # from the back: what has arrived, then the falling ones
-            lengths = np.empty(2 * (c - end), np.int64)
-            lengths[0::2], lengths[1::2] = last[down] - 1 - tails[down], heads[down] - starts[down]
-            places = np.empty_like(lengths)
-            places[0::2], places[1::2] = 1 - last[down], 1 - heads[down]
-            taken = queue[-_ranges(places, lengths)]
-            before = taken[taken > 0] - 1
-            before = before[rising[before]]
-            symbols = text[before]
-            stop = max(end, int(symbols.max()) + 1) if len(before) else end
-            if stop == end:
-                _put(queue, tails, symbols, before, True)
-            elif stop < c - 1:
-                rise(taken[: int(lengths[: 2 * (c - stop)].sum())])
-            if stop < c - 1:
-                width = min(2 * width, 1 << 16) if stop == end else max(2, (c - stop) * 2)
-                c = stop
-                continue
-            width = 2
-        c -= 1
-        done = last[c] - 1
-        while done > tails[c]:
-            upto = tails[c]
-            rise(queue[upto + 1 : done + 1][::-1])
-            done = upto
-        rise(queue[starts[c] : heads[c]][::-1])
-    return queue[:n]
-
-
-def _names(text: np.ndarray, turns: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Names of the pieces from one turning point to the next (inclusive), by their place in the order."""
+    up = Scan(text, size, False, rising, disk, words, **more)
+    # upwards: falling suffixes are induced, those under a symbol before the seeds
+    up.member = rising
+    count = int(n - rising.sum())
+    falling, own_lengths, at = disk.empty(count, np.int64), disk.empty(count, np.int16), 0
+    for kinds, places, own, _ in up.run(np.asarray(text[seeds]).astype(np.int64), seeds, seed_lengths):
+        mine = kinds == 0
+        m = int(mine.sum())
+        falling[at : at + m], own_lengths[at : at + m] = places[mine], own[mine]
+        at += m
+    # downwards: rising suffixes are induced, those under a symbol behind the falling ones
+    down = Scan(text, size, True, rising, disk, words, **more)
+    down.queue.push(np.zeros(1, np.int64), np.array([n - 1]), np.zeros(1, np.int16))
+    if words is not None:
+        down.last[0] = 0
+    given = falling[::-1]
+    lengths_down = disk.full(count, 0, np.int16)
+    lengths_down[1:] = own_lengths[::-1][:-1]
+    order, common, at = disk.empty(n, np.int64), disk.full(n, 0, np.int16), n
+    for _, places, _, lengths in down.run(-np.asarray(text[given]).astype(np.int64), given, lengths_down):
+        m = len(places)
+        order[at - m : at] = places[::-1]
+        if lengths is not None:
+            # lengths are between a suffix and the larger one before it in the scan
+            upto = min(at + 1, n)
+            common[at - m + 1 : upto] = lengths[::-1][: upto - (at - m + 1)]
+        at -= m
+    return order, common
+
+
+def _names(text, turns, order) -> np.ndarray:
+    """True for each piece (from one turning point to the next, inclusive) in `order` that differs from the one before."""
     ends = np.append(turns[1:], len(text) - 1)
-    at = np.empty(len(text), np.int64)
-    at[turns] = np.arange(len(turns))
-    which = at[order]
-    a, n = turns[which], ends[which] - turns[which] + 1
+    at = np.searchsorted(turns, order)
+    a, n = turns[at], ends[at] - turns[at] + 1
     same = n[1:] == n[:-1]
     rows = np.flatnonzero(same)
     k = 0
@@ -175,46 +320,43 @@ def _names(text: np.ndarray, turns: np.ndarray, order: np.ndarray) -> np.ndarray
         same[rows[differ]] = False
         rows = rows[~differ]
         k += 1
-    names = np.empty(len(turns), np.int64)
-    names[which] = np.cumsum(np.append(0, ~same))
-    return names
+    return np.append(True, ~same)
 
 
-def suffix_array(text: np.ndarray, size: int, folder: str | None = None) -> np.ndarray:
-    """Places of the suffixes of `text` (numbers below `size`, a lone 0 at the end) in order."""
+def _sorted(text, size: int, disk: Disk, words: Words, weight=None, origin=None) -> tuple[np.ndarray, np.ndarray]:
     if len(text) < 3:
-        return np.argsort(text, kind="stable") if len(text) else np.zeros(0, np.int64)
-    text = text.astype(np.int64)
+        order = np.argsort(text, kind="stable").astype(np.int64)
+        return order, np.zeros(len(text), np.int16)
+    more = dict(weight=weight, origin=origin)
     rising = _rising(text)
     turns = np.flatnonzero(rising[1:] & ~rising[:-1]) + 1
     if len(turns) == 1:
-        return induce(text, size, turns, rising, folder)
+        return induce(text, size, turns, np.zeros(1, np.int16), rising, disk, words, **more)
+    # pieces in order: an induction without lengths from the turning points by first symbol
     seeds = turns[np.argsort(text[turns], kind="stable")]
-    order = induce(text, size, seeds, rising, folder)
-    order = order[np.isin(order, turns, assume_unique=True)] if len(turns) < 64 else order[_mark(len(text), turns)[order]]
-    names = _names(text, turns, order)
-    top = int(names.max()) + 1
-    if top < len(turns):
-        seeds = turns[suffix_array(names, top, folder)]
-    else:
-        seeds = order
-    return induce(text, size, seeds, rising, folder)
-
-
-def _mark(n: int, places: np.ndarray) -> np.ndarray:
-    out = np.zeros(n, bool)
-    out[places] = True
-    return out
+    order, _ = induce(text, size, seeds, np.zeros(len(seeds), np.int16), rising, disk)
+    turning = np.zeros(len(text), bool)
+    turning[turns] = True
+    order = order[turning[order]]
+    new = _names(text, turns, order)
+    place = turns if origin is None else origin[turns]
+    count = int(new.sum())
+    if count == len(turns):
+        own = order if origin is None else origin[order]
+        apart = np.zeros(count, np.int16)
+        apart[1:] = words.common(own[:-1], own[1:])
+        return induce(text, size, order, apart, rising, disk, words, **more)
+    names = disk.empty(len(turns), np.int64)
+    names[np.searchsorted(turns, order)] = np.cumsum(new) - 1
+    steps = np.append(np.diff(place), 1)
+    long = np.zeros(count, np.int64)
+    long[names] = np.minimum(steps, words.cap)
+    ranks, common = _sorted(names, count, disk, words, long, place)
+    return induce(text, size, turns[ranks], common, rising, disk, words, **more)
 
 
-def shares(data: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
-    """For each neighbouring pair of `order`, whether the bytes of `data` from both on agree for `least` bytes."""
-    words = np.ndarray((max(0, len(data) - 7),), "<u8", data, strides=(1,))
-    a, b = order[:-1], order[1:]
-    rows = np.flatnonzero((a + least <= len(data)) & (b + least <= len(data)))
-    offsets = [least - 8, *range(0, least - 8, 8)] if least >= 8 else []
-    for k in offsets:
-        rows = rows[words[a[rows] + k] == words[b[rows] + k]]
-    for k in range(0 if least < 8 else least, least):
-        rows = rows[data[a[rows] + k] == data[b[rows] + k]]
-    return _mark(len(a), rows)
+def suffix_array(text: np.ndarray, size: int, cap: int = 400, folder: str | None = None, room: int = ROOM) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the suffixes of `text` (numbers below `size` and 2^16, a lone 0 at the end) in order, and what each has in common with the one before it, up to `cap`."""
+    if not len(text):
+        return np.zeros(0, np.int64), np.zeros(0, np.int16)
+    return _sorted(text, size, Disk(folder, room), Words(text, cap))

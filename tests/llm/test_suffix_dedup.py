@@ -32,17 +32,49 @@ def digest(raw, gone):
     return len(raw), sum(gone), runs, hashlib.sha256(kept).hexdigest()
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.integers(1, 4), max_size=80) | st.lists(st.integers(1, 200), max_size=60), st.integers(1, 3))
-def test_suffix_array(numbers, times):
-    text = np.array(numbers * times + [0])
-    assert suffix_array.suffix_array(text, 201).tolist() == sorted(range(len(text)), key=lambda i: text[i:].tolist())
-
-
-def test_arrays_on_disk(monkeypatch, tmp_path):
-    monkeypatch.setattr(suffix_array, "IN_MEMORY", 10)
-    text = np.append(np.random.default_rng(1).integers(1, 5, 500), 0)
-    assert suffix_array.suffix_array(text, 5, str(tmp_path)).tolist() == sorted(range(len(text)), key=lambda i: text[i:].tolist())
+def brute_suffixes(numbers, cap):
+    order = sorted(range(len(numbers)), key=lambda i: numbers[i:])
+    common = [0]
+    for a, b in zip(order, order[1:]):
+        k = 0
+        while k < cap and numbers[a + k] == numbers[b + k]:
+            k += 1
+        common.append(k)
+    return order, common
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(1, 4), max_size=80) | st.lists(st.integers(1, 200), max_size=60), st.integers(1, 3), st.sampled_from([3, 10, 400]))
+def test_suffix_array(numbers, times, cap):
+    numbers = numbers * times + [0]
+    order, common = suffix_array.suffix_array(np.array(numbers), 201, cap)
+    assert (order.tolist(), common.tolist()) == brute_suffixes(numbers, cap)
+
+
+@pytest.mark.parametrize("room", [1, 7, 100])
+def test_a_text_far_larger_than_its_room(tmp_path, room):
+    """Arrays and runs of over `room` numbers are files; the text has 1,500."""
+    r = random.Random(room)
+    numbers = [r.randint(1, 3) for _ in range(500)] * 3 + [0]
+    order, common = suffix_array.suffix_array(np.array(numbers), 4, 400, str(tmp_path), room)
+    assert (order.tolist(), common.tolist()) == brute_suffixes(numbers, 400)
+
+
+def test_queue_in_order_of_arrival(tmp_path):
+    r, queue, plain = random.Random(3), suffix_array.Queue(suffix_array.Disk(str(tmp_path), 20)), []
+    low = arrived = 0
+    for _ in range(400):
+        keys = np.sort(np.array([r.randrange(low, low + 30) for _ in range(r.randrange(8))], np.int64))
+        places = np.arange(arrived, arrived + len(keys))
+        arrived += len(keys)
+        queue.push(keys, places, places.astype(np.int16))
+        plain += zip(keys.tolist(), places.tolist())
+        plain.sort(key=lambda x: x[0])
+        upto = low + r.randrange(3)
+        got = queue.below(upto)
+        assert list(zip(got[0].tolist(), got[1].tolist())) == [x for x in plain if x[0] < upto]
+        queue.drop(upto)
+        plain, low = [x for x in plain if x[0] >= upto], upto
 
 
 def test_every_string_is_in_one_stretch():
