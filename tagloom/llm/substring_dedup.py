@@ -3,14 +3,14 @@
 Each string of LEAST bytes has an anchor: the place in it whose ANCHOR bytes have the smallest hash, the first of
 equals. Equal strings have equal anchors at one offset, so they can only meet where anchors are equal. The strings
 of a text that share an anchor are one stretch of it, and a stretch that occurs twice is repeated as a whole. Of
-stretches of equal anchors that differ, each string has half of its other bytes, or more, on one side of the anchor:
-so two can only share a string if they share that half beside the anchor, on the left or on the right. Those that do
-are dealt out by anchor, side and half, and each shard's stretches are one text whose suffix array (external induced
-sorting, which carries common prefixes) brings equal strings together. A string counts as repeated if another
-stretch has it at the same offset from the anchor; as each string belongs to one stretch only, no place is compared
-with itself. A half that more different stretches share than fill a block is not sorted in one task: all strings of
-its stretches are dealt out and counted by a 128-bit hash of their bytes. As every string of a stretch has its
-anchor, the repeated ones cover one run, from the first to the end of the last.
+stretches of equal anchors that differ, two can only share a string if they share the anchor with a whole number of
+steps on its left and a whole number on its right, of a step less than a string has: PARTS such surroundings, which
+are met by hash. Stretches that meet are dealt out by anchor, and each shard's stretches are one text whose suffix
+array (external induced sorting, which carries common prefixes) brings equal strings together. A string counts as
+repeated if another stretch has it at the same offset from the anchor; as each string belongs to one stretch only,
+no place is compared with itself. An anchor of more such stretches than fill a block is not sorted in one task: all
+strings of its stretches are dealt out and counted by a 128-bit hash of their bytes. As every string of a stretch
+has its anchor, the repeated ones cover one run, from the first to the end of the last.
 
 Defined results: null counts as empty; bytes are those of UTF-8; texts of fewer than LEAST bytes have nothing to
 remove; a row that occurs twice is two texts, so all its strings repeat if it is long enough; columns besides id
@@ -35,6 +35,12 @@ from .suffix_array import suffix_array
 LEAST = 400
 ANCHOR = 48
 
+#: Surroundings of an anchor; a string has this many steps beside its anchor, and surroundings have one less.
+PARTS = 6
+
+#: Most tasks that stretches are dealt out to; a task sorts its blocks one after another.
+MOST_TASKS = 1 << 15
+
 #: Bytes of stretches sorted at once, about; an anchor whose stretches may be more has its strings counted by hash.
 BLOCK_BYTES = 4 << 20
 
@@ -165,12 +171,16 @@ def _anchors(keyed: DataFrame, least: int, anchor: int) -> DataFrame:
 
 
 def _bodies(wanted: DataFrame, least: int, anchor: int) -> DataFrame:
-    """The stretches asked for (text, want: array of start, size, offset, h, body, lone): their bytes, and hashes of what is left and right of the anchor."""
-    schema = T.StructType().add("h", "long").add("offset", "integer").add("body", "long").add("lone", "boolean").add("data", "binary").add("left", "long").add("right", "long")
-    half = (least - anchor + 1) // 2
+    """The stretches asked for (text, want: array of start, size, offset, h, body, lone): their bytes, and hashes of the anchor's surroundings."""
+    schema = T.StructType().add("h", "long").add("offset", "integer").add("body", "long").add("lone", "boolean").add("data", "binary").add("around", T.ArrayType(T.StructType().add("side", "integer").add("beside", "long")))
+    # a string has a bytes on the left and b on the right, a + b = least - anchor, so a // step + b // step >= PARTS - 1
+    step = (least - anchor + 1) // PARTS
+    size = anchor + (PARTS - 1) * step
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.list_(pa.struct([("side", pa.int32()), ("beside", pa.int64())])))
 
-    def beside(data: bytes, at: int) -> int | None:
-        return xxhash.xxh3_64_intdigest(data[at : at + half]) - (1 << 63) if 0 <= at <= len(data) - half else None
+    def around(data: bytes, at: int) -> list[dict]:
+        starts = [(i, at - i * step) for i in range(PARTS)]
+        return [{"side": i, "beside": xxhash.xxh3_64_intdigest(data[a : a + size]) - (1 << 63)} for i, a in starts if 0 <= a <= len(data) - size]
 
     def run(parts):
         for part in parts:
@@ -180,9 +190,9 @@ def _bodies(wanted: DataFrame, least: int, anchor: int) -> DataFrame:
                     raw = text.encode()
                     for w in want:
                         data = raw[w["start"] : w["start"] + w["size"]]
-                        rows.append((w["h"], w["offset"], w["body"], w["lone"], data, beside(data, w["offset"] - half), beside(data, w["offset"] + anchor)))
-                columns = list(zip(*rows)) or [()] * 7
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64()))], names=schema.names)
+                        rows.append((w["h"], w["offset"], w["body"], w["lone"], data, around(data, w["offset"])))
+                columns = list(zip(*rows)) or [()] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=schema.names)
 
     return wanted.select("text", "want").mapInArrow(run, schema)
 
@@ -192,7 +202,7 @@ _ARROW_SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 
 def _sorted_spans(bodies: DataFrame, least: int, block_bytes: int) -> DataFrame:
-    """Repeated parts of the stretches that occur once: (h, body, spans). Rows (h, side, beside, ...) of one group come together."""
+    """Repeated parts of the stretches that occur once: (h, body, spans). Rows of one h come together."""
     schema = T.StructType().add("h", "long").add("body", "long").add("spans", _SPANS)
 
     def run(parts):
@@ -200,25 +210,25 @@ def _sorted_spans(bodies: DataFrame, least: int, block_bytes: int) -> DataFrame:
         held = 0
 
         def done():
-            new = [a[:3] != b[:3] for a, b in zip(block, block[1:])]
+            new = [a[0] != b[0] for a, b in zip(block, block[1:])]
             with tempfile.TemporaryDirectory() as folder:
-                found = repeated_windows([r[6] for r in block], [r[3] for r in block], np.cumsum([0, *new]), least, folder)
-            rows = [(r[0], r[4], s) for r, s in zip(block, found) if r[5] and s]
+                found = repeated_windows([r[4] for r in block], [r[1] for r in block], np.cumsum([0, *new]), least, folder)
+            rows = [(r[0], r[2], s) for r, s in zip(block, found) if r[3] and s]
             columns = list(zip(*rows)) or [()] * 3
             spans = [[{"a": a, "b": b} for a, b in s] for s in columns[2]]
             return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(spans, _ARROW_SPANS)], names=schema.names)
 
         for part in parts:
             for row in zip(*(c.to_pylist() for c in part.columns)):
-                if held >= block_bytes and row[:3] != block[-1][:3]:
+                if held >= block_bytes and row[0] != block[-1][0]:
                     yield done()
                     block, held = [], 0
                 block.append(row)
-                held += len(row[6])
+                held += len(row[4])
         if block:
             yield done()
 
-    return bodies.select("h", "side", "beside", "offset", "body", "lone", "data").mapInArrow(run, schema)
+    return bodies.select("h", "offset", "body", "lone", "data").mapInArrow(run, schema)
 
 
 def _counted_spans(bodies: DataFrame, least: int) -> DataFrame:
@@ -262,16 +272,17 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     asked = shared.where("differ").select("at.k1", "at.k2", F.struct("at.start", "at.size", "offset", "h", "body", (F.col("n") == 1).alias("lone")).alias("w"))
     wanted = keyed.join(asked.groupBy("k1", "k2").agg(F.collect_list("w").alias("want")), ["k1", "k2"])
     bodies = cut(_bodies(wanted, least, anchor))
-    sides = F.array(*[F.struct(F.lit(i).alias("side"), F.col(c).alias("beside")) for i, c in enumerate(("left", "right"))])
-    members = bodies.select("h", "offset", "body", "lone", F.explode(sides).alias("s")).select("h", "offset", "body", "lone", "s.side", "s.beside").where("beside IS NOT NULL")
-    key = ["h", "side", "beside"]
-    hot = F.col("kinds") > block_bytes // (2 * least)  # a stretch has fewer than 2 * least bytes
-    met = members.groupBy(*key).agg(F.count(F.lit(1)).alias("kinds"), F.count_if("lone").alias("alone")).where("kinds > 1 AND alone > 0").select(*key, hot.alias("hot"))
-    found = cut(members.drop("lone").join(met, key))
+    stretch, key = ["h", "offset", "body"], ["h", "side", "beside"]
+    members = bodies.select(*stretch, "lone", F.octet_length("data").alias("size"), F.explode("around").alias("s")).select(*stretch, "lone", "size", "s.side", "s.beside")
+    met = members.groupBy(*key).agg(F.count(F.lit(1)).alias("kinds"), F.count_if("lone").alias("alone")).where("kinds > 1 AND alone > 0")
+    asked = cut(members.join(met.select(*key), key).groupBy(*stretch).agg(F.first("size").alias("size")))
+    hot = asked.groupBy("h").agg((F.count(F.lit(1)) > block_bytes // (2 * least)).alias("hot"))  # a stretch has fewer than 2 * least bytes
+    shards = cut(asked.join(hot, "h"))
     spans = whole
-    if found.where("hot").head(1):
-        spans = spans.unionByName(_counted_spans(bodies.join(found.where("hot").select("h", "offset", "body").distinct(), ["h", "offset", "body"]), least))
-    dealt = bodies.join(found.where("NOT hot"), ["h", "offset", "body"]).repartition(*key).sortWithinPartitions(*key, "body")
+    if shards.where("hot").head(1):
+        spans = spans.unionByName(_counted_spans(bodies.join(shards.where("hot").select(*stretch), stretch), least))
+    tasks = min(MOST_TASKS, 1 + (shards.where("NOT hot").agg(F.sum("size")).head()[0] or 0) // block_bytes)
+    dealt = bodies.drop("around").join(shards.where("NOT hot").select(*stretch), stretch).repartition(tasks, "h").sortWithinPartitions("h", "body")
     marks = cut(spans.unionByName(_sorted_spans(dealt, least, block_bytes)))
 
     covered = anchors.join(marks, ["h", "body"]).select("k1", "k2", F.transform("spans", lambda s: F.struct((s["a"] + F.col("start")).alias("a"), (s["b"] + F.col("start")).alias("b"))).alias("spans"))

@@ -9,8 +9,9 @@ Each tuple carries the length, in symbols of the first text and up to `cap`, tha
 one before it under its symbol. That is a symbol's weight more than the least such length among the suffixes that
 the scan has passed between the two inductions; as lengths have cap + 1 values, the last place of each value is all
 that is kept of what has been passed. A name weighs what its piece has of the first text, so the recursion counts
-in that as well; the text itself is compared only where a scan goes on from one name to another, and where a
-symbol's induced suffixes meet the given ones.
+in that as well; the text itself is compared only where a scan goes on from one name to another, where a symbol's
+induced suffixes meet the given ones, and where the recursion ends: at names that are all different, or at no more
+than `base` names, which are few enough to be sorted in memory.
 
 Arrays of more than `room` numbers are files too; numpy reads the parts of them that a scan is at.
 """
@@ -24,6 +25,9 @@ import numpy as np
 #: Numbers that an array or the queue may hold in memory; beyond it they are files.
 ROOM = 4 << 20
 
+#: Names at which the recursion ends.
+BASE = 1 << 16
+
 #: Runs of the queue; more are merged, neighbours with neighbours.
 RUNS = 16
 
@@ -31,14 +35,14 @@ RUNS = 16
 class Disk:
     """Arrays in memory while they are small, and in files of a folder beyond `room` numbers."""
 
-    def __init__(self, folder: str | None, room: int = ROOM):
-        self.folder, self.room = folder, room
+    def __init__(self, folder: str | None, room: int = ROOM, base: int = BASE):
+        self.folder, self.room, self.base = folder, room, min(base, room)
 
     def empty(self, n: int, kind) -> np.ndarray:
         if self.folder is None or n <= self.room:
             return np.empty(n, kind)
         with tempfile.NamedTemporaryFile(dir=self.folder) as f:
-            return np.memmap(f, kind, "w+", shape=(n,))
+            return np.asarray(np.memmap(f, kind, "w+", shape=(n,)))
 
     def full(self, n: int, fill: int, kind) -> np.ndarray:
         out = self.empty(n, kind)
@@ -110,25 +114,38 @@ class Words:
 
     def __init__(self, text: np.ndarray, cap: int):
         self.cap, self.n = cap, len(text)
-        self.text = np.concatenate([text.astype(np.uint16), np.zeros(8, np.uint16)])
-        self.four = np.ndarray((self.n + 4,), "<u8", self.text, strides=(2,))
+        # a comparison may read past the end, by less than cap and what it reads at once
+        self.text = np.zeros(self.n + cap + 4 * self.WIDEST + 4, np.uint16)
+        self.text[: self.n] = text
+        self.four = np.ndarray((len(self.text) - 4,), "<u8", self.text, strides=(2,))
+
+    #: Words of four symbols that are read at once, and how many in all places together.
+    WIDEST, ROWS = 32, 1 << 17
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """What the suffixes at a and b have in common, up to `cap`."""
-        out = np.zeros(len(a), np.int64)
-        rows = np.arange(len(a))
-        k = 0
-        while len(rows) and k < self.cap:
-            x, y = self.four[a[rows] + k], self.four[b[rows] + k]
-            differ = x ^ y
-            same = differ == 0
-            left = rows[~same]
-            d = differ[~same]
-            out[left] = k + (d & np.uint64(0xFFFF) == 0) * (1 + (d & np.uint64(0xFFFFFFFF) == 0) * (1 + (d & np.uint64(0xFFFFFFFFFFFF) == 0)).astype(np.int64))
-            rows = rows[same]
-            k += 4
+        out = np.full(len(a), self.cap, np.int64)
+        rows = None
+        k, wide = 0, 1
+        while len(a) and k < self.cap:
+            if wide == 1:
+                d = self.four[a + k] ^ self.four[b + k]
+                first, same = k, d == 0
+            else:
+                steps = np.arange(k, k + 4 * wide, 4)
+                d = self.four[a[:, None] + steps] ^ self.four[b[:, None] + steps]
+                at = (d != 0).argmax(axis=1)
+                d = d[np.arange(len(a)), at]
+                first, same = k + 4 * at, d == 0
+            ended = np.flatnonzero(~same)
+            d = d[ended]
+            past = (d & np.uint64(0xFFFF) == 0) * (1 + (d & np.uint64(0xFFFFFFFF) == 0) * (1 + (d & np.uint64(0xFFFFFFFFFFFF) == 0)).astype(np.int64))
+            out[ended if rows is None else rows[ended]] = past + (first if wide == 1 else first[ended])
+            k += 4 * wide
+            left = np.flatnonzero(same)
+            a, b, rows = a[left], b[left], left if rows is None else rows[left]
             # a suffix that ends has ended in a symbol that no other has
-        out[rows] = self.cap
+            wide = max(1, min(2 * wide, self.WIDEST, self.ROWS // max(1, len(a))))
         return np.minimum(out, self.cap)
 
 
@@ -189,24 +206,24 @@ class Scan:
         pred = places[at] - 1
         chosen = self.member[pred] == self.down
         at, pred = at[chosen], pred[chosen]
-        symbols = np.asarray(self.text[pred]).astype(np.int64)
-        order = np.argsort(symbols.astype(np.uint16) if self.size <= 1 << 16 else symbols, kind="stable")
-        if self.down:
-            # larger symbols first, equal ones still in order of arrival
-            order = order[np.argsort(-symbols[order], kind="stable")]
+        symbols = self.text[pred].astype(np.int64)
+        # larger symbols first on the way down, equal ones in order of arrival
+        rank = self.size - 1 - symbols if self.down else symbols
+        order = np.argsort(rank.astype(np.uint16) if self.size <= 1 << 16 else rank, kind="stable")
         at, pred, symbols = at[order], pred[order], symbols[order]
         found = np.zeros(len(at), np.int16)
         if lengths is not None and len(at):
-            fresh = np.append(True, symbols[1:] != symbols[:-1])
+            fresh = np.ones(len(at), bool)
+            np.not_equal(symbols[1:], symbols[:-1], out=fresh[1:])
             again = np.flatnonzero(~fresh)
             least = np.zeros(len(at), np.int64)
             least[again] = _least_between(lengths, at[again - 1] + 1, at[again])
             first = np.flatnonzero(fresh)
             since = self.last[symbols[first]]
-            least[first] = np.minimum(np.minimum.accumulate(lengths)[at[first]], np.searchsorted(self.latest, since, side="right"))
+            least[first] = np.minimum(np.minimum.accumulate(lengths)[at[first]], self.latest.searchsorted(since, side="right"))
             found = np.minimum(least + (1 if self.weight is None else self.weight[symbols]), self.words.cap).astype(np.int16)
-            ends = np.append(first[1:], len(at)) - 1
-            self.last[symbols[first]] = self.passed + at[ends]
+            # of equal places the last one written stays
+            self.last[symbols] = self.passed + at
         if lengths is not None:
             seen = np.full(self.words.cap + 1, -1, np.int64)
             seen[lengths] = self.passed + np.arange(len(lengths))
@@ -224,24 +241,29 @@ class Scan:
             keys, places, own = self.queue.below(end)
             stop_at = at + int(given_keys[at:].searchsorted(end))
             if end - key > 1:
-                all_keys = np.concatenate([keys, given_keys[at:stop_at]])
-                kinds = np.repeat(np.array([0, 1], np.int8), [len(keys), stop_at - at])
-                order = np.argsort(2 * all_keys + kinds, kind="stable")
-                all_places = np.concatenate([keys * 0 + places, given_places[at:stop_at]])[order]
-                pred = all_places[all_places > 0] - 1
+                # up to the first key that these suffixes put something in under, none of them changes another's place
+                pred = np.concatenate([places, given_places[at:stop_at]])
+                pred = pred[pred > 0] - 1
                 pred = pred[self.member[pred] == self.down]
                 stop = end
                 if len(pred):
-                    symbols = np.asarray(self.text[pred]).astype(np.int64)
+                    symbols = self.text[pred]
                     stop = min(end, int(-symbols.max() if self.down else symbols.min()))
                 if stop > key + 1 or stop == end:
-                    all_keys = all_keys[order]
-                    n = int(np.searchsorted(all_keys, stop))
-                    all_own = np.concatenate([own, given_lengths[at:stop_at]])[order][:n]
+                    m, upto = int(keys.searchsorted(stop)), at + int(given_keys[at:stop_at].searchsorted(stop))
+                    all_keys = np.concatenate([keys[:m], given_keys[at:upto]])
+                    all_places = np.concatenate([places[:m], given_places[at:upto]])
+                    all_own = np.concatenate([own[:m], given_lengths[at:upto]])
+                    kinds = np.zeros(len(all_keys), np.int8)
+                    kinds[m:] = 1
+                    if 0 < m < len(all_keys):
+                        # both are sorted, and of equal keys the induced ones come first
+                        order = np.argsort(all_keys, kind="stable")
+                        all_keys, all_places, all_own, kinds = all_keys[order], all_places[order], all_own[order], kinds[order]
                     self.queue.drop(stop)
-                    at += int(np.searchsorted(given_keys[at:stop_at], stop))
-                    lengths = self.process(all_keys[:n], kinds[order][:n], all_places[:n], all_own)
-                    yield kinds[order][:n], all_places[:n], all_own, lengths
+                    at = upto
+                    lengths = self.process(all_keys, kinds, all_places, all_own)
+                    yield kinds, all_places, all_own, lengths
                     width = min(2 * width, 1 << 16) if stop == end else max(2, (stop - key) * 2)
                     key = stop
                     continue
@@ -323,10 +345,35 @@ def _names(text, turns, order) -> np.ndarray:
     return np.append(True, ~same)
 
 
+def _doubled(text: np.ndarray) -> np.ndarray:
+    """Places of the suffixes of a short text in order, by ranks of 1, 2, 4, ... symbols."""
+    rank, k = np.unique(text, return_inverse=True)[1].astype(np.int64), 1
+    while True:
+        after = np.zeros(len(rank), np.int64)
+        after[:-k] = rank[k:] + 1
+        key = rank * (len(rank) + 1) + after
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        rank[order] = np.append(0, np.cumsum(key[1:] != key[:-1]))
+        if rank[order[-1]] == len(rank) - 1:
+            return order
+        k *= 2
+
+
+def _apart(words: Words, places: np.ndarray) -> np.ndarray:
+    """What each of these suffixes of the first text has in common with the one before it."""
+    out = np.zeros(len(places), np.int16)
+    out[1:] = words.common(places[:-1], places[1:])
+    return out
+
+
 def _sorted(text, size: int, disk: Disk, words: Words, weight=None, origin=None) -> tuple[np.ndarray, np.ndarray]:
     if len(text) < 3:
         order = np.argsort(text, kind="stable").astype(np.int64)
         return order, np.zeros(len(text), np.int16)
+    if origin is not None and len(text) <= disk.base:
+        order = _doubled(text)
+        return order, _apart(words, origin[order])
     more = dict(weight=weight, origin=origin)
     rising = _rising(text)
     turns = np.flatnonzero(rising[1:] & ~rising[:-1]) + 1
@@ -343,9 +390,7 @@ def _sorted(text, size: int, disk: Disk, words: Words, weight=None, origin=None)
     count = int(new.sum())
     if count == len(turns):
         own = order if origin is None else origin[order]
-        apart = np.zeros(count, np.int16)
-        apart[1:] = words.common(own[:-1], own[1:])
-        return induce(text, size, order, apart, rising, disk, words, **more)
+        return induce(text, size, order, _apart(words, own), rising, disk, words, **more)
     names = disk.empty(len(turns), np.int64)
     names[np.searchsorted(turns, order)] = np.cumsum(new) - 1
     steps = np.append(np.diff(place), 1)
@@ -355,8 +400,8 @@ def _sorted(text, size: int, disk: Disk, words: Words, weight=None, origin=None)
     return induce(text, size, turns[ranks], common, rising, disk, words, **more)
 
 
-def suffix_array(text: np.ndarray, size: int, cap: int = 400, folder: str | None = None, room: int = ROOM) -> tuple[np.ndarray, np.ndarray]:
+def suffix_array(text: np.ndarray, size: int, cap: int = 400, folder: str | None = None, room: int = ROOM, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
     """Places of the suffixes of `text` (numbers below `size` and 2^16, a lone 0 at the end) in order, and what each has in common with the one before it, up to `cap`."""
     if not len(text):
         return np.zeros(0, np.int64), np.zeros(0, np.int16)
-    return _sorted(text, size, Disk(folder, room), Words(text, cap))
+    return _sorted(text, size, Disk(folder, room, base), Words(text, cap))

@@ -44,10 +44,10 @@ def brute_suffixes(numbers, cap):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.integers(1, 4), max_size=80) | st.lists(st.integers(1, 200), max_size=60), st.integers(1, 3), st.sampled_from([3, 10, 400]))
-def test_suffix_array(numbers, times, cap):
+@given(st.lists(st.integers(1, 4), max_size=80) | st.lists(st.integers(1, 200), max_size=60), st.integers(1, 3), st.sampled_from([3, 10, 400]), st.sampled_from([0, 8, suffix_array.BASE]))
+def test_suffix_array(numbers, times, cap, base):
     numbers = numbers * times + [0]
-    order, common = suffix_array.suffix_array(np.array(numbers), 201, cap)
+    order, common = suffix_array.suffix_array(np.array(numbers), 201, cap, base=base)
     assert (order.tolist(), common.tolist()) == brute_suffixes(numbers, cap)
 
 
