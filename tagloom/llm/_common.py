@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -54,6 +55,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(place)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Have Spark delete shuffles and checkpoints that nothing refers to: it does once the driver's garbage is collected, which may be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def quoted(name: str):
     """The column of that name, whatever characters it has."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import Shelf, batches, cut, quoted
+from ._common import Shelf, batches, cut, quoted, stored, sweep
 from .suffix_array import suffix_array
 
 LEAST = 400
@@ -252,26 +252,19 @@ def _counted_spans(bodies: DataFrame, least: int) -> DataFrame:
     return found.select("h", "body", F.array(F.struct("a", "b")).alias("spans"))
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, anchor: int = ANCHOR, block_bytes: int = BLOCK_BYTES, carry: list[str] | None = None) -> DataFrame:
-    """`df` with n_bytes, spans (start, end of each removed run, in bytes) and kept (binary, the bytes that stay)."""
-    if not 8 <= anchor <= least:
-        raise ValueError("an anchor has 8 bytes at least, and no more than a string")
-    shelf = Shelf(df.columns if carry is None else carry, ("n_bytes", "spans", "kept"))
-    carry = shelf.keys
-    text = quoted(text_col).cast("string")
-    k1, k2 = F.xxhash64(quoted(id_col), text), F.hash(text, quoted(id_col))
-    keyed = df.select(k1.alias("k1"), k2.alias("k2"), text.alias("text")).where(F.octet_length("text") >= least)
-    anchors = _anchors(keyed, least, anchor)
-
+def _marks(keyed: DataFrame, anchors: DataFrame, least: int, anchor: int, block_bytes: int) -> DataFrame:
+    """Repeated parts of the stretches (h, body, spans), by all of `anchors` and the texts they are from."""
     # stretches by anchor and bytes; sums precede the shuffle, so that one that all texts have is no burden
     kinds = anchors.groupBy("h", "offset", "body").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "start", "size")).alias("at"))
     groups = kinds.groupBy("h").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("n") == 1).alias("lone")).where("total > 1")
     shared = cut(kinds.join(groups, "h").select("h", "offset", "body", "n", "at", ((F.col("kinds") > 1) & (F.col("lone") > 0)).alias("differ")))
+    sweep(keyed.sparkSession)
 
     whole = shared.where("n > 1").select("h", "body", F.array(F.struct(F.lit(0).alias("a"), F.col("at.size").alias("b"))).alias("spans"))
     asked = shared.where("differ").select("at.k1", "at.k2", F.struct("at.start", "at.size", "offset", "h", "body", (F.col("n") == 1).alias("lone")).alias("w"))
     wanted = keyed.join(asked.groupBy("k1", "k2").agg(F.collect_list("w").alias("want")), ["k1", "k2"])
     bodies = cut(_bodies(wanted, least, anchor))
+    sweep(keyed.sparkSession)
     stretch, key = ["h", "offset", "body"], ["h", "side", "beside"]
     members = bodies.select(*stretch, "lone", F.octet_length("data").alias("size"), F.explode("around").alias("s")).select(*stretch, "lone", "size", "s.side", "s.beside")
     met = members.groupBy(*key).agg(F.count(F.lit(1)).alias("kinds"), F.count_if("lone").alias("alone")).where("kinds > 1 AND alone > 0")
@@ -283,8 +276,23 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         spans = spans.unionByName(_counted_spans(bodies.join(shards.where("hot").select(*stretch), stretch), least))
     tasks = min(MOST_TASKS, 1 + (shards.where("NOT hot").agg(F.sum("size")).head()[0] or 0) // block_bytes)
     dealt = bodies.drop("around").join(shards.where("NOT hot").select(*stretch), stretch).repartition(tasks, "h").sortWithinPartitions("h", "body")
-    marks = cut(spans.unionByName(_sorted_spans(dealt, least, block_bytes)))
+    return cut(spans.unionByName(_sorted_spans(dealt, least, block_bytes)))
+
+
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, anchor: int = ANCHOR, block_bytes: int = BLOCK_BYTES, carry: list[str] | None = None) -> DataFrame:
+    """`df` with n_bytes, spans (start, end of each removed run, in bytes) and kept (binary, the bytes that stay)."""
+    if not 8 <= anchor <= least:
+        raise ValueError("an anchor has 8 bytes at least, and no more than a string")
+    shelf = Shelf(df.columns if carry is None else carry, ("n_bytes", "spans", "kept"))
+    carry = shelf.keys
+    text = quoted(text_col).cast("string")
+    k1, k2 = F.xxhash64(quoted(id_col), text), F.hash(text, quoted(id_col))
+    keyed = df.select(k1.alias("k1"), k2.alias("k2"), text.alias("text")).where(F.octet_length("text") >= least)
+    # read three times; as columns they take a quarter of what the texts do
+    anchors = stored(_anchors(keyed, least, anchor))
 
+    marks = _marks(keyed, anchors, least, anchor, block_bytes)
+    sweep(df.sparkSession)
     covered = anchors.join(marks, ["h", "body"]).select("k1", "k2", F.transform("spans", lambda s: F.struct((s["a"] + F.col("start")).alias("a"), (s["b"] + F.col("start")).alias("b"))).alias("spans"))
     by_text = covered.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     rows = df.select(*shelf.put, text.alias("text"), k1.alias("k1"), k2.alias("k2"))

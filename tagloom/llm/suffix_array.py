@@ -25,8 +25,8 @@ import numpy as np
 #: Numbers that an array or the queue may hold in memory; beyond it they are files.
 ROOM = 4 << 20
 
-#: Names at which the recursion ends.
-BASE = 1 << 16
+#: Names at which the recursion ends; induction would take them in many small steps.
+BASE = 1 << 21
 
 #: Runs of the queue; more are merged, neighbours with neighbours.
 RUNS = 16
@@ -346,17 +346,26 @@ def _names(text, turns, order) -> np.ndarray:
 
 
 def _doubled(text: np.ndarray) -> np.ndarray:
-    """Places of the suffixes of a short text in order, by ranks of 1, 2, 4, ... symbols."""
-    rank, k = np.unique(text, return_inverse=True)[1].astype(np.int64), 1
+    """Places of the suffixes of a short text in order, by ranks of 1, 2, 4, ... symbols; what is alone stays."""
+    n, k = len(text), 1
+    order = np.argsort(text, kind="stable")
+    start = np.append(True, text[order[1:]] != text[order[:-1]])
+    rank = np.empty(n, np.int64)  # of equals the first one's place in order
+    rank[order] = np.maximum.accumulate(np.where(start, np.arange(n), 0))
     while True:
-        after = np.zeros(len(rank), np.int64)
-        after[:-k] = rank[k:] + 1
-        key = rank * (len(rank) + 1) + after
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        rank[order] = np.append(0, np.cumsum(key[1:] != key[:-1]))
-        if rank[order[-1]] == len(rank) - 1:
+        tied = np.flatnonzero(~(start & np.append(start[1:], True)))
+        if not len(tied):
             return order
+        places = order[tied]
+        after = places + k
+        key = rank[places] * (n + 1)
+        inside = after < n
+        key[inside] += rank[after[inside]] + 1
+        by = np.argsort(key, kind="stable")
+        places, key = places[by], key[by]
+        order[tied] = places
+        start[tied] = fresh = np.append(True, key[1:] != key[:-1])
+        rank[places] = tied[np.maximum.accumulate(np.where(fresh, np.arange(len(tied)), 0))]
         k *= 2
 
 

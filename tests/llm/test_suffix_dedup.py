@@ -60,6 +60,30 @@ def test_a_text_far_larger_than_its_room(tmp_path, room):
     assert (order.tolist(), common.tolist()) == brute_suffixes(numbers, 400)
 
 
+def test_names_that_fit_memory_are_not_induced(monkeypatch):
+    """Induction over so few names takes many small steps."""
+    r = np.random.default_rng(3)
+    part = r.integers(1, 200, 250_000)
+    text = np.concatenate([part, part[1000:200_000], [0]])
+    sizes = []
+    induce = suffix_array.induce
+    monkeypatch.setattr(suffix_array, "induce", lambda text, *a, **more: sizes.append(len(text)) or induce(text, *a, **more))
+    order, common = suffix_array.suffix_array(text, 201, 400)
+    assert set(sizes) == {len(text)}
+    assert (np.sort(order) == np.arange(len(text))).all()
+    for a, b, n in zip(order[:-1:97].tolist(), order[1::97].tolist(), common[1::97].tolist()):
+        x, y = text[a : a + 401].tolist(), text[b : b + 401].tolist()
+        assert x[:n] == y[:n] and (n == 400 or x[n] < y[n])
+
+
+def test_anchors_are_made_once(spark):
+    texts = ["".join(random.Random(i // 2).choices("abcdef ", k=600)) + str(i) for i in range(6)]
+    out = remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    # what is left to do at the end is to cut the texts
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert {r.doc_id: [(s.start, s.end) for s in r.spans] for r in out.collect()} == {i: [(0, 600)] for i in range(6)}
+
+
 def test_queue_in_order_of_arrival(tmp_path):
     r, queue, plain = random.Random(3), suffix_array.Queue(suffix_array.Disk(str(tmp_path), 20)), []
     low = arrived = 0
