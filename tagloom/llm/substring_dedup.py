@@ -41,7 +41,7 @@ PARTS = 6
 #: Most tasks that stretches are dealt out to; a task sorts its blocks one after another.
 MOST_TASKS = 1 << 15
 
-#: Bytes of stretches sorted at once, about; an anchor whose stretches may be more has its strings counted by hash.
+#: Most bytes of stretches sorted at once; an anchor whose stretches may be more has its strings counted by hash.
 BLOCK_BYTES = 4 << 20
 
 _BASE = 0x9E3779B97F4A7C15
@@ -110,10 +110,12 @@ def repeated_windows(bodies: list[bytes], offsets: list[int], groups: np.ndarray
     text = np.append(data.astype(np.int16) + 2, np.int16(0))
     text[start + size] = 1  # between stretches
     order, common = (x[1:] for x in suffix_array(text, 258, least, folder))
-    owner = np.repeat(np.arange(len(bodies)), size + 1)
-    place = np.arange(len(data)) - np.repeat(start, size + 1)
+    kind = order.dtype
+    owner = np.repeat(np.arange(len(bodies), dtype=kind), size + 1)
+    place = np.arange(len(data), dtype=kind)
+    place -= np.repeat(start.astype(kind), size + 1)
     # places from which a whole string fits; what two neighbours share is the least along the way
-    fits = np.flatnonzero((place <= np.repeat(size - least, size + 1))[order])
+    fits = np.flatnonzero((place <= np.repeat((size - least).astype(kind), size + 1))[order])
     same = np.minimum.reduceat(common, fits[:-1] + 1)[: len(fits) - 1] >= least if len(fits) > 1 else np.zeros(0, bool)
     if len(fits) > 1:
         # the last stretch of reduceat goes on to the end
@@ -207,9 +209,9 @@ def _sorted_spans(bodies: DataFrame, least: int, block_bytes: int) -> DataFrame:
 
     def run(parts):
         block: list[tuple] = []
-        held = 0
+        held = first = 0  # bytes of the block, and where its last anchor's stretches begin
 
-        def done():
+        def done(block):
             new = [a[0] != b[0] for a, b in zip(block, block[1:])]
             with tempfile.TemporaryDirectory() as folder:
                 found = repeated_windows([r[4] for r in block], [r[1] for r in block], np.cumsum([0, *new]), least, folder)
@@ -220,13 +222,17 @@ def _sorted_spans(bodies: DataFrame, least: int, block_bytes: int) -> DataFrame:
 
         for part in parts:
             for row in zip(*(c.to_pylist() for c in part.columns)):
-                if held >= block_bytes and row[0] != block[-1][0]:
-                    yield done()
-                    block, held = [], 0
+                if block and row[0] != block[-1][0]:
+                    first = len(block)
                 block.append(row)
                 held += len(row[4])
+                if held > block_bytes and first:
+                    # those of an anchor stay together, and alone they are no more than a block
+                    yield done(block[:first])
+                    block, first = block[first:], 0
+                    held = sum(len(r[4]) for r in block)
         if block:
-            yield done()
+            yield done(block)
 
     return bodies.select("h", "offset", "body", "lone", "data").mapInArrow(run, schema)
 

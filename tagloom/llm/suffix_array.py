@@ -13,7 +13,8 @@ in that as well; the text itself is compared only where a scan goes on from one
 induced suffixes meet the given ones, and where the recursion ends: at names that are all different, or at no more
 than `base` names, which are few enough to be sorted in memory.
 
-Arrays of more than `room` numbers are files too; numpy reads the parts of them that a scan is at.
+Arrays of more than `room` numbers are files too; numpy reads the parts of them that a scan is at. Places and symbols
+take four bytes each where the text's length allows it, and a scan passes at most CHUNK suffixes at a time.
 """
 
 from __future__ import annotations
@@ -28,10 +29,23 @@ ROOM = 4 << 20
 #: Names at which the recursion ends; induction would take them in many small steps.
 BASE = 1 << 21
 
+#: Suffixes that a scan passes, or a comparison takes, at once.
+CHUNK = 1 << 17
+
 #: Runs of the queue; more are merged, neighbours with neighbours.
 RUNS = 16
 
 
+def _kind(n: int) -> type:
+    """The type of places in a text of n symbols, and of its symbols."""
+    return np.int32 if n < (1 << 31) - (1 << 16) else np.int64
+
+
+def _find(x: np.ndarray, key: int) -> int:
+    """searchsorted by a key of the array's own type: for another one numpy would copy the array."""
+    return int(x.searchsorted(x.dtype.type(key)))
+
+
 class Disk:
     """Arrays in memory while they are small, and in files of a folder beyond `room` numbers."""
 
@@ -87,11 +101,11 @@ class Queue:
         for run in self.runs:
             keys, places, lengths, at, _ = run
             # most runs have nothing yet
-            run[4] = end = at if keys[at] >= key else at + int(keys[at:].searchsorted(key))
+            run[4] = end = at if keys[at] >= key else at + _find(keys[at:], key)
             if end > at:
                 parts.append((keys[at:end], places[at:end], lengths[at:end]))
         if not parts:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int16)
+            return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int16)
         if len(parts) == 1:
             return tuple(np.asarray(x) for x in parts[0])
         keys, places, lengths = (np.concatenate(x) for x in zip(*parts))
@@ -103,7 +117,7 @@ class Queue:
         gone = False
         for run in self.runs:
             if run[4] > run[3]:
-                run[3] += int(run[0][run[3] : run[4]].searchsorted(key))
+                run[3] += _find(run[0][run[3] : run[4]], key)
                 gone = gone or run[3] == len(run[0])
         if gone:
             self.runs = [r for r in self.runs if r[3] < len(r[0])]
@@ -172,7 +186,7 @@ class Scan:
 
     def __init__(self, text, size: int, down: bool, member, disk: Disk, words: Words | None, weight=None, origin=None):
         self.text, self.size, self.down, self.member, self.disk, self.words = text, size, down, member, disk, words
-        self.weight, self.origin = weight, origin
+        self.weight, self.origin, self.kind = weight, origin, _kind(max(len(text), size))
         self.queue, self.passed = Queue(disk), 0
         if words is not None:
             self.last = disk.full(size, -1, np.int64)  # when a symbol was last put in
@@ -181,7 +195,7 @@ class Scan:
 
     def _lengths(self, keys, kinds, places, own) -> np.ndarray:
         """What each suffix has in common with the one before it in the scan."""
-        out = own.astype(np.int64)
+        out = np.array(own)
         old = self.before or (keys[0], kinds[0], places[0])
         k0, d0, p0 = (np.append(x, y[:-1]) for x, y in zip(old, (keys, kinds, places)))
         first = self.origin is None
@@ -200,13 +214,13 @@ class Scan:
     def process(self, keys, kinds, places, own) -> np.ndarray | None:
         """Pass these suffixes, put in what they induce, and return their lengths."""
         if not len(keys):
-            return np.zeros(0, np.int64)
+            return np.zeros(0, np.int16)
         lengths = None if self.words is None else self._lengths(keys, kinds, places, own)
         at = np.flatnonzero(places > 0)
         pred = places[at] - 1
         chosen = self.member[pred] == self.down
         at, pred = at[chosen], pred[chosen]
-        symbols = self.text[pred].astype(np.int64)
+        symbols = self.text[pred].astype(self.kind)
         # larger symbols first on the way down, equal ones in order of arrival
         rank = self.size - 1 - symbols if self.down else symbols
         order = np.argsort(rank.astype(np.uint16) if self.size <= 1 << 16 else rank, kind="stable")
@@ -216,7 +230,7 @@ class Scan:
             fresh = np.ones(len(at), bool)
             np.not_equal(symbols[1:], symbols[:-1], out=fresh[1:])
             again = np.flatnonzero(~fresh)
-            least = np.zeros(len(at), np.int64)
+            least = np.zeros(len(at), np.int32)
             least[again] = _least_between(lengths, at[again - 1] + 1, at[again])
             first = np.flatnonzero(fresh)
             since = self.last[symbols[first]]
@@ -232,6 +246,12 @@ class Scan:
         self.queue.push(-symbols if self.down else symbols, pred, found)
         return lengths
 
+    def _pass(self, keys, kinds, places, own):
+        """process() by chunks; what a chunk puts in under a later key, or the same, comes before what the next one does."""
+        for a in range(0, len(keys), CHUNK):
+            part = slice(a, a + CHUNK)
+            yield kinds[part], places[part], own[part], self.process(keys[part], kinds[part], places[part], own[part])
+
     def run(self, given_keys, given_places, given_lengths):
         """Batches (kinds, places, own lengths, lengths) of all suffixes in order; kind 0 is induced, 1 given."""
         key, top, at = (1 - self.size, 1, 0) if self.down else (0, self.size, 0)
@@ -239,7 +259,7 @@ class Scan:
         while key < top:
             end = min(top, key + width)
             keys, places, own = self.queue.below(end)
-            stop_at = at + int(given_keys[at:].searchsorted(end))
+            stop_at = at + _find(given_keys[at:], end)
             if end - key > 1:
                 # up to the first key that these suffixes put something in under, none of them changes another's place
                 pred = np.concatenate([places, given_places[at:stop_at]])
@@ -250,7 +270,7 @@ class Scan:
                     symbols = self.text[pred]
                     stop = min(end, int(-symbols.max() if self.down else symbols.min()))
                 if stop > key + 1 or stop == end:
-                    m, upto = int(keys.searchsorted(stop)), at + int(given_keys[at:stop_at].searchsorted(stop))
+                    m, upto = _find(keys, stop), at + _find(given_keys[at:stop_at], stop)
                     all_keys = np.concatenate([keys[:m], given_keys[at:upto]])
                     all_places = np.concatenate([places[:m], given_places[at:upto]])
                     all_own = np.concatenate([own[:m], given_lengths[at:upto]])
@@ -262,8 +282,7 @@ class Scan:
                         all_keys, all_places, all_own, kinds = all_keys[order], all_places[order], all_own[order], kinds[order]
                     self.queue.drop(stop)
                     at = upto
-                    lengths = self.process(all_keys, kinds, all_places, all_own)
-                    yield kinds, all_places, all_own, lengths
+                    yield from self._pass(all_keys, kinds, all_places, all_own)
                     width = min(2 * width, 1 << 16) if stop == end else max(2, (stop - key) * 2)
                     key = stop
                     continue
@@ -273,51 +292,52 @@ class Scan:
                 if not len(keys):
                     break
                 self.queue.drop(key + 1)
-                kinds = np.zeros(len(keys), np.int8)
-                yield kinds, places, own, self.process(keys, kinds, places, own)
-            stop_at = at + int(np.searchsorted(given_keys[at:], key + 1))
+                yield from self._pass(keys, np.zeros(len(keys), np.int8), places, own)
+            stop_at = at + _find(given_keys[at:], key + 1)
             if stop_at > at:
                 kinds = np.ones(stop_at - at, np.int8)
                 places, own = np.asarray(given_places[at:stop_at]), np.asarray(given_lengths[at:stop_at])
-                yield kinds, places, own, self.process(np.asarray(given_keys[at:stop_at]), kinds, places, own)
+                yield from self._pass(np.asarray(given_keys[at:stop_at]), kinds, places, own)
                 at = stop_at
             key += 1
 
 
 def _rising(text: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the next one (the last counts as such)."""
-    n = len(text)
-    step = np.sign(np.diff(text.astype(np.int64)))
-    at = np.where(step != 0, np.arange(n - 1), n)
-    at = np.minimum.accumulate(at[::-1])[::-1]
-    out = np.ones(n, bool)
-    out[:-1] = np.append(step, 1)[np.minimum(at, n - 1)] > 0
+    out = np.ones(len(text), bool)
+    np.greater(text[1:], text[:-1], out=out[:-1])
+    # of equal symbols, as the last of them
+    tied = np.flatnonzero(text[1:] == text[:-1])
+    if len(tied):
+        lasts = np.append(np.flatnonzero(np.diff(tied) != 1), len(tied) - 1)
+        out[tied] = np.repeat(out[tied[lasts] + 1], np.diff(lasts, prepend=-1))
     return out
 
 
 def induce(text, size: int, seeds, seed_lengths, rising, disk: Disk, words: Words | None = None, **more) -> tuple[np.ndarray, np.ndarray]:
     """All suffixes in order with their common prefixes, from the sorted `seeds` (turning points)."""
-    n = len(text)
+    n, kind = len(text), _kind(max(len(text), size))
     up = Scan(text, size, False, rising, disk, words, **more)
     # upwards: falling suffixes are induced, those under a symbol before the seeds
     up.member = rising
     count = int(n - rising.sum())
-    falling, own_lengths, at = disk.empty(count, np.int64), disk.empty(count, np.int16), 0
-    for kinds, places, own, _ in up.run(np.asarray(text[seeds]).astype(np.int64), seeds, seed_lengths):
+    falling, own_lengths, at = disk.empty(count, kind), disk.empty(count, np.int16), 0
+    for kinds, places, own, _ in up.run(np.asarray(text[seeds]).astype(kind), seeds, seed_lengths):
         mine = kinds == 0
         m = int(mine.sum())
         falling[at : at + m], own_lengths[at : at + m] = places[mine], own[mine]
         at += m
+    del up
     # downwards: rising suffixes are induced, those under a symbol behind the falling ones
     down = Scan(text, size, True, rising, disk, words, **more)
-    down.queue.push(np.zeros(1, np.int64), np.array([n - 1]), np.zeros(1, np.int16))
+    down.queue.push(np.zeros(1, kind), np.array([n - 1], kind), np.zeros(1, np.int16))
     if words is not None:
         down.last[0] = 0
     given = falling[::-1]
     lengths_down = disk.full(count, 0, np.int16)
     lengths_down[1:] = own_lengths[::-1][:-1]
-    order, common, at = disk.empty(n, np.int64), disk.full(n, 0, np.int16), n
-    for _, places, _, lengths in down.run(-np.asarray(text[given]).astype(np.int64), given, lengths_down):
+    order, common, at = disk.empty(n, kind), disk.full(n, 0, np.int16), n
+    for _, places, _, lengths in down.run(-np.asarray(text[given]).astype(kind), given, lengths_down):
         m = len(places)
         order[at - m : at] = places[::-1]
         if lengths is not None:
@@ -330,7 +350,7 @@ def induce(text, size: int, seeds, seed_lengths, rising, disk: Disk, words: Word
 
 def _names(text, turns, order) -> np.ndarray:
     """True for each piece (from one turning point to the next, inclusive) in `order` that differs from the one before."""
-    ends = np.append(turns[1:], len(text) - 1)
+    ends = np.append(turns[1:], turns.dtype.type(len(text) - 1))
     at = np.searchsorted(turns, order)
     a, n = turns[at], ends[at] - turns[at] + 1
     same = n[1:] == n[:-1]
@@ -348,17 +368,18 @@ def _names(text, turns, order) -> np.ndarray:
 def _doubled(text: np.ndarray) -> np.ndarray:
     """Places of the suffixes of a short text in order, by ranks of 1, 2, 4, ... symbols; what is alone stays."""
     n, k = len(text), 1
-    order = np.argsort(text, kind="stable")
+    kind = _kind(n)
+    order = np.argsort(text, kind="stable").astype(kind)
     start = np.append(True, text[order[1:]] != text[order[:-1]])
-    rank = np.empty(n, np.int64)  # of equals the first one's place in order
-    rank[order] = np.maximum.accumulate(np.where(start, np.arange(n), 0))
+    rank = np.empty(n, kind)  # of equals the first one's place in order
+    rank[order] = np.maximum.accumulate(np.where(start, np.arange(n, dtype=kind), 0))
     while True:
         tied = np.flatnonzero(~(start & np.append(start[1:], True)))
         if not len(tied):
             return order
         places = order[tied]
         after = places + k
-        key = rank[places] * (n + 1)
+        key = rank[places].astype(np.int64) * (n + 1)
         inside = after < n
         key[inside] += rank[after[inside]] + 1
         by = np.argsort(key, kind="stable")
@@ -372,20 +393,23 @@ def _doubled(text: np.ndarray) -> np.ndarray:
 def _apart(words: Words, places: np.ndarray) -> np.ndarray:
     """What each of these suffixes of the first text has in common with the one before it."""
     out = np.zeros(len(places), np.int16)
-    out[1:] = words.common(places[:-1], places[1:])
+    for a in range(1, len(places), CHUNK):
+        both = places[a - 1 : a + CHUNK]
+        out[a : a + CHUNK] = words.common(both[:-1], both[1:])
     return out
 
 
 def _sorted(text, size: int, disk: Disk, words: Words, weight=None, origin=None) -> tuple[np.ndarray, np.ndarray]:
     if len(text) < 3:
-        order = np.argsort(text, kind="stable").astype(np.int64)
+        order = np.argsort(text, kind="stable").astype(_kind(len(text)))
         return order, np.zeros(len(text), np.int16)
     if origin is not None and len(text) <= disk.base:
         order = _doubled(text)
         return order, _apart(words, origin[order])
     more = dict(weight=weight, origin=origin)
     rising = _rising(text)
-    turns = np.flatnonzero(rising[1:] & ~rising[:-1]) + 1
+    kind = _kind(len(text))
+    turns = (np.flatnonzero(rising[1:] & ~rising[:-1]) + 1).astype(kind)
     if len(turns) == 1:
         return induce(text, size, turns, np.zeros(1, np.int16), rising, disk, words, **more)
     # pieces in order: an induction without lengths from the turning points by first symbol
@@ -400,13 +424,15 @@ def _sorted(text, size: int, disk: Disk, words: Words, weight=None, origin=None)
     if count == len(turns):
         own = order if origin is None else origin[order]
         return induce(text, size, order, _apart(words, own), rising, disk, words, **more)
-    names = disk.empty(len(turns), np.int64)
+    names = disk.empty(len(turns), kind)
     names[np.searchsorted(turns, order)] = np.cumsum(new) - 1
-    steps = np.append(np.diff(place), 1)
-    long = np.zeros(count, np.int64)
-    long[names] = np.minimum(steps, words.cap)
+    long = np.zeros(count, np.int16)
+    long[names] = np.append(np.minimum(np.diff(place), words.cap), 1)
+    del seeds, order, turning, new
     ranks, common = _sorted(names, count, disk, words, long, place)
-    return induce(text, size, turns[ranks], common, rising, disk, words, **more)
+    seeds = turns[ranks]
+    del names, place, long, turns, ranks
+    return induce(text, size, seeds, common, rising, disk, words, **more)
 
 
 def suffix_array(text: np.ndarray, size: int, cap: int = 400, folder: str | None = None, room: int = ROOM, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:

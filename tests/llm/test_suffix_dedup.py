@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -60,6 +61,17 @@ def test_a_text_far_larger_than_its_room(tmp_path, room):
     assert (order.tolist(), common.tolist()) == brute_suffixes(numbers, 400)
 
 
+@pytest.mark.parametrize("chunk", [1, 5, 64])
+def test_a_scan_by_chunks(monkeypatch, chunk):
+    monkeypatch.setattr(suffix_array, "CHUNK", chunk)
+    r = random.Random(chunk)
+    for n, top in [(300, 2), (400, 9), (60, 1)]:
+        numbers = [r.randint(1, top) for _ in range(n)] * 2 + [0]
+        for base in (0, suffix_array.BASE):
+            order, common = suffix_array.suffix_array(np.array(numbers), 201, 50, base=base)
+            assert (order.tolist(), common.tolist()) == brute_suffixes(numbers, 50)
+
+
 def test_names_that_fit_memory_are_not_induced(monkeypatch):
     """Induction over so few names takes many small steps."""
     r = np.random.default_rng(3)
@@ -76,6 +88,38 @@ def test_names_that_fit_memory_are_not_induced(monkeypatch):
         assert x[:n] == y[:n] and (n == 400 or x[n] < y[n])
 
 
+def test_memory_of_a_sorted_block():
+    """Bytes at most in use for each byte of stretches: a task of op6 sorts 4 MB at a time beside another task."""
+    r = random.Random(11)
+    words = ["".join(r.choices("etaoinshrdlu", k=r.randint(2, 9))) for _ in range(3000)]
+    passages = [" ".join(r.choices(words, k=70)).encode()[:450] for _ in range(300)]
+    bodies = [p[:400] + " ".join(r.choices(words, k=20)).encode()[:100] for p in passages for _ in range(4)]
+    tracemalloc.start()
+    found = substring_dedup.repeated_windows(bodies, [0] * len(bodies), np.repeat(np.arange(300), 4))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(f and f[0][0] == 0 and f[0][1] >= 400 for f in found)
+    assert most < 50 * sum(map(len, bodies))
+
+
+def test_a_block_is_no_larger_than_its_bound(spark, monkeypatch, tmp_path):
+    """An anchor's stretches are not added to a block that has no room for them."""
+    seen = str(tmp_path / "seen")
+
+    def noted(bodies, offsets, groups, least, folder):
+        with open(seen, "a") as f:
+            f.write(f"{sum(map(len, bodies))} {len(set(groups))}\n")
+        return [[(0, least)] for _ in bodies]
+
+    monkeypatch.setattr(substring_dedup, "repeated_windows", noted)
+    rows = [(h, 0, 100 * h + i, True, bytes([65 + i]) * 50) for h, n in enumerate([11, 12, 3, 4, 5, 12, 1]) for i in range(n)]
+    df = spark.createDataFrame(rows, "h long, offset int, body long, lone boolean, data binary").coalesce(1)
+    out = substring_dedup._sorted_spans(df, 32, 640).collect()
+    assert sorted((r.h, r.body) for r in out) == sorted((r[0], r[2]) for r in rows)
+    blocks = [tuple(map(int, x.split())) for x in open(seen)]
+    assert blocks == [(550, 1), (600, 1), (600, 3), (600, 1), (50, 1)]
+
+
 def test_anchors_are_made_once(spark):
     texts = ["".join(random.Random(i // 2).choices("abcdef ", k=600)) + str(i) for i in range(6)]
     out = remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
