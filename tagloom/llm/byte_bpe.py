@@ -15,6 +15,7 @@ hold every single byte, or there would be texts without ids.
 from __future__ import annotations
 
 import base64
+import re
 from array import array
 from heapq import heapify
 from heapq import heappop as pop
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 
 from ._common import kept, map_texts
 
-#: Pre-tokens whose ids a worker remembers unless told otherwise; more are forgotten and computed again.
+#: Pre-tokens whose ids a worker remembers unless told otherwise; beyond it all are forgotten, and computed again, before the next batch.
 REMEMBERED = 250_000
 
 #: A rank file may have this many bytes at most, as it is sent to every executor.
@@ -96,6 +97,45 @@ class PerfectHash:
         return self.values[slot] if self.keys[slot] == key else -1
 
 
+#: What a pattern may consist of for `re` to find the same; sets hold characters and categories only.
+_PLAIN = re.compile(r"(?:\[\^?(?:\\p\{[LN]\}|\\s|[A-Za-z0-9 '])+\]|\\p\{[LN]\}|\\[sS]|[A-Za-z0-9 '|+*?)]|\((?:\?[:!=]|(?!\?)))*")
+
+
+def _members(category: str) -> str:
+    """The characters below 2^16 that `regex` has in a category, as ranges of a set."""
+    out = []
+    for part in (range(0xD800), range(0xE000, 1 << 16)):
+        out += [f"{re.escape(m[0][0])}-{re.escape(m[0][-1])}" for m in regex.finditer(f"{category}+", "".join(map(chr, part)))]
+    return "".join(out)
+
+
+def finder(pattern: str):
+    """findall of `regex` for a pattern; texts whose characters are below 2^16 are left to `re`, which takes half the time, if it can do the pattern."""
+    slow = regex.compile(pattern).findall
+    if not _PLAIN.fullmatch(pattern):
+        return slow
+    sets = {c: _members(c) for c in (r"\p{L}", r"\p{N}", r"\s")}
+
+    def plain(m) -> str:
+        inside = re.sub(r"\\p\{.\}|\\s", lambda c: sets[c[0]], m[0])
+        return inside if m[0][0] == "[" else f"[^{sets[m[0].lower()]}]" if m[0] == r"\S" else f"[{inside}]"
+
+    fast = re.compile(re.sub(r"\[[^]]*\]|\\p\{.\}|\\[sS]", plain, pattern)).findall
+    return lambda text: fast(text) if text.isascii() or len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text) else slow(text)
+
+
+class _Pieces(dict):
+    """Ids by pre-token. One that is not there gets a place for its ids, which whoever asked may hold already."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> bytearray:
+        self.new.append(piece)
+        self[piece] = place = bytearray()
+        return place
+
+
 class Codec:
     """Encodes and decodes by ranks, which must hold every single byte that a text can have."""
 
@@ -109,37 +149,50 @@ class Codec:
         if max(ranks.values()) >= _NONE // WIDEST:
             raise ValueError(f"ranks are below {_NONE // WIDEST}")
         self.pair_ranks = [ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)]
-        self.find = regex.compile(pattern).findall
-        self.pieces: dict[str, bytes] = {}
+        self.find = finder(pattern)
+        self.pieces = _Pieces()
         self.pairs = _PairTable(ranks)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        found = list(map(self.find, texts))
-        new = set().union(*found).difference(self.pieces)
-        if len(self.pieces) + len(new) > self.remembered:
-            self.pieces = {}
-            new = set().union(*found)
-        self._learn(list(new))
+        if len(self.pieces) > self.remembered:
+            self.pieces = _Pieces()
         get = self.pieces.__getitem__
-        return [b"".join(map(get, x)) for x in found]
+        try:
+            found = [list(map(get, self.find(x))) for x in texts]
+            self._learn()
+        except BaseException:
+            self.pieces = _Pieces()  # places without ids are not for later texts
+            raise
+        return list(map(b"".join, found))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, memoryview(ids).cast("I"))) if ids else b""
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self) -> None:
         """Find the ids of new pre-tokens: whole ones by the perfect hash, the rest by merging."""
-        table, pieces, rest = self.table.get, self.pieces, {w: ([], []) for w in (*WIDTHS, 0)}
+        pieces, new = self.pieces, self.pieces.new
+        table, rest = self.table.get, {w: ([], []) for w in (*WIDTHS, 0)}
+
+        def known(names: list[str], ids: list[bytes]) -> None:
+            for piece, x in zip(names, ids):
+                pieces[piece][:] = x
+            pieces.update(zip(names, ids))
+
+        whole: tuple[list, list] = [], []
         for piece, data in zip(new, map(str.encode, new)):
             rank = table(data)
             if rank >= 0:
-                pieces[piece] = rank.to_bytes(4, "little")
+                names, values = whole
+                data = rank.to_bytes(4, "little")
             else:
                 names, values = rest[_WIDTH_OF[len(data)] if len(data) <= WIDEST else 0]
-                names.append(piece)
-                values.append(data)
+            names.append(piece)
+            values.append(data)
+        known(*whole)
         for width, (names, values) in rest.items():
-            pieces.update(zip(names, self.merge_many(values, width) if width else [array("I", self.merge(x)).tobytes() for x in values]))
+            known(names, self.merge_many(values, width) if width else [array("I", self.merge(x)).tobytes() for x in values])
+        pieces.new = []
 
     def merge_many(self, values: list[bytes], width: int) -> list[bytes]:
         """As merge(), for byte strings of at most `width` bytes, all of them a merge at a time."""

@@ -1,9 +1,11 @@
 import base64
 import hashlib
+import random
 
 import numpy as np
 import public_tokenizers as P
 import pytest
+import regex
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -96,3 +98,36 @@ def test_odd_rows(spark, odd, none, library):
     again = byte_bpe.decode_documents(out.drop("decoded"), PATH).collect()
     assert sorted(bytes(r.decoded) for r in again) == sorted((r.text or "").encode() for r in rows)
     assert byte_bpe.encode_documents(none, PATH, P.PATTERN).count() == 0
+
+
+def test_what_re_finds_is_what_regex_finds():
+    slow, find = regex.compile(P.PATTERN).findall, byte_bpe.finder(P.PATTERN)
+    every = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    assert find("".join(every)) == slow("".join(every))
+    for a in range(0, 0x10000, 1 << 11):
+        text = "x ".join(c for c in every[a : a + (1 << 11)] if c < "\uffff")
+        assert find(text) == slow(text)
+    r = random.Random(4)
+    odd = "aé漢ǅ²٣Ⅷ '’stlvrem_-.\u0301\u200b\xa0\u3000\x1c\x1f\x85\n\t\r  \uffff"
+    for more in ("", "🙂𝒳𑁦"):
+        for _ in range(2000):
+            text = "".join(r.choices(odd + more, k=r.randrange(30)))
+            assert find(text) == slow(text)
+    for pattern in (r"(?i)ab|\w+", r"\p{Lu}+|.", r"[\p{L}--a]+", r"a{2}|\s"):
+        assert byte_bpe.finder(pattern)("AB aab 1") == regex.findall(pattern, "AB aab 1")
+
+
+def test_regex_is_for_characters_that_re_is_slow_for(monkeypatch):
+    class Slow:
+        def findall(self, text):
+            raise AssertionError(text)
+
+    monkeypatch.setattr(byte_bpe.regex, "compile", lambda pattern: Slow())
+    codec = byte_bpe.Codec(byte_bpe.read_ranks(PATH), P.PATTERN)
+    assert codec.decode(codec.encode(["Naïve 漢字, it's 1 test"])[0]) == "Naïve 漢字, it's 1 test".encode()
+    with pytest.raises(AssertionError):
+        codec.encode(["new words 🙂"])
+    monkeypatch.undo()
+    # a call that failed leaves no pre-token without its ids
+    again = byte_bpe.Codec(byte_bpe.read_ranks(PATH), P.PATTERN)
+    assert codec.encode(["new words"]) == again.encode(["new words"])
