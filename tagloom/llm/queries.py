@@ -63,11 +63,12 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .substring_dedup import remove_repeats
+    from .substring_dedup import SHORT, remove_repeats
 
-    out = remove_repeats(_table(spark, sf_dir, "documents"), carry=["doc_id"])
+    out = remove_repeats(_table(spark, sf_dir, "documents"), carry=["doc_id"], short=SHORT)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), _sha256("kept").alias("kept_sha256"))
+    shared = F.size("passages").cast("long").alias("n_passages_shared")
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), _sha256("kept").alias("kept_sha256"), shared)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,11 @@ no place is compared with itself. An anchor of more such stretches than fill a b
 strings of its stretches are dealt out and counted by a 128-bit hash of their bytes. As every string of a stretch
 has its anchor, the repeated ones cover one run, from the first to the end of the last.
 
+Shorter passages that other rows have too can be reported besides (`short`); none of their bytes is removed for it.
+A string of `short` bytes has an anchor of GRAM bytes, found as above, and equal strings have equal ones: so anchors
+that another row has as an anchor too, by a 64-bit hash, are in every passage of `short` bytes or more that another
+row has, and no run of them has less than GRAM bytes that another row has.
+
 Defined results: null counts as empty; bytes are those of UTF-8; texts of fewer than LEAST bytes have nothing to
 remove; a row that occurs twice is two texts, so all its strings repeat if it is long enough; columns besides id
 and text are carried along whatever their names, except those named like outputs.
@@ -35,6 +40,10 @@ from .suffix_array import suffix_array
 LEAST = 400
 ANCHOR = 48
 
+#: Bytes of the shortest passage that is reported for certain, and of its anchor; 50 words of prose are seldom fewer bytes.
+SHORT = 256
+GRAM = 96
+
 #: Surroundings of an anchor; a string has this many steps beside its anchor, and surroundings have one less.
 PARTS = 6
 
@@ -275,25 +284,76 @@ def _marks(keyed: DataFrame, anchors: DataFrame, least: int, anchor: int, block_
     members = bodies.select(*stretch, "lone", F.octet_length("data").alias("size"), F.explode("around").alias("s")).select(*stretch, "lone", "size", "s.side", "s.beside")
     met = members.groupBy(*key).agg(F.count(F.lit(1)).alias("kinds"), F.count_if("lone").alias("alone")).where("kinds > 1 AND alone > 0")
     asked = cut(members.join(met.select(*key), key).groupBy(*stretch).agg(F.first("size").alias("size")))
-    hot = asked.groupBy("h").agg((F.count(F.lit(1)) > block_bytes // (2 * least)).alias("hot"))  # a stretch has fewer than 2 * least bytes
-    shards = cut(asked.join(hot, "h"))
+    # a stretch has fewer than 2 * least bytes; each of these anchors has half a block or more, so they are few
+    hot = asked.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block_bytes // (2 * least)).select("h").collect()
     spans = whole
-    if shards.where("hot").head(1):
-        spans = spans.unionByName(_counted_spans(bodies.join(shards.where("hot").select(*stretch), stretch), least))
-    tasks = min(MOST_TASKS, 1 + (shards.where("NOT hot").agg(F.sum("size")).head()[0] or 0) // block_bytes)
-    dealt = bodies.drop("around").join(shards.where("NOT hot").select(*stretch), stretch).repartition(tasks, "h").sortWithinPartitions("h", "body")
+    if hot:
+        hot = F.broadcast(keyed.sparkSession.createDataFrame(hot, "h long"))
+        spans = spans.unionByName(_counted_spans(bodies.join(asked.join(hot, "h").select(*stretch), stretch), least))
+        asked = asked.join(hot, "h", "left_anti")
+    tasks = min(MOST_TASKS, 1 + (asked.agg(F.sum("size")).head()[0] or 0) // block_bytes)
+    dealt = bodies.drop("around").join(asked.select(*stretch), stretch).repartition(tasks, "h").sortWithinPartitions("h", "body")
     return cut(spans.unionByName(_sorted_spans(dealt, least, block_bytes)))
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, anchor: int = ANCHOR, block_bytes: int = BLOCK_BYTES, carry: list[str] | None = None) -> DataFrame:
-    """`df` with n_bytes, spans (start, end of each removed run, in bytes) and kept (binary, the bytes that stay)."""
-    if not 8 <= anchor <= least:
+_GRAMS = T.StructType().add("k1", "long").add("k2", "integer").add("at", "integer").add("h", "long").add("first", "boolean")
+
+
+def _shared(texts: DataFrame, short: int, gram: int) -> DataFrame:
+    """Places of the anchors of strings of `short` bytes that another row has too: (k1, k2, at). Rows are counted, not places."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for lo, hi in batches(part.column(2)):
+                k1, k2 = (part.column(i).slice(lo, hi - lo) for i in (0, 1))
+                sizes, places, hashes, firsts = [], [], [], []
+                for text in part.column(2).slice(lo, hi - lo).to_pylist():
+                    raw = text.encode()
+                    s, _, o, _ = stretches(np.frombuffer(raw, np.uint8), short, gram)
+                    at = np.unique(s + o)
+                    h = np.array([xxhash.xxh3_64_intdigest(raw[i : i + gram]) for i in at.tolist()], np.uint64)
+                    first = np.zeros(len(at), bool)
+                    first[np.unique(h, return_index=True)[1]] = True
+                    for column, values in zip((sizes, places, hashes, firsts), (len(at), at, h, first)):
+                        column.append(values)
+                which = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+                columns = [pa.array(np.concatenate(c).astype(t)) for c, t in ((places, np.int32), (hashes, np.uint64), (firsts, bool))]
+                yield pa.RecordBatch.from_arrays([k1.take(which), k2.take(which), columns[0], columns[1].view(pa.int64()), columns[2]], names=_GRAMS.names)
+
+    grams = stored(texts.mapInArrow(run, _GRAMS))
+    # sums precede the shuffle, and the written table lets Spark split the rows of a frequent anchor
+    repeated = cut(grams.where("first").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))
+    return grams.join(repeated, "h").groupBy("k1", "k2").agg(F.collect_set("at").alias("at"))
+
+
+def remove_repeats(
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    least: int = LEAST,
+    anchor: int = ANCHOR,
+    block_bytes: int = BLOCK_BYTES,
+    carry: list[str] | None = None,
+    short: int | None = None,
+    gram: int = GRAM,
+) -> DataFrame:
+    """`df` with n_bytes, spans (start, end of each removed run, in bytes) and kept (binary, the bytes that stay).
+
+    With `short` there are also passages (start, end in bytes): runs of anchors that other rows have too, which come
+    one after another as the anchors of one passage do.
+    """
+    if not 8 <= anchor <= least or short is not None and not 8 <= gram <= short:
         raise ValueError("an anchor has 8 bytes at least, and no more than a string")
-    shelf = Shelf(df.columns if carry is None else carry, ("n_bytes", "spans", "kept"))
+    outputs = ("n_bytes", "spans", "kept", *(["passages"] if short else []))
+    shelf = Shelf(df.columns if carry is None else carry, outputs)
     carry = shelf.keys
     text = quoted(text_col).cast("string")
     k1, k2 = F.xxhash64(quoted(id_col), text), F.hash(text, quoted(id_col))
-    keyed = df.select(k1.alias("k1"), k2.alias("k2"), text.alias("text")).where(F.octet_length("text") >= least)
+    texts = df.select(k1.alias("k1"), k2.alias("k2"), text.alias("text"))
+    if short:
+        shared = _shared(texts.where(F.octet_length("text") >= short), short, gram)
+        sweep(df.sparkSession)
+    keyed = texts.where(F.octet_length("text") >= least)
     # read three times; as columns they take a quarter of what the texts do
     anchors = stored(_anchors(keyed, least, anchor))
 
@@ -302,8 +362,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     covered = anchors.join(marks, ["h", "body"]).select("k1", "k2", F.transform("spans", lambda s: F.struct((s["a"] + F.col("start")).alias("a"), (s["b"] + F.col("start")).alias("b"))).alias("spans"))
     by_text = covered.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     rows = df.select(*shelf.put, text.alias("text"), k1.alias("k1"), k2.alias("k2"))
-    joined = rows.join(by_text, ["k1", "k2"], "left").select(*carry, "text", "spans")
-    schema = T.StructType([*joined.schema.fields[: len(carry)], *T.StructType().add("n_bytes", "long").add("spans", T.ArrayType(T.StructType().add("start", "integer").add("end", "integer"))).add("kept", "binary")])
+    joined = rows.join(by_text, ["k1", "k2"], "left")
+    joined = (joined.join(shared, ["k1", "k2"], "left") if short else joined).select(*carry, "text", "spans", *(["at"] if short else []))
+    places = T.ArrayType(T.StructType().add("start", "integer").add("end", "integer"))
+    added = T.StructType().add("n_bytes", "long").add("spans", places).add("kept", "binary")
+    schema = T.StructType([*joined.schema.fields[: len(carry)], *(added.add("passages", places) if short else added)])
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(parts):
@@ -317,6 +380,12 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     sizes.append(len(raw))
                     spans.append([{"start": a, "end": b} for a, b in gone])
                     kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])))
-                yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in part.columns[: len(carry)]], pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], names=schema.names)
-
-    return joined.mapInArrow(run, schema).select(*shelf.back, "n_bytes", "spans", "kept")
+                columns = [pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())]
+                if short:
+                    # anchors of neighbouring strings are no further apart than a string has places for one
+                    found = part.column(len(carry) + 2).slice(lo, hi - lo).to_pylist()
+                    runs = [merged([(i, i + short - gram + 1) for i in at or ()]) for at in found]
+                    columns.append(pa.array([[{"start": a, "end": b - short + 2 * gram - 1} for a, b in r] for r in runs], kind))
+                yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in part.columns[: len(carry)]], *columns], names=schema.names)
+
+    return joined.mapInArrow(run, schema).select(*shelf.back, *outputs)
