@@ -91,8 +91,10 @@ def encode_compact(seq) -> Column:
 
 def mask_low_quality(seq, qual, threshold) -> Column:
     """Bases whose quality is under the threshold become N; over the length that both strings have."""
-    pairs = F.slice(F.arrays_zip(chars(seq).alias("b"), chars(qual).alias("q")), F.lit(1), F.least(F.length(_col(seq)), F.length(_col(qual))))
-    return F.array_join(F.transform(pairs, lambda p: F.when(F.ascii(p["q"]) - 33 >= threshold, p["b"]).otherwise("N")), "")
+    seq, qual = _col(seq), _col(qual)
+    n = F.when(seq.isNotNull() & qual.isNotNull(), F.least(F.length(seq), F.length(qual)))
+    kept = F.transform(F.sequence(F.lit(1), n), lambda i: F.when(F.ascii(F.substring(qual, i, F.lit(1))) - 33 >= threshold, F.substring(seq, i, F.lit(1))).otherwise("N"))
+    return F.when(n == 0, F.lit("")).otherwise(F.array_join(kept, ""))
 
 
 def phred_char(score) -> Column:

@@ -1,24 +1,31 @@
 """Correction and extraction: from raw reads and barcode places to one corrected record a read.
 
-Reads are rows (read_idx, read_name, comment, seqs, quals), the arrays by file. The reads are dealt out by read_idx
-once; windows, matches and the final assembly all keep that partitioning, so there is one shuffle in all.
+Reads are rows (read_idx, read_name, comment, seqs, quals), the arrays by file. Where the whitelists' neighbourhoods
+fit all executors, each window of a read is looked up in them in turn and nothing is shuffled. Otherwise the reads are
+dealt out by read_idx once; windows, matches and the final assembly all keep that partitioning.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequence import mask_low_quality, repeat_char, reverse_complement
-from .matching import approximate_matches, distance, resolve
-from .windows import jitter_windows
+from .matching import approximate_matches, choose_strategy, distance, fits_neighbourhood, lookup_table, resolve, resolve_windows
+from .windows import jitter_windows, window_list
 
 #: Jitter and mismatches of the two kits that have a preset.
 PRESETS = {"scale_rna": (1, 2), "evercode_wtv2": (2, 2)}
 
 
+#: Windows of a read, over all its places, that are looked up one after the other; more are laid out as rows.
+MAX_LOOKUPS = 48
+
+
 @dataclass(frozen=True)
 class BarcodePlace:
     """Where a barcode is expected: file counts from 0, start and end from 1, both included."""
@@ -58,6 +65,36 @@ def _place_windows(index: int, place: BarcodePlace, jitter: int) -> Column:
     return F.transform(windows, lambda w: F.struct(F.lit(index).alias("bc_idx"), F.lit(place.start).alias("start"), w["cand"].alias("cand"), w["pos"].alias("pos")))
 
 
+def _lookups(reads: DataFrame, places: list[BarcodePlace], tables: dict[tuple[str, int], DataFrame], jitter: int, base_quality: int | None, tie: str) -> DataFrame:
+    """`reads` with `matched`, by a broadcast join for each window; rows keep their place and their partition."""
+    strands = list(dict.fromkeys((p.file, p.orientation) for p in places))
+
+    def strand(file: int, orientation: str) -> Column:
+        seq = _read("seqs", file)
+        seq = seq if base_quality is None else mask_low_quality(seq, _read("quals", file), base_quality)
+        return reverse_complement(seq) if orientation == "reverse" else seq
+
+    own = [F.col(c) for c in reads.columns]
+    out = reads.select(*own, *[strand(*k).alias(f"__s{i}") for i, k in enumerate(strands)])
+    sequences, found = [F.col(f"__s{i}") for i in range(len(strands))], []
+    for i, p in enumerate(places):
+        table = tables.get((p.whitelist, p.size))
+        if table is not None:
+            windows = window_list(sequences[strands.index((p.file, p.orientation))], p.start, p.end, jitter)
+            for k, (cand, _) in enumerate(windows):
+                one = F.broadcast(table.select(F.col("variant").alias(f"__v{k}"), F.col("hit").alias(f"__h{k}")))  # counted by fits_neighbourhood()
+                out = out.join(one, cand == F.col(f"__v{k}"), "left")
+            hits = [(F.col(f"__h{k}"), pos) for k, (_, pos) in enumerate(windows)]
+            out = out.select(*own, *sequences, *found, *[c.alias(f"__{n}{i}") for n, c in resolve_windows(hits, p.start, tie).items()])
+            good = F.col(f"__good{i}")
+            m = {"barcode": F.when(good, F.col(f"__barcode{i}")).otherwise("N" * p.size), "n": F.when(good, F.col(f"__n{i}")).otherwise(-1), "pos": F.when(good, F.col(f"__pos{i}")).otherwise("N")}
+        else:
+            m = {"barcode": F.lit("N" * p.size), "n": F.lit(-1), "pos": F.lit("N")}
+        out = out.select(*own, *sequences, *found, F.struct(*[c.alias(n) for n, c in m.items()]).alias(f"__m{i}"))
+        found.append(F.col(f"__m{i}"))
+    return out.select(*own, F.array(*found).alias("matched"))
+
+
 def match_barcodes(
     reads: DataFrame,
     places: list[BarcodePlace],
@@ -69,12 +106,19 @@ def match_barcodes(
     tie: str = "set",
     indices: dict[str, tuple[str, DataFrame]] | None = None,
 ) -> DataFrame:
-    """`reads` with `matched`, an array of (barcode, n, pos) by place; repartitioned by read_idx.
+    """`reads` with `matched`, an array of (barcode, n, pos) by place.
 
     A reverse place is searched on the reverse complement of the whole read, at the coordinates as they stand.
     A whitelist that is not given leaves its places without a match; one with a stored index (kind, rows) is matched
     through that.
     """
+    kinds = list({(p.whitelist, p.size): None for p in places if p.whitelist in whitelists})
+    lookups = sum(len(window_list(F.lit(""), p.start, p.end, jitter)) for p in places if p.whitelist in whitelists)
+    if strategy in (None, "neighbourhood") and lookups <= MAX_LOOKUPS and not any(w in (indices or {}) for w, _ in kinds):
+        sizes = {w: whitelists[w].count() for w in {w: None for w, _ in kinds}}
+        if all(fits_neighbourhood(sizes[w], n, mismatches) and choose_strategy(sizes[w], n, mismatches) == "neighbourhood" for w, n in kinds):
+            tables = {(w, n): lookup_table(whitelists[w], n, mismatches) for w, n in kinds}
+            return _lookups(reads, places, tables, jitter, base_quality, tie)
     reads = reads.repartition("read_idx")
     masked = F.col("seqs") if base_quality is None else F.transform(F.arrays_zip("seqs", "quals"), lambda p: mask_low_quality(p["seqs"], p["quals"], base_quality))
     source = reads.select("read_idx", masked.alias("__seqs"))
@@ -111,6 +155,12 @@ def matched_quality(qual, pos, size) -> Column:
     return F.when(p.isNull() | (p == 0), repeat_char("!", size)).when(p > 0, inside).otherwise(before)
 
 
+def mismatch_sum(numbers: list[Column]) -> Column:
+    """As mismatch_total(), for numbers that are columns of their own."""
+    negative = reduce(or_, [n < 0 for n in numbers])
+    return F.when(negative, reduce(add, [F.least(n, F.lit(0)) for n in numbers])).otherwise(reduce(add, numbers))
+
+
 def mismatch_total(numbers) -> Column:
     """Sum of a read's mismatches; with any unmatched barcode the sum of the negatives only."""
     numbers = F.col(numbers) if isinstance(numbers, str) else numbers
@@ -141,8 +191,8 @@ def extract_records(matched: DataFrame, places: list[BarcodePlace], extract: Spa
     if umi:
         columns |= {"UR": cut("seqs", umi), "UY": cut("quals", umi)}
     columns |= {
-        "mismatches": mismatch_total(F.transform("matched", lambda m: m["n"])),
-        "kept": ~F.exists("matched", lambda m: F.contains(m["barcode"], F.lit("N"))),
+        "mismatches": mismatch_sum([m["n"] for m in found]),
+        "kept": ~reduce(or_, [F.contains(m["barcode"], F.lit("N")) for m in found]),
     }
     return matched.select("read_idx", "read_name", "comment", *[c.alias(n) for n, c in columns.items()])
 

@@ -44,6 +44,18 @@ def neighbourhood_size(barcodes: int, length: int, mismatches: int) -> int:
     return barcodes * sum(comb(length, k) * 4**k for k in range(mismatches + 1))
 
 
+def fits_neighbourhood(barcodes: int, length: int, mismatches: int) -> bool:
+    """True if the neighbourhood of that many barcodes may be broadcast."""
+    return _fits(neighbourhood_size(barcodes, length, mismatches), length)
+
+
+def lookup_table(whitelist: DataFrame, length: int, mismatches: int) -> DataFrame:
+    """A row a variant: (variant, hit), hit of its least mismatches n, the first barcode that has it so, and how many do (kinds)."""
+    near = neighbourhood(whitelist.select("barcode").where(F.length("barcode") == length).distinct(), mismatches)
+    by_n = near.groupBy("variant", "n").agg(F.min("barcode").alias("barcode"), F.count(F.lit(1)).cast("int").alias("kinds"))
+    return by_n.groupBy("variant").agg(F.min(F.struct("n", "kinds", "barcode")).alias("hit"))
+
+
 def choose_strategy(barcodes: int, length: int, mismatches: int) -> str:
     """Neighbourhood while its table is small, seeds beyond."""
     return "neighbourhood" if mismatches == 0 or _fits(neighbourhood_size(barcodes, length, mismatches), length) else "seed"
@@ -150,3 +162,33 @@ def resolve(hits, size: int, tie: str = "set") -> Column:
     return F.when(good, found).otherwise(F.struct(F.lit("N" * size).alias("barcode"), F.lit(-1).alias("n"), F.lit("N").alias("pos")))
 
 
+#: Above any distance of a window from its place.
+_FAR = 1 << 20
+
+
+def _of(f, columns: list[Column]) -> Column:
+    return f(*columns) if len(columns) > 1 else columns[0]
+
+
+def resolve_windows(hits: list[tuple[Column, int]], start: int, tie: str = "set") -> dict[str, Column]:
+    """The choice of resolve() for windows that are columns: (hit of lookup_table(), or null; place); `good` is true if there is a match.
+
+    Within a window only its hits of least mismatches can win, so their number and the first of them are enough.
+    """
+    keys = []
+    for h, pos in hits:
+        away = F.lit(abs(pos - start)) if pos >= 1 else F.when(h["n"] > 0, abs(pos + 1 - start)).otherwise(abs(pos - start))
+        keys.append(h["n"] * _FAR + away)
+    best = _of(F.least, keys)
+    top = [key == best for key in keys]
+    each = lambda make: [F.when(t, make(h, pos)) for t, (h, pos) in zip(top, hits)]
+    barcodes, kinds, places = each(lambda h, _: h["barcode"]), each(lambda h, _: h["kinds"]), each(lambda _, pos: F.lit(pos))
+    first, n = _of(F.least, barcodes), F.shiftright(best, 20)
+    good = (_of(F.greatest, kinds) == 1) & (first == _of(F.greatest, barcodes))
+    if tie == "set":
+        total = F.lit(0)
+        for k in kinds:
+            total = total + F.coalesce(k, F.lit(0))
+        good = good & ~((n == 0) & (total > 1))
+    place = _of(F.least, places)
+    return {"good": F.coalesce(good, F.lit(False)), "barcode": first, "n": n, "pos": F.when(place == _of(F.greatest, places), place.cast("string")).otherwise("*")}

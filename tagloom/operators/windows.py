@@ -38,6 +38,21 @@ def jitter_windows(seq, start: int, end: int, jitter: int = 0) -> Column:
     return F.concat(*[p.cast(_TYPE) for p in parts])
 
 
+def window_list(seq: Column, start: int, end: int, jitter: int = 0) -> list[tuple[Column, int]]:
+    """The windows of jitter_windows() as (cand, pos), a column each; null where a read has no such window of full length."""
+    size = end - start + 1
+    n = F.length(seq)
+    out = [(F.when(n >= p + size - 1, F.substring(seq, p, size)), p) for p in range(max(1, start - jitter), start + jitter + 1)]
+
+    def full(cand, c: int) -> Column:
+        return cand if c <= size else F.lit(None).cast("string")
+
+    if jitter and start - jitter < 1:
+        out += [(full(F.concat(F.lit("N" * c), F.substring(seq, start, max(size - c, 0))), c), start - c - 1) for c in range(1, jitter + 1)]
+    out += [(F.when(n < start - 1 + size + jitter, full(F.concat(F.substring(seq, start + c, max(size - c, 0)), F.lit("N" * c)), c)), start + c) for c in range(1, jitter + 1)]
+    return [(F.when(F.length(cand) == size, cand), pos) for cand, pos in out]
+
+
 def all_windows(seq, size: int) -> Column:
     """Array of (cand, pos): every window of the given length."""
     seq = F.col(seq) if isinstance(seq, str) else seq

@@ -55,10 +55,23 @@ def barcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitelist(spark, sf_dir).select(F.col("bc").alias("barcode"))
 
 
-def flat_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First and second reads of a pair side by side: read_idx, read_name, comment, seq, qual, seq2, qual2."""
+#: Reads that one task derives, about.
+READS_PER_TASK = 200_000
+
+
+def _dealt(df: DataFrame, key: str, ordered: bool) -> DataFrame:
+    """Slim rows dealt out before long ones are derived from them, whatever the file's row groups; `ordered`: by ranges of the key."""
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, df.count() // READS_PER_TASK + 1)
+    return df.repartitionByRange(parts, key) if ordered else df.repartition(parts, key)
+
+
+def flat_reads(spark: SparkSession, sf_dir: str, ordered: bool = False) -> DataFrame:
+    """First and second reads of a pair side by side: read_idx, read_name, comment, seq, qual, seq2, qual2.
+
+    ordered: partitions are ranges of read_idx, so that sorting by it takes no shuffle.
+    """
     wl = F.broadcast(whitelist(spark, sf_dir))  # 96 rows
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    orders = _dealt(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", ordered)
     both = orders.join(wl.alias("a"), F.expr("o_orderkey % 96 = a.id")).join(wl.alias("b"), F.expr("(o_orderkey * 7 + 3) % 96 = b.id"))
     q0 = F.expr(f"concat({quality(_key('q'))}, {quality(_key('v'))}, {quality(_key('x'))})")
     rows = both.select(
@@ -73,9 +86,9 @@ def flat_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("read_idx", "read_name", "comment", "seq", F.expr("substring(q0, 1, length(seq))").alias("qual"), "seq2", "qual2")
 
 
-def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+def reads(spark: SparkSession, sf_dir: str, ordered: bool = False) -> DataFrame:
     """Read tuples (read_idx, read_name, comment, seqs, quals)."""
-    return flat_reads(spark, sf_dir).select("read_idx", "read_name", "comment", F.array("seq", "seq2").alias("seqs"), F.array("qual", "qual2").alias("quals"))
+    return flat_reads(spark, sf_dir, ordered).select("read_idx", "read_name", "comment", F.array("seq", "seq2").alias("seqs"), F.array("qual", "qual2").alias("quals"))
 
 
 #: Records as other tools leave them: cb may be missing, carry a suffix, or hold an N; derived from orders alone.
