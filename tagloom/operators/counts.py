@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .neighbours import best_of, pack_vectors
 
 #: Cells on the query side of the nearest-neighbour search that are compared with all others at a time.
 KNN_BLOCK = 2_000
@@ -133,30 +136,31 @@ def reads_of_cells(records: DataFrame, others: DataFrame, n: int = 100, seed: in
 def nearest(points: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
     """The k nearest points (squared Euclidean distance, then id) of each query, itself excepted: (query, neighbour, distance, rank).
 
-    Queries are a stated set: they are sent to all executors in blocks of bounded size. The rank is asked for k at
-    most, so each task passes on its own best k of a query, and no more of the pairs reaches the shuffle.
+    All pairs are compared (see neighbours.py), in tiles of bounded size: queries are sent to all executors in blocks,
+    and each task passes on its own best k of a query. Vectors are compared over the entries that both have; a pair
+    without any has a null distance and comes last. Rows without an id are left out.
     """
-    found = None
-    rows = queries.select(id_col, vector_col).toLocalIterator()
-    block = []
+    id_type = points.schema[id_col].dataType
+    parts = points.sparkSession.sparkContext.defaultParallelism
+    own = points.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).repartition(parts, "id")
+    schema = T.StructType([T.StructField("query", id_type), T.StructField("neighbour", id_type), T.StructField("distance", T.DoubleType())])
+    found, block = None, []
 
     def search(block):
-        spark = points.sparkSession
-        own = F.broadcast(spark.createDataFrame(block, queries.select(F.col(id_col).alias("query"), F.col(vector_col).cast("array<double>").alias("q")).schema))
-        pairs = points.select(F.col(id_col).alias("neighbour"), F.col(vector_col).cast("array<double>").alias("v")).join(own, F.col("neighbour") != F.col("query"))
-        d = F.aggregate(F.zip_with("v", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-        near = pairs.select("query", "neighbour", d.alias("distance"))
-        return near.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("distance", "neighbour"))).where(F.col("rank") <= k)
-
-    for row in rows:
-        block.append((row[0], [float(x) for x in row[1]]))
+        sent = points.sparkSession.sparkContext.broadcast(([i for i, _ in block], pack_vectors([v for _, v in block])))
+        near = own.mapInArrow(lambda batches: best_of(batches, *sent.value, k), schema)
+        by_query = W.partitionBy("query").orderBy(F.col("distance").asc_nulls_last(), "neighbour")
+        return near.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
+
+    for row in queries.where(F.col(id_col).isNotNull()).select(id_col, F.col(vector_col).cast("array<double>")).toLocalIterator():
+        block.append((row[0], row[1]))
         if len(block) == KNN_BLOCK:
             found = search(block) if found is None else found.unionByName(search(block))
             block = []
     if block:
         found = search(block) if found is None else found.unionByName(search(block))
     if found is None:
-        return points.sparkSession.createDataFrame([], "query long, neighbour long, distance double, rank int")
+        return points.sparkSession.createDataFrame([], T.StructType([*schema, T.StructField("rank", T.IntegerType())]))
     return found.select("query", "neighbour", "distance", "rank")
 
 

@@ -1,8 +1,13 @@
 """Plans and results that must hold as the tables grow."""
 
+import math
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from tagloom.functions import sequence as S
+from tagloom.operators import counts as C
 from tagloom.operators import extraction as E
 
 READS = "read_idx long, read_name string, comment string, seqs array<string>, quals array<string>"
@@ -37,3 +42,33 @@ def test_quality_mask_of_odd_strings(spark):
     rows = [("ACGT", "I#I"), ("AC", "#III"), ("", "II"), ("AC", ""), (None, "II"), ("AC", None)]
     got = [r[0] for r in spark.createDataFrame(rows, "s string, q string").select(S.mask_low_quality("s", "q", 10)).collect()]
     assert got == ["ANG", "NC", "", "", None, None]
+
+
+def brute_nearest(points, queries, k):
+    def key(p, q):
+        terms = [(a - b) * (a - b) for a, b in zip(p or [], q or []) if a is not None and b is not None]
+        d = None
+        for t in terms:
+            d = t if d is None else d + t
+        return (d is None, d is not None and math.isnan(d), 0 if d is None or math.isnan(d) else d), d
+
+    out = []
+    for i, q in queries:
+        near = sorted(((key(v, q), j) for j, v in points if j is not None and j != i), key=lambda x: (x[0][0], x[1]))[:k]
+        out += [(i, j, str(d), r + 1) for r, ((_, d), j) in enumerate(near)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("names", [int, "n{}".format])
+def test_nearest(spark, monkeypatch, names):
+    r = random.Random(3)
+    vector = lambda: [r.choice((0.0, 0.25, 1 / 3, 1e-9, 1e8 + 0.1)) + r.random() * r.choice((0, 1, 1e-8)) for _ in range(6)]
+    points = [(names(i), vector()) for i in range(150)] + [(names(150 + i), [0.1, 0.2, 0.3, 0.4, 0.5, 0.6]) for i in range(60)]
+    points += [(names(300), None), (names(301), []), (names(302), [None, 0.2, 0.3, 0.4, 0.5, 0.6]), (names(303), [0.1, 0.2]), (names(304), [0.1] * 8), (names(305), [math.inf] * 6), (names(306), [math.nan] * 6), (None, [0.1] * 6)]
+    monkeypatch.setattr(C, "KNN_BLOCK", 100)
+    df = spark.createDataFrame(points, f"id {'long' if names is int else 'string'}, vector array<double>")
+    out = C.nearest(df, df.where("id IS NOT NULL"), 4)
+    assert "NestedLoopJoin" not in plan(out) and "CartesianProduct" not in plan(out)
+    got = sorted((x.query, x.neighbour, str(x.distance), x.rank) for x in out.collect())
+    assert got == brute_nearest(points, [p for p in points if p[0] is not None], 4)
+    assert C.nearest(df, df.limit(0), 4).count() == 0
