@@ -110,20 +110,26 @@ def strip_mate_suffix(comment) -> Column:
     return F.regexp_replace(_col(comment), "/[0-9]$", "")
 
 
-def header_tags(header, tags=RECORD_TAGS, strip_suffix: bool = True) -> Column:
-    """Map of the KEY=VALUE words of a header whose key is known; the value begins after the first `=`, the last wins."""
-    words = F.filter(F.split(F.trim(_col(header)), r"\s+"), lambda w: F.instr(w, "=") > 0)
-    known = F.filter(words, lambda w: F.substring_index(w, "=", 1).isin(*tags))
+def header_words(header) -> Column:
+    """A header's words with one blank before and after each, as header_tag() reads them."""
+    return F.concat(F.lit(" "), F.regexp_replace(F.trim(_col(header)), r"\s+", " "), F.lit(" "))
+
 
-    def value(w):
-        v = F.substr(w, F.instr(w, "=") + 1)
-        return F.regexp_replace(v, r"/\d+$", "") if strip_suffix else v
+def header_tag(words, tag: str, strip_suffix: bool = True) -> Column:
+    """Value of a header's last `TAG=value` word, the header as header_words(); null if it has none."""
+    words, start = _col(words), f" {tag}="
+    value = F.substring_index(F.substring_index(words, start, -1), " ", 1)
+    return F.when(F.contains(words, F.lit(start)), F.regexp_replace(value, r"/\d+$", "") if strip_suffix else value)
 
-    def last_of(tag):
-        return F.get(F.reverse(F.filter(known, lambda w: F.startswith(w, F.lit(tag + "=")))), F.lit(0))
 
-    last = F.array(*[F.struct(F.lit(t).alias("key"), last_of(t).alias("w")) for t in tags])
-    return F.map_from_entries(F.transform(F.filter(last, lambda e: e["w"].isNotNull()), lambda e: F.struct(e["key"], value(e["w"]))))
+def header_tags(header, tags=RECORD_TAGS, strip_suffix: bool = True) -> Column:
+    """Map of the KEY=VALUE words of a header whose key is known; the value begins after the first `=`, the last wins.
+
+    Where a few tags are wanted as columns, header_tag() finds them without a map.
+    """
+    words = header_words(header)
+    found = F.array(*[F.struct(F.lit(t).alias("key"), header_tag(words, t, strip_suffix).alias("value")) for t in tags])
+    return F.map_from_entries(F.filter(found, lambda e: e["value"].isNotNull()))
 
 
 def sam_tag(fields, tag: str) -> Column:

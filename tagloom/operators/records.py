@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.sequence import STATS_TAGS, header_barcode, header_tags, repeat_char
+from ..functions.sequence import RECORD_TAGS, STATS_TAGS, header_barcode, header_tag, header_words, repeat_char
 from .matching import approximate_matches, distance, resolve
 from .windows import jitter_windows
 
@@ -19,8 +19,8 @@ TAGS = "array<struct<tag:string,type:string,value:string>>"
 
 def tag(name: str, tags="tags") -> Column:
     """Value of the record's first tag of this name; null if it has none."""
-    found = F.filter(F.col(tags) if isinstance(tags, str) else tags, lambda t: t["tag"] == name)
-    return F.get(F.transform(found, lambda t: t["value"]), F.lit(0))
+    tags = F.col(tags) if isinstance(tags, str) else tags
+    return F.get(tags, F.array_position(tags["tag"], F.lit(name)).cast("int") - 1)["value"]
 
 
 def set_tag(tags, name: str, value) -> Column:
@@ -149,18 +149,18 @@ def sidecar_lengths(records: DataFrame) -> tuple[list[int], int]:
 
 def header_records(pairs: DataFrame, names=STATS_TAGS) -> DataFrame:
     """The known tags of interleaved pairs' first headers, a column each; values as they stand."""
-    found = header_tags("header", names, strip_suffix=False)
-    return pairs.select("read_idx", *[found[n].alias(n) for n in names])
+    rows = pairs.select("read_idx", header_words("header").alias("__words"))
+    return rows.select("read_idx", *[header_tag("__words", n, strip_suffix=False).alias(n) for n in names])
 
 
 def interleaved_to_records(pairs: DataFrame) -> DataFrame:
     """Unmapped records of interleaved pairs (header, r2_seq, r2_qual): the header's known tags become the record's."""
-    found = header_tags("header")
-    order = ("CR", "CY", "CB", "XQ", "XP", "XM", "UR", "UY")
-    tags = F.filter(F.array(*[F.struct(F.lit(t).alias("tag"), F.lit("Z").alias("type"), found[t].alias("value")) for t in order]), lambda t: t["value"].isNotNull()).cast(TAGS)
-    name = F.expr("substring(split(header, '\\\\s+')[0], 2)")
+    rows = pairs.select("header", "r2_seq", "r2_qual", header_words("header").alias("__words"))
+    own = rows.select("*", *[header_tag("__words", t).alias(f"__{t}") for t in RECORD_TAGS])
+    tags = F.array_compact(F.array(*[F.when(F.col(f"__{t}").isNotNull(), F.struct(F.lit(t).alias("tag"), F.lit("Z").alias("type"), F.col(f"__{t}").alias("value"))) for t in RECORD_TAGS])).cast(TAGS)
+    name = F.expr("substring(split(header, '\\\\s+', 2)[0], 2)")
     zero = F.lit(0)
-    return pairs.select(name.alias("qname"), F.lit(4).alias("flag"), F.lit("*").alias("rname"), zero.alias("pos"), zero.alias("mapq"), F.lit("*").alias("cigar"), F.lit("*").alias("rnext"), zero.alias("pnext"), zero.alias("tlen"), F.col("r2_seq").alias("seq"), F.col("r2_qual").alias("qual"), tags.alias("tags"))
+    return own.select(name.alias("qname"), F.lit(4).alias("flag"), F.lit("*").alias("rname"), zero.alias("pos"), zero.alias("mapq"), F.lit("*").alias("cigar"), F.lit("*").alias("rnext"), zero.alias("pnext"), zero.alias("tlen"), F.col("r2_seq").alias("seq"), F.col("r2_qual").alias("qual"), tags.alias("tags"))
 
 
 def last_by_name(records: DataFrame, name: str = "qname", order: str = "line") -> DataFrame:

@@ -103,7 +103,8 @@ rec AS (SELECT o_orderkey AS line, concat('r', cast(o_orderkey % 997 AS varchar(
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(line, qname, seq, qual, CR, CB, XM, XP, UR) as in RECORDS."""
     body = RECORDS.strip().removeprefix("rec AS (SELECT").rsplit(" FROM orders)", 1)[0]
-    return table(spark, sf_dir, "orders").select(F.expr(f"struct({body})").alias("s")).select("s.*")
+    orders = _dealt(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", False)
+    return orders.select(F.expr(f"struct({body})").alias("s")).select("s.*")
 
 
 

@@ -1,14 +1,19 @@
 """Plans and results that must hold as the tables grow."""
 
+import gzip
 import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from tagloom import sources as Z
 from tagloom.functions import sequence as S
 from tagloom.operators import counts as C
 from tagloom.operators import extraction as E
+from tagloom.operators import records as R
+from tagloom.plans import fixtures as X
+from tagloom.sources.scratch import part_files
 
 READS = "read_idx long, read_name string, comment string, seqs array<string>, quals array<string>"
 
@@ -72,3 +77,56 @@ def test_nearest(spark, monkeypatch, names):
     got = sorted((x.query, x.neighbour, str(x.distance), x.rank) for x in out.collect())
     assert got == brute_nearest(points, [p for p in points if p[0] is not None], 4)
     assert C.nearest(df, df.limit(0), 4).count() == 0
+
+
+@pytest.mark.parametrize("size", [13, 100, 1 << 20])
+def test_a_file_in_parts(spark, tmp_path, size):
+    record = lambda i, m: f"@r{i} c/{m}\nACGT{'ACGT'[i % 4]}\n+\n@III{'#' * 1}\n"
+    one, two = [], []
+    for part, (a, b) in enumerate([(0, 7), (7, 7), (7, 20)]):
+        one.append(tmp_path / f"1-{part}.fastq")
+        one[-1].write_text("".join(record(i, 1) for i in range(a, b)).rstrip("\n"))
+    for part, (a, b) in enumerate([(0, 3), (3, 19)]):
+        two.append(tmp_path / f"2-{part}.fastq.gz")
+        two[-1].write_bytes(gzip.compress("".join(record(i, 2) for i in range(a, b)).encode()))
+    rows = Z.read_fastq(spark, [str(p) for p in one], [str(p) for p in two], range_bytes=size)
+    assert sorted((r.file_index, r.read_idx, r.read_name) for r in rows.collect()) == [(f, i, f"r{i}") for f, n in ((0, 20), (1, 19)) for i in range(n)]
+    pairs = sorted(Z.zip_reads(rows, 2).collect())
+    assert [(r.read_idx, r.read_name, r.comment, r.seqs[1]) for r in pairs] == [(i, f"r{i}", "c/1", f"ACGT{'ACGT'[i % 4]}") for i in range(19)]
+    assert Z.zip_reads(rows.where("file_index = 0"), 1).count() == 20
+
+
+def test_interleaved_parts_are_read_in_one_plan(spark, tmp_path):
+    record = lambda i, m: f"@r{i} CB=A{i} /{m}\nACGT\n+\nIIII\n"
+    paths = [tmp_path / "a.fastq", tmp_path / "b.fastq"]
+    paths[0].write_text("".join(record(i, m) for i in range(5) for m in (1, 2)))
+    paths[1].write_text("".join(record(i, m) for i in range(5, 8) for m in (1, 2)) + record(8, 1))
+    out = Z.read_interleaved(spark, *map(str, paths))
+    assert "Exchange" not in plan(out) and "Union" not in plan(out)
+    # a last read without a mate is left out
+    assert [(r.read_idx, r.header, r.header2) for r in sorted(out.collect())] == [(i, f"@r{i} CB=A{i} /1", f"@r{i} CB=A{i} /2") for i in range(8)]
+
+
+def test_text_of_records_is_sorted_where_it_is_made(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    records = E.extract(X.reads(spark, sf, ordered=True), X.PLACES, {"BC:v1": X.barcodes(spark, sf)}, X.CDNA, X.UMI)
+    for lines in (E.sam_lines(records), E.interleaved(records)):
+        shown = plan(lines.orderBy("read_idx"))
+        assert "rangepartitioning(read_idx" not in shown and shown.count("rangepartitioning(") == 1
+    Z.write_sam(E.sam_lines(records), str(tmp_path / "sam"), "cmd")
+    text = [open(f).read().splitlines() for f in part_files(str(tmp_path / "sam"))]
+    assert [x[:3] for x in text[0]] == ["@HD", "@PG"]
+    numbers = [int(line.split("\t")[0][1:]) for part in text[1:] for line in part]
+    assert numbers == sorted(numbers) and len(numbers) == records.count()
+
+
+def test_header_tags_take_no_lambda_each(spark):
+    headers = ["@r x CB=A_B XQ==I CB=C /1", "@r\tCB=  XM=1/2 XCB=no", " CB=lead/3", "@r CB", "@r XX=CB=1", "", None]
+    df = spark.createDataFrame([(h,) for h in headers], "header string")
+    want = [{"CB": "C", "XQ": "=I"}, {"CB": "", "XM": "1"}, {"CB": "lead"}, {}, {}, {}, None]
+    rows = df.select(S.header_words("header").alias("w")).select(*[S.header_tag("w", t).alias(t) for t in ("CB", "XQ", "XM")])
+    assert "lambda" not in plan(rows)
+    assert [{k: v for k, v in r.asDict().items() if v is not None} for r in rows.collect()] == [w or {} for w in want]
+    assert [r[0] or {} for r in df.select(S.header_tags("header")).collect()] == [w or {} for w in want]
+    out = R.interleaved_to_records(df.select("header", F.lit("A").alias("r2_seq"), F.lit("I").alias("r2_qual")).limit(2))
+    assert [[tuple(t) for t in r.tags] for r in out.collect()] == [[("CB", "Z", "C"), ("XQ", "Z", "=I")], [("CB", "Z", ""), ("XM", "Z", "1")]]
