@@ -294,8 +294,8 @@ def peak_histogram(spark, sf_dir):
 # ---- extraction ------------------------------------------------------------------------------------------------
 
 
-def _records(spark, sf_dir, **more):
-    return E.extract(X.reads(spark, sf_dir), X.PLACES, {"BC:v1": X.barcodes(spark, sf_dir)}, X.CDNA, X.UMI, **more)
+def _records(spark, sf_dir, ordered=False, **more):
+    return E.extract(X.reads(spark, sf_dir, ordered), X.PLACES, {"BC:v1": X.barcodes(spark, sf_dir)}, X.CDNA, X.UMI, **more)
 
 
 def _xq(pos: str, size: int = 8) -> str:
@@ -590,37 +590,34 @@ def _fastq_lines(reads: DataFrame, seq: str, qual: str) -> DataFrame:
 def fastq_files(spark, sf_dir):
     """FASTQ text in several files, read in ranges smaller than a file."""
     path = scratch(spark, "fastq")
-    Z.write_lines(_fastq_lines(X.flat_reads(spark, sf_dir), "seq", "qual"), path)
+    Z.write_lines(_fastq_lines(X.flat_reads(spark, sf_dir, ordered=True), "seq", "qual"), path)
     return Z.read_fastq(spark, *part_files(path), range_bytes=1 << 20).select("read_name", "comment", "seq", "qual")
 
 
 @query(f"{BASE} SELECT cast(row_number() OVER (ORDER BY read_idx) - 1 AS bigint) AS ordinal, read_name, seq, seq2 FROM reads")
 def fastq_pairs(spark, sf_dir):
-    """Two mates' files, one of them gzip, zipped by ordinal; a mate's file is one by its nature."""
+    """Two mates' files, one of them gzip, zipped by ordinal; a mate's file is one by its nature, in parts whose ordinals run on."""
     one, two = scratch(spark, "mate1"), scratch(spark, "mate2")
-    reads = X.flat_reads(spark, sf_dir).coalesce(1).sortWithinPartitions("read_idx")
-    Z.write_lines(_fastq_lines(reads, "seq", "qual"), one, order=None)
-    Z.write_lines(_fastq_lines(reads, "seq2", "qual2"), two, order=None, compression="gzip")
-    pairs = Z.zip_reads(Z.read_fastq(spark, *part_files(one), *part_files(two), range_bytes=1 << 20), 2)
+    reads = X.flat_reads(spark, sf_dir, ordered=True)
+    Z.write_lines(_fastq_lines(reads, "seq", "qual"), one)
+    Z.write_lines(_fastq_lines(reads, "seq2", "qual2"), two, compression="gzip")
+    pairs = Z.zip_reads(Z.read_fastq(spark, part_files(one), part_files(two), range_bytes=1 << 20), 2)
     return pairs.select(F.col("read_idx").alias("ordinal"), "read_name", F.get("seqs", F.lit(0)).alias("seq"), F.get("seqs", F.lit(1)).alias("seq2"))
 
 
 @query(f"{_EXT} SELECT read_name, concat(replace(CB, '_', ''), UR) AS r1_seq, seq AS r2_seq, qual AS r2_qual, CB, XM FROM ext")
 def interleaved_file(spark, sf_dir):
     path = scratch(spark, "interleaved")
-    Z.write_lines(E.interleaved(_records(spark, sf_dir)), path)
-    out = None
-    for file in part_files(path):
-        part = Z.read_interleaved(spark, file)
-        out = part if out is None else out.unionByName(part)
-    tags = S.header_tags("header")
-    return out.select(F.expr("substring(split(header, ' ')[0], 2)").alias("read_name"), "r1_seq", "r2_seq", "r2_qual", tags["CB"].alias("CB"), tags["XM"].alias("XM"))
+    Z.write_lines(E.interleaved(_records(spark, sf_dir, ordered=True)), path)
+    out = Z.read_interleaved(spark, *part_files(path))
+    out = out.select("*", S.header_words("header").alias("words"))
+    return out.select(F.expr("substring(split(header, ' ', 2)[0], 2)").alias("read_name"), "r1_seq", "r2_seq", "r2_qual", *[S.header_tag("words", t).alias(t) for t in ("CB", "XM")])
 
 
 @query(f"{_EXT} SELECT read_name AS qname, seq, qual, {', '.join(_ORDER)} FROM ext")
 def sam_file(spark, sf_dir):
     path = scratch(spark, "sam")
-    Z.write_sam(E.sam_lines(_records(spark, sf_dir)), path, "reap")
+    Z.write_sam(E.sam_lines(_records(spark, sf_dir, ordered=True)), path, "reap")
     return Z.read_sam(spark, path).select("qname", "seq", "qual", *[R.tag(t).alias(t) for t in _ORDER])
 
 

@@ -99,9 +99,9 @@ def write_lines(lines: DataFrame, path: str, order: str | None = "read_idx", com
 
 def write_sam(lines: DataFrame, path: str, command: str = "", version: str = "0") -> None:
     """Records with the two header lines in a file that sorts before the others."""
-    spark = lines.sparkSession
-    header = spark.createDataFrame([(-2, "@HD\tVN:1.6"), (-1, f"@PG\tID:tagloom\tPN:tagloom\tVN:{version}\tCL:{command}")], "read_idx long, value string")
-    write_lines(header.unionByName(lines.select(F.col("read_idx").cast("long").alias("read_idx"), "value")), path)
+    header = lines.sparkSession.createDataFrame([(f"@HD\tVN:1.6\n@PG\tID:tagloom\tPN:tagloom\tVN:{version}\tCL:{command}",)], "value string").coalesce(1)
+    # a union keeps its inputs' order, so the records are sorted by themselves, and not at all if they are in order
+    write_lines(header.union(lines.orderBy("read_idx").select("value")), path, order=None)
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", order: list | None = None) -> None:
