@@ -63,6 +63,34 @@ def sift_reads(pairs: DataFrame, ranges: list[tuple[int, int]], compat: bool = F
     return pairs.where(~bad)
 
 
+#: Names that may be broadcast; with more, records and headers are dealt out by name, about so many records to a task.
+MAX_NAMES = 100_000
+RECORDS_PER_TASK = 200_000
+
+
+def _names(records: DataFrame) -> tuple[int, DataFrame | None, list]:
+    """The number of records, their distinct names (__name) if these are few, and the names that alone fill a task, if they are not."""
+    names = records.groupBy(F.col("qname").alias("__name")).agg(F.count(F.lit(1)).alias("__n"))
+    total, kinds, most = names.agg(F.coalesce(F.sum("__n"), F.lit(0)), F.count(F.lit(1)), F.max("__n")).first()
+    if kinds <= MAX_NAMES:
+        return total, names.select("__name"), []
+    return total, None, [r[0] for r in names.where(F.col("__n") > RECORDS_PER_TASK).collect()] if most > RECORDS_PER_TASK else []
+
+
+def _with_headers(records: DataFrame, own: DataFrame, total: int, few: bool, hot: list) -> DataFrame:
+    """`records` with the columns of their header, if any, by name."""
+    same = F.col("qname") == F.col("read_name")
+    if few:
+        return records.join(F.broadcast(own), same, "left")
+    parts = max(records.sparkSession.sparkContext.defaultParallelism, total // RECORDS_PER_TASK + 1)
+    dealt = lambda df: df.repartition(parts, "qname").join(own.repartition(parts, "read_name"), same, "left")
+    if not hot:
+        return dealt(records)
+    often = F.coalesce(F.col("qname").isin([h for h in hot if h is not None]), F.lit(None in hot))
+    of_hot = own.where(F.col("read_name").isin([h for h in hot if h is not None]))
+    return dealt(records.where(~often)).unionByName(records.where(often).join(F.broadcast(of_hot), same, "left"))
+
+
 def append_header_barcode(records: DataFrame, headers: DataFrame, index: int, whitelist: DataFrame, size: int, mismatches: int = 1, jitter: int = 1) -> DataFrame:
     """Records with a barcode of the read's header appended, joined by `_`, to CR, XQ, CY, CB, XM and XP.
 
@@ -72,8 +100,12 @@ def append_header_barcode(records: DataFrame, headers: DataFrame, index: int, wh
     """
     from ..functions.sequence import reverse_complement
 
-    raw = headers.select("read_name", header_barcode("description", index).alias("raw"))
-    base = records.join(raw.withColumn("__there", F.lit(True)), records["qname"] == raw["read_name"], "left").drop("read_name")
+    # the match joins the slim header first, so that records meet one table, by names, and not one more by a few raw values
+    total, few, hot = _names(records)
+    named = headers.select("read_name", "description")
+    if few is not None:
+        named = named.join(F.broadcast(few), F.col("read_name") == F.col("__name"), "left_semi")
+    raw = named.select("read_name", header_barcode("description", index).alias("raw"))
     kinds = raw.where("raw IS NOT NULL").select("raw").distinct()
     strands = F.array(F.struct(F.lit(0).alias("strand"), F.col("raw").alias("s")), F.struct(F.lit(1).alias("strand"), reverse_complement("raw").alias("s")))
     windows = kinds.select("raw", F.explode(strands).alias("o")).select("raw", "o.strand", F.explode(jitter_windows(F.col("o.s"), 1, size, jitter)).alias("w")).select("raw", "strand", "w.*")
@@ -82,14 +114,18 @@ def append_header_barcode(records: DataFrame, headers: DataFrame, index: int, wh
     lists = hits.groupBy("raw").agg(F.collect_list(F.when(F.col("strand") == 0, F.col("hit"))).alias("f"), F.collect_list(F.when(F.col("strand") == 1, F.col("hit"))).alias("r"))
     forward, reverse = resolve(F.col("f"), size), resolve(F.col("r"), size)
     matched = lists.select(F.col("raw").alias("__raw"), F.when(F.contains(forward["barcode"], F.lit("NN")), reverse).otherwise(forward).alias("m"))
-    out = base.join(matched, F.col("raw") == F.col("__raw"), "left")
+    matched = F.broadcast(matched) if kinds.count() <= MAX_NAMES else matched
+    # headers without a barcode stay out of the join, where they would all be of one task
+    own = raw.where("raw IS NOT NULL").join(matched, F.col("raw") == F.col("__raw"), "left").drop("__raw")
+    own = own.unionByName(raw.where("raw IS NULL"), allowMissingColumns=True).withColumn("__there", F.lit(True))
+    out = _with_headers(records, own, total, few is not None, hot)
     value = F.coalesce(F.col("raw"), F.lit(""))
     quality = repeat_char("!", F.length(value))
     barcode = F.when(F.col("raw").isNull(), F.lit("NN")).otherwise(F.coalesce("m.barcode", F.lit("N" * size)))
     number = F.when(F.col("raw").isNull(), F.lit("")).otherwise(F.coalesce("m.n", F.lit(-1)).cast("string"))
     more = {"CR": value, "CY": quality, "XQ": quality, "CB": barcode, "XM": number, "XP": F.lit("0")}
     tags = set_tags("tags", {n: F.concat(F.coalesce(tag(n), F.lit("")), F.lit("_"), v) for n, v in more.items()})
-    return out.withColumn("tags", F.when(F.col("__there"), tags).otherwise(F.col("tags"))).drop("raw", "__raw", "m", "__there")
+    return out.withColumn("tags", F.when(F.col("__there"), tags).otherwise(F.col("tags"))).drop("read_name", "raw", "m", "__there")
 
 
 def append_header_barcodes(records: DataFrame, headers: DataFrame, barcodes: list[tuple[int, DataFrame, int]], mismatches: int = 1, jitter: int = 1) -> DataFrame:
