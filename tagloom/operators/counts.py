@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.scratch import stored
 from .neighbours import best_of, pack_vectors
 
 #: Cells on the query side of the nearest-neighbour search that are compared with all others at a time.
@@ -94,8 +95,10 @@ def wide_counts(counts: DataFrame, cells: list[str]) -> DataFrame:
 def counts_to_coo(counts: DataFrame) -> DataFrame:
     """Coordinates (row, col, val) of the transposed matrix, from 1: cells and genes in the order of their names.
 
-    Names are numbered by sampled ranges and counts by range, so no task sees all of them.
+    Names are numbered by sampled ranges and counts by range, so no task sees all of them. The counts are worked out
+    once and stored (see sources/scratch.py), as numbering reads them several times.
     """
+    counts = stored(counts.select("cell", "gene", "count"), "counts")
     cells, genes = number_names(counts, "cell"), number_names(counts, "gene")
     return counts.where("count <> 0").join(cells, "cell").join(genes, "gene").select(F.col("cell_no").alias("row"), F.col("gene_no").alias("col"), F.col("count").alias("val"))
 

@@ -19,7 +19,7 @@ from ..operators import peaks as P
 from ..operators import records as R
 from ..operators import windows as V
 from .. import sources as Z
-from ..sources.scratch import part_files, scratch
+from ..sources.scratch import part_files, scratch, stored
 from . import fixtures as X
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -673,7 +673,7 @@ def fasta_file(spark, sf_dir):
 @query(SQL["counts_to_coo"])
 def matrix_market_file(spark, sf_dir):
     path = scratch(spark, "matrix")
-    coo = counts_to_coo(spark, sf_dir)
+    coo = stored(counts_to_coo(spark, sf_dir), "coo")
     size = coo.agg(F.max("row").alias("r"), F.max("col").alias("c")).first()
     Z.write_matrix_market(coo, size.r, size.c, path)
     return Z.read_matrix_market(spark, path)

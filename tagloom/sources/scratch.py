@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
@@ -22,6 +22,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """`df`, written to a new place and read from it, so that what made it runs once; kept by the executors where they share no folder."""
+    spark = df.sparkSession
+    if spark.conf.get("spark.checkpoint.dir", None) is None and not spark.sparkContext.master.startswith("local"):
+        return df.persist()
+    path = scratch(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def part_files(path: str) -> list[str]:
     """The files of a folder that Spark has written, in order, on a file system that is mounted."""
     folder = path.removeprefix("file://").removeprefix("file:")
