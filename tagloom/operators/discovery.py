@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.sequence import chars, reverse_complement
+from ..functions.sequence import reverse_complement
 from .matching import _side, neighbourhood
-from .windows import all_windows
 
 #: Sampled ordinals are sent to all executors up to this many.
 MAX_SAMPLE = 2_000_000
@@ -18,10 +17,12 @@ MAX_SAMPLE = 2_000_000
 
 def base_frequencies(reads: DataFrame) -> DataFrame:
     """Rows (file_index, position, A, C, G, T, N) for reads (file_index, seq): shares of all reads of the file; places from 1."""
-    total = reads.groupBy("file_index").agg(F.count(F.lit(1)).alias("total"))
-    bases = reads.select("file_index", F.posexplode(chars("seq")).alias("p", "base"))
-    counts = bases.groupBy("file_index", "p").agg(*[F.count_if(F.col("base") == b).alias(b) for b in "ACGTN"])
-    return counts.join(total, "file_index").select("file_index", (F.col("p") + 1).alias("position"), *[(F.col(b) / F.col("total")).alias(b) for b in "ACGTN"])
+    # place 0 stands for the read itself, so that shares and their total come of one pass
+    places = reads.select("file_index", "seq", F.explode(F.sequence(F.lit(0), F.coalesce(F.length("seq"), F.lit(0)))).alias("position"))
+    bases = places.select("file_index", "position", F.when(F.col("position") > 0, F.substring("seq", F.col("position"), F.lit(1))).alias("base"))
+    counts = bases.groupBy("file_index", "position").agg(F.count(F.lit(1)).alias("__n"), *[F.count_if(F.col("base") == b).alias(b) for b in "ACGTN"])
+    total = F.max(F.when(F.col("position") == 0, F.col("__n"))).over(W.partitionBy("file_index"))
+    return counts.withColumn("__total", total).where("position > 0").select("file_index", "position", *[(F.col(b) / F.col("__total")).alias(b) for b in "ACGTN"])
 
 
 def conserved_runs(frequencies: DataFrame, least: float = 0.75, length: int = 10) -> DataFrame:
@@ -57,12 +58,14 @@ def exact_hits(reads: DataFrame, whitelists: DataFrame, unique_names: bool = Tru
     table = whitelists.select(F.col("whitelist").alias("barcode_whitelist"), "barcode").distinct()
     out = None
     for n in lengths:
-        strands = F.array(F.struct(F.lit("forward").alias("orientation"), F.col("seq").alias("s")), F.struct(F.lit("reverse").alias("orientation"), reverse_complement("seq").alias("s")))
-        both = reads.select("file_index", "file", "read_name", F.length("seq").alias("seqlen"), F.explode(strands).alias("o"))
-        windows = both.select("file_index", "file", "read_name", "seqlen", "o.orientation", F.explode(all_windows(F.col("o.s"), n)).alias("w"))
-        own = _side(table.where(F.length("barcode") == n), counts[n], n)
-        hits = windows.join(own, F.col("w.cand") == F.col("barcode"))
-        start = F.when(F.col("orientation") == "forward", F.col("w.pos")).otherwise(F.col("seqlen") - F.col("w.pos") - n + 2)
+        # a window of the reverse strand is a barcode if its own bases are that barcode's reverse complement
+        strands = F.array(F.struct(F.lit("forward").alias("orientation"), F.col("barcode").alias("key")), F.struct(F.lit("reverse").alias("orientation"), reverse_complement("barcode").alias("key")))
+        keys = table.where(F.length("barcode") == n).select("barcode_whitelist", "barcode", F.explode(strands).alias("o")).select("barcode_whitelist", "barcode", "o.*")
+        long = reads.select("file_index", "file", "read_name", "seq", F.length("seq").alias("seqlen")).where(F.col("seqlen") >= n)
+        windows = long.select("*", F.explode(F.sequence(F.lit(1), F.col("seqlen") - n + 1)).alias("start"))
+        own = _side(keys, 2 * counts[n], n)
+        hits = windows.join(own, F.substring("seq", F.col("start"), F.lit(n)) == F.col("key"))
+        start = F.col("start")
         part = hits.select("file_index", "file", "read_name", "seqlen", "barcode_whitelist", "barcode", "orientation", start.alias("start"), (start + n - 1).alias("end"), F.lit(0).alias("mismatches"))
         out = part if out is None else out.unionByName(part)
     if out is None:

@@ -19,12 +19,20 @@ def start_histogram(hits: DataFrame) -> DataFrame:
 
 def peak_statistics(hits: DataFrame) -> DataFrame:
     """For each group and start: rows, distinct reads, their share of the group's reads, the end, and the diversity of the group."""
-    # two levels of sums, so that a place that every read has is no burden for one task
-    reads = hits.groupBy(*GROUP, "start", "read_name").agg(F.count(F.lit(1)).alias("c"), F.min("end").alias("end"))
-    starts = reads.groupBy(*GROUP, "start").agg(F.sum("c").alias("count"), F.count(F.lit(1)).alias("read_count"), F.min("end").alias("end"))
-    totals = hits.groupBy(*GROUP).agg(F.count_distinct("read_name").alias("reads"), F.count_distinct("barcode").alias("kinds"), F.count(F.lit(1)).alias("rows"))
-    out = starts.join(totals, GROUP)
-    return out.select(*GROUP, "start", "end", "count", "read_count", F.round(F.col("read_count") / F.col("reads"), 2).alias("read_fraction"), F.round(F.col("kinds") / F.col("rows"), 4).alias("barcode_diversity"))
+    # hits are dealt out and sorted by read once; a place that every read has is summed before it is shuffled
+    by_read = W.partitionBy(*GROUP, "read_name").orderBy("start")
+    named, before = F.col("read_name").isNotNull(), F.lag("start").over(by_read)
+    slim = hits.select(*GROUP, "start", "end", "barcode", "read_name")
+    flagged = slim.select(*GROUP, "start", "end", "barcode", (named & before.isNull()).cast("int").alias("__read"), (named & ~before.eqNullSafe(F.col("start"))).cast("int").alias("__here"))
+    by_barcode = flagged.groupBy(*GROUP, "start", "barcode").agg(F.count(F.lit(1)).alias("count"), F.min("end").alias("end"), F.sum("__read").alias("__read"), F.sum("__here").alias("__here"))
+    kind = F.col("barcode").isNotNull() & F.lag("start").over(W.partitionBy(*GROUP, "barcode").orderBy("start")).isNull()
+    sums = [F.sum(c).alias(c) for c in ("count", "__read", "__here", "__kind")]
+    starts = by_barcode.withColumn("__kind", kind.cast("int")).groupBy(*GROUP, "start").agg(F.min("end").alias("end"), *sums)
+    whole = {c: F.sum(c).over(W.partitionBy(*GROUP)) for c in ("count", "__read", "__kind")}
+    out = starts.withColumns({"__rows": whole["count"], "__reads": whole["__read"], "__kinds": whole["__kind"]})
+    return out.select(
+        *GROUP, "start", "end", "count", F.col("__here").alias("read_count"), F.round(F.try_divide("__here", "__reads"), 2).alias("read_fraction"), F.round(F.try_divide("__kinds", "__rows"), 4).alias("barcode_diversity")
+    )
 
 
 def find_peaks(hits: DataFrame, conserved: DataFrame | None = None) -> DataFrame:
@@ -35,14 +43,14 @@ def find_peaks(hits: DataFrame, conserved: DataFrame | None = None) -> DataFrame
     share of one. Peaks that overlap a conserved region (file_index, start, end) of their file are left out, lone
     starts excepted.
     """
-    order = W.partitionBy(*GROUP).orderBy("start")
-    ranked = peak_statistics(hits).withColumns({"rank": F.row_number().over(order), "new": F.coalesce((F.col("count") != F.lag("count").over(order)).cast("int"), F.lit(1))})
-    ranked = ranked.withColumn("island", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    islands = ranked.groupBy(*GROUP, "island").agg(F.min("rank").alias("first"), F.max("rank").alias("last"), F.first("count").alias("level"))
-    along = W.partitionBy(*GROUP).orderBy("island")
-    tops = islands.withColumns({"before": F.coalesce(F.lag("level").over(along), F.lit(0)), "after": F.coalesce(F.lead("level").over(along), F.lit(0)), "starts": F.max("last").over(W.partitionBy(*GROUP))})
-    tops = tops.where("level > before AND level > after").select(*GROUP, F.expr("(first + last) div 2").alias("rank"), "starts")
-    peaks = ranked.join(tops, [*GROUP, "rank"])
+    order, group = W.partitionBy(*GROUP).orderBy("start"), W.partitionBy(*GROUP)
+    ranked = peak_statistics(hits).withColumns({"rank": F.row_number().over(order), "before": F.lag("count").over(order), "after": F.lead("count").over(order), "starts": F.count(F.lit(1)).over(group)})
+    ranked = ranked.withColumns({"new": ~F.col("before").eqNullSafe(F.col("count")), "ends": ~F.col("after").eqNullSafe(F.col("count"))})
+    ranked = ranked.withColumn("island", F.sum(F.col("new").cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    island = W.partitionBy(*GROUP, "island")
+    edge = lambda at, level: F.max(F.when(F.col(at), F.coalesce(level, F.lit(0)))).over(island)
+    peaks = ranked.withColumns({"first": F.min("rank").over(island), "last": F.max("rank").over(island), "before": edge("new", "before"), "after": edge("ends", "after")})
+    peaks = peaks.where("count > before AND count > after AND rank = (first + last) div 2")
     lone = F.col("starts") == 1
     peaks = peaks.select(
         *GROUP, "start", "end", F.when(lone, F.col("count")).otherwise(F.col("read_count")).alias("read_count"), F.when(lone, F.lit(1.0)).otherwise(F.col("read_fraction")).alias("read_fraction"), "barcode_diversity", lone.alias("lone")
@@ -50,8 +58,11 @@ def find_peaks(hits: DataFrame, conserved: DataFrame | None = None) -> DataFrame
     if conserved is None:
         return peaks.drop("lone")
     regions = conserved.select(F.col("file_index").alias("__file"), F.col("start").alias("__start"), F.col("end").alias("__end"))
-    if regions.limit(MAX_REGIONS + 1).count() > MAX_REGIONS:
+    # worked out once, as few as they may be
+    found = regions.limit(MAX_REGIONS + 1).collect()
+    if len(found) > MAX_REGIONS:
         raise ValueError(f"more than {MAX_REGIONS} conserved regions")
+    regions = hits.sparkSession.createDataFrame(found, regions.schema)
     overlap = (F.col("__file") == F.col("file_index")) & (F.col("__start") <= F.col("end")) & (F.col("__end") >= F.col("start")) & ~F.col("lone")
     return peaks.join(F.broadcast(regions), overlap, "left_anti").drop("lone")
 

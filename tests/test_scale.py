@@ -1,6 +1,7 @@
 """Plans and results that must hold as the tables grow."""
 
 import gzip
+import itertools
 import math
 import random
 
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from tagloom import sources as Z
 from tagloom.functions import sequence as S
 from tagloom.operators import counts as C
+from tagloom.operators import discovery as D
 from tagloom.operators import extraction as E
+from tagloom.operators import peaks as P
 from tagloom.operators import records as R
 from tagloom.plans import fixtures as X
 from tagloom.sources.scratch import part_files
@@ -130,3 +133,117 @@ def test_header_tags_take_no_lambda_each(spark):
     assert [r[0] or {} for r in df.select(S.header_tags("header")).collect()] == [w or {} for w in want]
     out = R.interleaved_to_records(df.select("header", F.lit("A").alias("r2_seq"), F.lit("I").alias("r2_qual")).limit(2))
     assert [[tuple(t) for t in r.tags] for r in out.collect()] == [[("CB", "Z", "C"), ("XQ", "Z", "=I")], [("CB", "Z", ""), ("XM", "Z", "1")]]
+
+
+def scans(df):
+    return plan(df).count("Scan ExistingRDD") + plan(df).count("LocalTableScan")
+
+
+def test_peaks_go_through_the_hits_once(spark):
+    r = random.Random(5)
+    rows = []
+    for i in range(400):
+        start = r.choice((3, 4, 4, 5, 9, 9, 10, 20))
+        rows.append((0, "R1", r.choice((None, "a", "b", f"r{i}")), 50, r.choice(("w", "v")), r.choice(("AC", "GT", "TT")), r.choice(("forward", "reverse")), start, start + 1, 0))
+    hits = spark.createDataFrame(rows, Z.files.HITS)
+    want = {}
+    for g in {(x[4], x[6]) for x in rows}:
+        own = [x for x in rows if (x[4], x[6]) == g]
+        reads, kinds = len({x[2] for x in own} - {None}), len({x[5] for x in own})
+        for s in {x[7] for x in own}:
+            here = [x for x in own if x[7] == s]
+            # a read without a name is a row, but no read, as in the SQL
+            named = len({x[2] for x in here} - {None})
+            want[(*g, s)] = (s + 1, len(here), named, round(named / reads + 1e-12, 2), round(kinds / len(own), 4))
+    found = P.peak_statistics(hits)
+    assert scans(found) == 1 and "Expand" not in plan(found) and scans(P.find_peaks(hits)) == 1
+    assert {(x.barcode_whitelist, x.orientation, x.start): (x.end, x["count"], x.read_count, x.read_fraction, x.barcode_diversity) for x in found.collect()} == want
+    peaks = {(x.barcode_whitelist, x.orientation, x.start) for x in P.find_peaks(hits).collect()}
+    for g in {k[:2] for k in want}:
+        starts = sorted(k[2] for k in want if k[:2] == g)
+        counts = [0, *(want[(*g, s)][1] for s in starts), 0]
+        runs = [(k, len(list(v))) for k, v in itertools.groupby(counts)]
+        at, tops = 0, set()
+        for before, (level, n), after in zip(runs, runs[1:], runs[2:]):
+            if level > before[0] and level > after[0]:
+                tops.add((*g, starts[at + (n - 1) // 2]))
+            at += n
+        assert {p for p in peaks if p[:2] == g} == tops
+
+
+def test_conserved_regions_are_worked_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    hits = spark.createDataFrame([(0, "R1", "a", 50, "w", "AC", "forward", s, s + 1, 0) for s in (3, 9, 9, 12)], Z.files.HITS)
+    regions = spark.createDataFrame([(0, 8, 9)], "file_index int, start int, end int").mapInArrow(count, "file_index int, start int, end int")
+    assert P.find_peaks(hits, regions).count() == 0
+    assert seen.value == 1
+
+
+def test_base_frequencies_take_one_pass(spark):
+    df = spark.createDataFrame([(0, "ACX"), (0, ""), (0, None), (0, "AG"), (1, "N"), (2, "")], "file_index int, seq string")
+    out = D.base_frequencies(df)
+    assert scans(out) == 1
+    got = {(r.file_index, r.position): (r.A, r.C, r.G, r["T"], r.N) for r in out.collect()}
+    assert got == {(0, 1): (0.5, 0, 0, 0, 0), (0, 2): (0, 0.25, 0.25, 0, 0), (0, 3): (0, 0, 0, 0, 0), (1, 1): (0, 0, 0, 0, 1)}
+
+
+def test_exact_hits_try_each_window_once(spark):
+    r = random.Random(9)
+    reads = [(0, "R1", f"r{i}", "".join(r.choice("ACGTNa") for _ in range(r.randrange(0, 14)))) for i in range(200)] + [(0, "R1", "null", None)]
+    lists = [("w", b) for b in ("ACGT", "AAC", "GTT", "NAN", "aCG", "CG")] + [("v", "ACGT"), ("v", "AAC"), ("v", "AAC")]
+    rc = lambda s: s.translate(str.maketrans("ACGTN", "TGCAN"))[::-1]
+    want = []
+    for _, _, name, seq in reads[:-1]:
+        for w, b in sorted(set(lists)):
+            for strand, s in (("forward", seq), ("reverse", rc(seq))):
+                for p in range(len(s) - len(b) + 1):
+                    if s[p : p + len(b)] == b:
+                        start = p + 1 if strand == "forward" else len(s) - p - len(b) + 1
+                        want.append((name, len(s), w, b, strand, start, start + len(b) - 1))
+    out = D.exact_hits(spark.createDataFrame(reads, "file_index int, file string, read_name string, seq string"), spark.createDataFrame(lists, "whitelist string, barcode string"))
+    assert "lambda" not in plan(out) and "transform(" not in plan(out)
+    assert sorted((x.read_name, x.seqlen, x.barcode_whitelist, x.barcode, x.orientation, x.start, x.end) for x in out.collect()) == sorted(want)
+
+
+def test_appended_header_barcodes_by_few_and_many_names(spark, monkeypatch):
+    names = [f"r{i}" for i in range(30)] + ["hot"] * 40 + [None] * 9 + ["lone"]
+    records = spark.createDataFrame([(i, n, "AC", "II", "AA", "AA", "0", "1", "U") for i, n in enumerate(names)], "line long, qname string, seq string, qual string, CR string, CB string, XM string, XP string, UR string")
+    raws = {**{f"r{i}": ["ACGT", "TTTT", None, "ACGA", "CCCC"][i % 5] for i in range(28)}, "hot": "ACGT", "none": "ACGT"}
+    headers = spark.createDataFrame([(n, "1:N:0:1" if b is None else f"1:N:0:GG+{b}") for n, b in raws.items()], "read_name string, description string")
+    white = spark.createDataFrame([("ACGT",), ("AAAA",)], "barcode string")
+    # TTTT is AAAA reversed
+    found = {"ACGT": ("ACGT", "0"), "TTTT": ("AAAA", "0"), "ACGA": ("ACGT", "1"), "CCCC": ("NNNN", "-1"), None: ("NN", "")}
+
+    def shown():
+        out = R.append_header_barcode(X.tagged(records), headers, 2, white, 4)
+        return out, sorted((r.line, r.cb, r.xm) for r in out.select("line", R.tag("CB").alias("cb"), R.tag("XM").alias("xm")).collect())
+
+    want = [(i, *((f"AA_{found[raws[n]][0]}", f"0_{found[raws[n]][1]}") if n in raws else ("AA", "0"))) for i, n in enumerate(names)]
+    out, got = shown()
+    assert got == want and "SortMergeJoin" not in plan(out)
+    monkeypatch.setattr(R, "MAX_NAMES", 5)
+    for most in (1000, 20, 5):
+        monkeypatch.setattr(R, "RECORDS_PER_TASK", most)
+        out, got = shown()
+        assert got == want and "hashpartitioning(qname" in plan(out)
+
+
+def test_counts_of_a_matrix_are_made_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = [(f"c{i % 7}", f"g{i % 5}", i) for i in range(35)]
+    counts = spark.createDataFrame(rows, "cell string, gene string, count long").mapInArrow(count, "cell string, gene string, count long")
+    out = C.counts_to_coo(counts)
+    assert sorted(tuple(r) for r in out.collect()) == sorted((int(c[1:]) + 1, int(g[1:]) + 1, n) for c, g, n in rows if n)
+    assert seen.value == 35
