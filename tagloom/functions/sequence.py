@@ -92,9 +92,12 @@ def encode_compact(seq) -> Column:
 def mask_low_quality(seq, qual, threshold) -> Column:
     """Bases whose quality is under the threshold become N; over the length that both strings have."""
     seq, qual = _col(seq), _col(qual)
-    n = F.when(seq.isNotNull() & qual.isNotNull(), F.least(F.length(seq), F.length(qual)))
-    kept = F.transform(F.sequence(F.lit(1), n), lambda i: F.when(F.ascii(F.substring(qual, i, F.lit(1))) - 33 >= threshold, F.substring(seq, i, F.lit(1))).otherwise("N"))
-    return F.when(n == 0, F.lit("")).otherwise(F.array_join(kept, ""))
+    n = F.least(F.length(seq), F.length(qual))
+    low = f"\\x00-\\x{{{min(max(threshold + 32, 0), 0x10FFFF):x}}}"
+    # by runs of high and low qualities: far fewer than bases
+    runs = F.regexp_extract_all(F.substring(qual, F.lit(1), n), F.lit(f"[{low}]+|[^{low}]+"), F.lit(0))
+    add = lambda done, run: F.concat(done, F.when(F.ascii(run) - 33 >= threshold, F.substring(seq, F.length(done) + 1, F.length(run))).otherwise(F.repeat(F.lit("N"), F.length(run))))
+    return F.when(seq.isNotNull(), F.aggregate(runs, F.lit(""), add))
 
 
 def phred_char(score) -> Column:

@@ -50,6 +50,10 @@ def test_quality_mask_of_odd_strings(spark):
     rows = [("ACGT", "I#I"), ("AC", "#III"), ("", "II"), ("AC", ""), (None, "II"), ("AC", None)]
     got = [r[0] for r in spark.createDataFrame(rows, "s string, q string").select(S.mask_low_quality("s", "q", 10)).collect()]
     assert got == ["ANG", "NC", "", "", None, None]
+    for t in (-40, 0, 2, 41, 120, 300):
+        text = "".join(map(chr, range(1, 400, 3)))
+        row = spark.createDataFrame([("A" * len(text), text)], "s string, q string").select(S.mask_low_quality("s", "q", t)).first()
+        assert row[0] == "".join("A" if ord(c) - 33 >= t else "N" for c in text)
 
 
 def brute_nearest(points, queries, k):
